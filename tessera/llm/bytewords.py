@@ -15,6 +15,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(1, 257, dtype=np.uint64)
 _LOWER[65:91] += U(32)
+#: Everything in ASCII but letters and digits parts words here.
+PUNCTUATION = np.ones(256, bool)
+PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -39,12 +42,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def _segment(data: np.ndarray, row_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _segment(data: np.ndarray, row_starts: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first byte and end of each word of ``data``; no word crosses a row start."""
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    space = _SPACE[data]
+    space = apart[data]
     cut = np.empty(n + 1, bool)
     cut[0] = cut[n] = True
     cut[1:n] = space[:-1]
@@ -60,13 +63,13 @@ def _segment(data: np.ndarray, row_starts: np.ndarray) -> tuple[np.ndarray, np.n
     return mix(h * _upto("down", n)[starts] + (ends - starts).astype(np.uint64)), starts, ends
 
 
-def words(data: np.ndarray, offsets: np.ndarray, most: int = 2 << 20) -> tuple[np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, most: int = 2 << 20, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, number of words by row) of rows ``offsets[i]:offsets[i+1]``; long stretches go in segments that end at a space."""
-    h, starts, _ = word_spans(data, offsets, most)
+    h, starts, _ = word_spans(data, offsets, most, apart)
     return h, np.diff(np.searchsorted(starts, offsets))
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray, most: int = 2 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, most: int = 2 << 20, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first byte, end) of each word; bytes count from the start of ``data``."""
     lo, hi, found = int(offsets[0]), int(offsets[-1]), []
     while lo < hi:
@@ -74,15 +77,15 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, most: int = 2 << 20) -> tu
         if hi - lo > most:
             end = lo + most
             rows = offsets[(offsets > lo) & (offsets <= end)]
-            spaces = np.flatnonzero(_SPACE[data[lo:end]])
+            spaces = np.flatnonzero(apart[data[lo:end]])
             best = max(int(rows[-1]) if len(rows) else 0, lo + int(spaces[-1]) + 1 if len(spaces) else 0)
             if best <= lo:  # one word longer than a segment
-                later = np.flatnonzero(_SPACE[data[end:hi]])
+                later = np.flatnonzero(apart[data[end:hi]])
                 rows = offsets[offsets > end]
                 best = min(int(rows[0]), end + int(later[0]) if len(later) else hi)
             end = best
         inner = offsets[(offsets >= lo) & (offsets <= end)] - lo
-        h, s, e = _segment(data[lo:end], inner.astype(np.int64))
+        h, s, e = _segment(data[lo:end], inner.astype(np.int64), apart)
         found.append((h, s + lo, e + lo))
         lo = end
     if not found:

@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
+from tessera.llm.decontaminate import op1_decontamination
+from tessera.llm.language_id import op10_language_id
+from tessera.llm.mixing import op7_mixing
 from tessera.llm.ngram_join import op8_ngram_join
+from tessera.llm.token_files import op2_token_files
 
-QUERIES = {"op8_ngram_join": op8_ngram_join}
+QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op2_token_files": op2_token_files,
+    "op7_mixing": op7_mixing,
+    "op8_ngram_join": op8_ngram_join,
+    "op10_language_id": op10_language_id,
+}
 SQL: dict[str, str] = {}
