@@ -1,9 +1,78 @@
-"""A cleaning pipeline over ``documents``; its stages are written and read again one by one."""
+"""A cleaning pipeline over ``documents``.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
+one's docs. All but the last return the columns of documents, with whatever columns more there are:
+
+1. language ID: a document goes if its text is null or has no letter, so that no language can be told.
+2. n-gram Jaccard join: 5-word shingles at 0.8; of linked documents the one with the smallest doc_id stays.
+3. benchmark decontamination: a document goes if it contains an item of ``benchmark`` to half or more of its words.
+4. mixing: each document appears as often as its source's target has it, twice at most, perhaps not at all.
+5. token files: the rows are those read back from the files. A document that the mix takes twice has two rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.llm.common import shared_path, table
+from tessera.llm.decontaminate import without_contaminated
+from tessera.llm.language_id import held_out, keep_identified, learn_languages
+from tessera.llm.mixing import mix_sources
+from tessera.llm.ngram_join import ngram_jaccard_join
+from tessera.llm.token_files import token_table
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = learn_languages(docs.where(~F.coalesce(held_out(3, 1), F.lit(False))).select("text", "lang"))
+    return keep_identified(docs, model)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of one doc_id stay or go together; a null doc_id stays."""
+    found = ngram_jaccard_join(docs.select("doc_id", "text"), k=5, percent=80)
+    copies = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__copy")).distinct()
+    return docs.join(copies, docs["doc_id"] == copies["__copy"], "left_anti")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of one doc_id are told apart by their number in the order of text and source."""
+    names = docs.columns
+    mixed = mix_sources(docs.select("doc_id", "text", "source")).where("copies > 0")
+    nth = lambda *by: F.row_number().over(Window.partitionBy("doc_id").orderBy(*by))
+    mixed = mixed.withColumn("__nth", nth("size", "target", F.desc("copies"))).select(F.col("doc_id").alias("__id"), "__nth", "copies")
+    size = F.size(F.split(F.col("text"), " "))
+    rows = docs.withColumn("__row", nth(size, "text", "source"))
+    taken = rows.join(mixed, rows["doc_id"].eqNullSafe(mixed["__id"]) & (rows["__row"] == mixed["__nth"]))
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*names)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return token_table(docs)
+
+
+STAGES = [
+    ("language ID", identify),
+    ("n-gram Jaccard join", deduplicate),
+    ("benchmark decontamination", decontaminate),
+    ("mixing sources to target weights", mix),
+    ("token-ID / binary output", tokenize),
+]
+
+#: Expectation-maximisation, tiling, dependent rounding and a tokenizer can't be had in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            path = shared_path(spark, f"stage-{k}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs

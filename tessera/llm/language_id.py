@@ -156,6 +156,23 @@ def identify_languages(docs: DataFrame, model: LanguageModel, key: str = "doc_id
     return docs.select(key, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{schema}, lang_pred string, score double, languages map<string,double>")
 
 
+def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, of which a language can be told."""
+    at = docs.columns.index("text")
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = held.value
+        for b in batches:
+            texts = Utf8(b.column(at))
+            keep = np.asarray(pc.fill_null(pc.match_substring_regex(b.column(at).cast(pa.large_string()), r"\p{L}"), False)).copy()
+            for i, j in texts.slices(max(1 << 16, (4 << 20) // max(4, len(m.langs)))):
+                keep[i:j] &= m.infer(texts.data, texts.offsets[i : j + 1]).sum(1) > 0
+            yield b.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(of: int, remainder: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(of)) == remainder
 
