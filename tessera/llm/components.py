@@ -1,6 +1,6 @@
 """Connected components of an edge table by alternating star contractions.
 
-Every round is a few equi-joins and aggregations; edges stay distributed and each round is written to the shared
+Edges that fit one task, by a bound, take one union there. Beyond it every round is a few equi-joins and aggregations; edges stay distributed and each round is written to the shared
 folder, which cuts the lineage. Before the first round each task replaces its own edges by a spanning forest, so a node
 with very many edges arrives with at most one edge from each task to each of its local roots.
 """
@@ -35,6 +35,21 @@ def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         root = new
 
 
+#: So many edges (16 bytes each) are joined in one task.
+ONE_TASK = 1_000_000
+
+
+def _stars(batches):
+    """The nodes of all edges of one task with their components."""
+    a, b = [], []
+    for batch in batches:
+        a.append(np.asarray(batch.column(0), np.int64))
+        b.append(np.asarray(batch.column(1), np.int64))
+    if a:
+        nodes, roots = local_roots(np.concatenate(a), np.concatenate(b))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], ["node", "component"])
+
+
 def _forest(batches):
     a, b = [], []
     size = 0
@@ -55,14 +70,17 @@ def _forest(batches):
         yield flush()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """``(node, component)`` for every node of ``edges`` (its first two columns, long), component its smallest node.
 
     Self-loops and repeated edges change nothing; rows with a null end are left out; an empty table gives an empty one.
     """
     first, second = edges.columns[:2]
     e = edges.select(F.col(first).cast("long").alias("a"), F.col(second).cast("long").alias("b")).where("a is not null and b is not null and a <> b")
-    cur = written(e.mapInArrow(_forest, "a long, b long").distinct(), "edges")
+    cur = written(e.mapInArrow(_forest, "a long, b long"), "edges")
+    if cur.count() <= one_task:
+        return cur.coalesce(1).mapInArrow(_stars, "node long, component long")
+    cur = written(cur.distinct(), "edges")
 
     def state(df):
         r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()

@@ -254,7 +254,7 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 10, tables: int =
         part = F.pmod(F.xxhash64("rep"), F.col("parts"))
         mine = F.pmod(F.xxhash64("rep"), F.col("sets"))
         salts = F.transform(F.sequence(F.lit(0), F.col("sets") - 1), lambda s: s * F.col("parts") + part) if side else F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: mine * F.col("parts") + p)
-        return d.select(*place, F.explode(salts).cast("long").alias("salt"), F.lit(side).alias("side"), "rep", "vector")
+        return d.select(*place, F.explode(salts.cast("array<bigint>")).alias("salt"), F.lit(side).alias("side"), "rep", "vector")
 
     met = dealt(where, 1).unionByName(dealt(probed, 0))
     key = [*place, "salt"]

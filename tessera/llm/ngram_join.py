@@ -13,8 +13,8 @@ Sets of k-word shingles (64-bit hashes) link when their Jaccard similarity reach
    tree whose edges hold runs of shingles, so common parts are held and compared once. A set walks the tree level by
    level with its overlap so far; a subtree is left as soon as what remains of the set and of the longest set below
    cannot reach the overlap that the shortest set below needs, and where all below are already in one component with it.
-   Groups over a bound are cut into parts by a hash; parts meet pairwise, in tasks of their own, unless both are in one
-   component by then.
+   Groups over a bound are cut into parts by a hash. Each part meets the next one; then what is still outside its
+   group's largest component meets all of the group, in tasks of bounded size.
 """
 
 from __future__ import annotations
@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytewords import U, mix, shingles, words
-from tessera.llm.common import Utf8, column_of, forget, partitions, written
+from tessera.llm.common import Utf8, column_of, partitions, written
 from tessera.llm.components import components, local_roots
 
-PART_SETS, PART_SHINGLES = 512, 1_500_000
+PART_SETS, PART_SHINGLES = 2048, 3_000_000
 
 
 def text_sets(batch: pa.RecordBatch, k: int, column: str = "text"):
@@ -323,7 +323,7 @@ def _within(percent: int):
     def run(batches):
         for _, rows in _groups(batches, 2):
             if len(rows) > 1:
-                edges = tree_links(np.array([r[0] for r in rows]), [np.frombuffer(r[1], np.uint64) for r in rows], percent)
+                edges = tree_links(np.array([r[1] for r in rows]), [np.frombuffer(r[2], np.uint64) for r in rows], percent)
                 if edges:
                     yield _edges_batch(edges)
 
@@ -347,7 +347,7 @@ def _as_sets(k: int):
     def run(batches):
         for b in batches:
             sets = [s.tobytes() for _, s in text_sets(b, k)]
-            yield pa.RecordBatch.from_arrays([column_of(b, "block"), column_of(b, "part"), column_of(b, "doc_id"), pa.array(sets, pa.binary())], ["block", "part", "doc", "shingles"])
+            yield pa.RecordBatch.from_arrays([column_of(b, "block"), column_of(b, "part"), column_of(b, "parts"), column_of(b, "doc_id"), pa.array(sets, pa.binary())], ["block", "part", "parts", "doc", "shingles"])
 
     return run
 
@@ -366,42 +366,52 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, part_sets
     classes = told.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
 
     parts = max(partitions(spark), 1)
-    sent = src.mapInArrow(_send(k, percent, parts), "p long, x binary, y binary")
-    met = sent.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_meet, "a long, b long")
-    same = told.join(classes, ["n", "f1", "f2"]).select("doc_id", "rep", "n")
-    same = written(same, "classes")
-    # candidates in terms of class representatives
-    a, b = same.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), same.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb"))
-    met = met.distinct().join(a.distinct(), "a").join(b.distinct(), "b").select("ra", "rb").where("ra <> rb")
-    groups = written(components(met), "groups")
-    sizes = groups.join(same.select(F.col("doc_id").alias("node"), "n").distinct(), "node")
-    members = sizes.groupBy("component").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("total")).withColumn("parts", F.greatest(F.ceil(F.col("sets") / part_sets), F.ceil(F.col("total") / part_shingles)).cast("long"))
-    block = groups.join(members, "component").select(F.col("node").alias("__n"), F.col("component").alias("block"), "parts", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
-    blocks = written(block, "blocks")
-    picked = src.join(blocks, src.doc_id == blocks["__n"]).select("block", "part", "doc_id", "text")
-    sets = written(picked.mapInArrow(_as_sets(k), "block long, part long, doc long, shingles binary").dropDuplicates(["doc"]), "members")
-    links = written(sets.repartition(parts, "block", "part").sortWithinPartitions("block", "part", "doc").mapInArrow(_within(percent), "a long, b long"), "links")
-
-    large = blocks.where("parts > 1")
+    blocks_of = max(1, parts // 4)  # each task of a part sends the edges of the sets that meet in it
+    sent = src.mapInArrow(_send(k, percent, blocks_of), "p long, x binary, y binary")
+    met = sent.repartition(blocks_of, "p").sortWithinPartitions("p").mapInArrow(_meet, "a long, b long")
+    same = written(told.where("doc_id is not null").join(classes, ["n", "f1", "f2"]).select("doc_id", "rep", "n").distinct(), "classes")
+    alike = same.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    groups = components(met.unionByName(alike))
+    # one set of each class stands for all
+    sets_of = same.where("doc_id = rep").select("doc_id", "n").join(groups, F.col("doc_id") == F.col("node")).select("doc_id", F.col("component").alias("block"), "n")
+    sets_of = written(sets_of, "candidates")
+    sizes = sets_of.groupBy("block").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("total")).where("sets > 1")
+    sizes = sizes.select("block", F.greatest(F.ceil(F.col("sets") / part_sets), F.ceil(F.col("total") / part_shingles)).cast("long").alias("parts"))
+    blocks = written(sets_of.join(sizes, "block").select(F.col("doc_id").alias("__n"), "block", "parts", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part")), "blocks")
+    picked = src.join(blocks, src.doc_id == blocks["__n"]).select("block", "part", "parts", "doc_id", "text")
+    sets = written(picked.mapInArrow(_as_sets(k), "block long, part long, parts long, doc long, shingles binary").dropDuplicates(["doc"]), "members")
+    links = sets.repartition(parts, "block", "part").sortWithinPartitions("block", "part", "doc").mapInArrow(_within(percent), "a long, b long")
+
+    large = sets.where("parts > 1")
     if not large.isEmpty():
-        for step in ("ring", "all"):
-            comp = components(links)
-            now = large.join(comp, large["__n"] == comp["node"], "left").select(F.col("__n").alias("doc"), "block", "part", "parts", F.coalesce("component", "__n").alias("comp"))
-            now = written(now, "parts")
-            if step == "ring":
-                pairs = now.select("block", "part", "parts").distinct().select("block", F.col("part").alias("i"), F.pmod(F.col("part") + 1, F.col("parts")).alias("j")).where("i <> j")
-            else:
-                pure = now.groupBy("block", "part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                other = pure.select("block", F.col("part").alias("j"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-                pairs = pure.withColumnRenamed("part", "i").join(other, "block").where("i < j and not (lo = hi and lo2 = hi2 and lo = lo2)").select("block", "i", "j")
-            ends = pairs.select("block", "i", "j", F.explode(F.array(F.struct(F.col("i").alias("part"), F.lit(0).alias("side")), F.struct(F.col("j").alias("part"), F.lit(1).alias("side")))).alias("e")).select("block", "i", "j", "e.part", "e.side")
-            rows = ends.join(now.drop("parts"), ["block", "part"]).join(sets.select("doc", "shingles"), "doc").select("block", "i", "j", "side", "doc", "comp", "shingles")
-            more = rows.repartition(parts, "block", "i", "j").sortWithinPartitions("block", "i", "j", "side", "doc").mapInArrow(_across(percent), "a long, b long")
-            links = written(links.unionByName(more), "links")
+        links = written(links, "links")
+        placed = large.select(F.col("doc").alias("d"), "block", "part", "parts")
+
+        def labelled():
+            c = components(links)
+            return written(placed.join(c, placed["d"] == c["node"], "left").select("d", "block", "part", "parts", F.coalesce("component", "d").alias("comp")), "parts")
+
+        def across(rows):
+            rows = rows.join(sets.select("doc", "shingles"), F.col("d") == F.col("doc")).select("block", "i", "j", "side", "doc", "comp", "shingles")
+            return rows.repartition(parts, "block", "i", "j").sortWithinPartitions("block", "i", "j", "side", "doc").mapInArrow(_across(percent), "a long, b long")
+
+        # each part with the next: parts of one large group of near copies come together here
+        now = labelled()
+        i = F.explode(F.array(F.struct(F.col("part").alias("i"), F.lit(0).alias("side")), F.struct(F.pmod(F.col("part") - 1, F.col("parts")).alias("i"), F.lit(1).alias("side"))))
+        ring = now.select("d", "block", "comp", "parts", i.alias("e")).select("d", "block", F.col("e.i").alias("i"), F.lit(0).cast("long").alias("j"), "e.side", "comp")
+        links = written(links.unionByName(across(ring)), "links")
+        # what is outside its block's largest component against all of the block
+        now = labelled()
+        counts = now.groupBy("block", "comp").count().groupBy("block").agg(F.max(F.struct("count", "comp")).alias("top"), F.sum("count").alias("all"))
+        counts = counts.where("all > top.count").select("block", F.col("top.comp").alias("main"), F.ceil((F.col("all") - F.col("top.count")) / part_sets).cast("long").alias("heaps"))
+        now = now.join(counts, "block")
+        heap = F.pmod(F.xxhash64("d", F.lit(1)), F.col("heaps"))
+        every = now.select("d", "block", "comp", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("heaps") - 1)).alias("i")).select("d", "block", "i", F.col("part").alias("j"), F.lit(1).alias("side"), "comp")
+        rest = now.where("comp <> main").select("d", "block", "comp", heap.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("j")).select("d", "block", "i", "j", F.lit(0).alias("side"), "comp")
+        links = links.unionByName(across(rest.unionByName(every)))
     joined = components(links)
-    rep = same.select("doc_id", "rep").distinct().join(joined, F.col("rep") == F.col("node"), "left").select(F.col("doc_id").alias("__d"), F.coalesce("component", "rep").alias("component_id"))
+    rep = same.join(joined, F.col("rep") == F.col("node"), "left").select(F.col("doc_id").alias("__d"), F.coalesce("component", "rep").alias("component_id"))
     out = told.join(rep, told.doc_id == rep["__d"], "left")
-    forget(groups)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
