@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from tessera.plans import metric_queries, panel_queries
+
 
 def _modules():
-    return []
+    return [panel_queries, metric_queries]
 
 
 def queries() -> dict[str, Callable]:
