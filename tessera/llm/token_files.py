@@ -21,6 +21,8 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -197,74 +199,113 @@ class TokenReader:
 _S = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _PIECE = re.compile(f"[{_S}]*[^{_S}]+|[{_S}]+")
 _ENDING = re.compile(r"(.*[0-9A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?]+)", re.S)
+_INNER = re.compile(f" ?[^{_S}]+")
+
+
+class _Numbers(dict):
+    """Numbers for pieces in the order in which they are first asked for; ``new`` has those not yet encoded."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.new.append(piece)
+        return n
 
 
 class PieceEncoder:
     """The tokenizer's ids of whole texts, with each distinct piece encoded once.
 
     The byte-level pattern never joins characters across the start of white space that follows other text, nor across
-    ``.,;:!?`` after a letter or digit, so the ids of a text are those of its pieces. Pieces are kept up to a number.
+    ``.,;:!?`` after a letter or digit, so the ids of a text are those of its pieces. A line end between two pieces is
+    always one token, so many pieces are encoded in one call, a line each. Pieces are kept up to a number.
     """
 
-    def __init__(self, path: str, ordinary: bool = True, most: int = 300_000):
+    def __init__(self, path: str, ordinary: bool = True, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = ordinary
         self.most = most
+        line = self._ids("\n")
+        self.line = line[0] if len(line) == 1 and all(self._ids(x) == [*self._ids(x[:-2]), line[0], *self._ids(x[-1:])] for x in ("a\nb", ",\n.")) else None
         self._clear()
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def _clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.flat, self.n_flat = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-
-    def _room(self, name: str, n: int) -> None:
-        a = getattr(self, name)
-        if len(a) < n:
-            b = np.zeros(max(n, 2 * len(a)), a.dtype)
-            b[: len(a)] = a
-            setattr(self, name, b)
-
-    def _put(self, pieces: list[str], ids: list) -> None:
-        n, lengths = len(self.at), np.array([len(x) for x in ids], np.int64)
-        total = int(lengths.sum())
-        self._room("flat", self.n_flat + total)
-        self._room("start", n + len(pieces))
-        self._room("length", n + len(pieces))
-        self.flat[self.n_flat : self.n_flat + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-        self.start[n : n + len(pieces)] = self.n_flat + np.cumsum(lengths) - lengths
-        self.length[n : n + len(pieces)] = lengths
-        self.n_flat += total
-        for k, p in enumerate(pieces):
-            self.at[p] = n + k
+        self.number, self.cores = _Numbers(), {}
+        self.flat, self.length = bytearray(), array("q")
+
+    def _encode_cores(self, cores: list[str], at_once: int = 400) -> None:
+        """Ids of texts that hold no white space but perhaps one space in front."""
+        for lo in range(0, len(cores), at_once):
+            part = cores[lo : lo + at_once]
+            if self.line is not None:
+                ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
+                cut = np.flatnonzero(ids == self.line)
+                if len(cut) + 1 == len(part):
+                    raw, ends = ids.tobytes(), [*(4 * cut).tolist(), 4 * len(ids)]
+                    start = 0
+                    for core, end in zip(part, ends, strict=True):
+                        self.cores[core] = raw[start:end]
+                        start = end + 4
+                    continue
+            for core in part:
+                self.cores[core] = np.array(self._ids(core), "<u4").tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        plans, wanted = [], {}
+        for p in pieces:
+            first, core = (b"", p) if self.line is None or p[0] != "\n" else (struct.pack("<I", self.line), p[1:])
+            if not _INNER.fullmatch(core):
+                plans.append((np.array(self._ids(p), "<u4").tobytes(), ()))
+                continue
+            m = _ENDING.fullmatch(core)
+            parts = m.groups() if m else (core,)
+            plans.append((first, parts))
+            for c in parts:
+                if c not in self.cores:
+                    wanted[c] = None
+        self._encode_cores(list(wanted))
+        cores = self.cores
+        for first, parts in plans:
+            raw = first + b"".join([cores[c] for c in parts])
+            self.flat += raw
+            self.length.append(len(raw) // 4)
 
     def encode(self, texts: list[str], end: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids by text, all ids); every text ends with ``end``."""
-        if len(self.at) > self.most:
+        if len(self.number) > self.most:
             self._clear()
         split = [_PIECE.findall(t) for t in texts]
-        at = self.at
-        new = {p for s in split for p in s if p not in at}
-        if new:
-            parts = {p: _ENDING.fullmatch(p) for p in new}
-            plain = {q for p, m in parts.items() for q in (m.groups() if m else (p,)) if q not in at}
-            plain = list(plain)
-            self._put(plain, [e.ids for e in self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)])
-            joint = [p for p, m in parts.items() if m and p not in at]
-            known = lambda p: self.flat[self.start[at[p]] : self.start[at[p]] + self.length[at[p]]].tolist()
-            self._put(joint, [known(parts[p][1]) + known(parts[p][2]) for p in joint])
-        if "\0end" not in at:
-            self._put(["\0end"], [[end]])
-        stop = at["\0end"]
-        index = np.array([x for s in split for x in (*map(at.__getitem__, s), stop)], np.int64)
-        pieces = np.array([len(s) + 1 for s in split], np.int64)
-        length = self.length[index]
+        pieces = np.array([len(s) for s in split], np.int64)
+        index = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, int(pieces.sum()))
+        if self.number.new:
+            self._learn(self.number.new)
+            self.number.new = []
+        every = np.array(self.length, np.int64)
+        begin = np.cumsum(every) - every
+        length = every[index]
         done = np.cumsum(length)
-        ids = self.flat[np.repeat(self.start[index] - done + length, length) + np.arange(int(done[-1]) if len(done) else 0)]
-        upto = np.concatenate([[0], done])[np.concatenate([[0], np.cumsum(pieces)])]
-        return np.diff(upto), ids
+        flat = np.frombuffer(bytes(self.flat), "<u4")
+        ids = flat[np.repeat(begin[index] - done + length, length) + np.arange(int(done[-1]) if len(done) else 0)]
+        upto = np.concatenate([[0], done])[np.cumsum(pieces)]  # where each text ends
+        return np.diff(upto, prepend=0) + 1, np.insert(ids, upto, end)
+
+
+_encoders: dict[tuple, PieceEncoder] = {}
+
+
+def piece_encoder(path: str, ordinary: bool) -> PieceEncoder:
+    """The encoder of this process, with the pieces that earlier tasks met."""
+    if (path, ordinary) not in _encoders:
+        _encoders[path, ordinary] = PieceEncoder(path, ordinary)
+    return _encoders[path, ordinary]
 
 
 def _filesystem(path: str):
@@ -281,7 +322,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end: int = 0,
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        encoder = PieceEncoder(tokenizer, ordinary)
+        from tessera.llm.token_files import piece_encoder  # the module's own, not a copy that came with the task
+
+        encoder = piece_encoder(tokenizer, ordinary)
         fs, base = _filesystem(path)
         fs.create_dir(base, recursive=True)
         name, draft = f"part-{part:06d}.pfor", f"_draft-{part:06d}-{uuid.uuid4().hex}"
