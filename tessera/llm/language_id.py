@@ -114,10 +114,17 @@ class LanguageModel:
 
 
 def learn_languages(labelled: DataFrame, rows_per_language: int = 1500) -> LanguageModel:
-    """Learn from (text, lang); of each language at most ``rows_per_language`` whole texts, those with the smallest hashes."""
+    """Learn from (text, lang); of each language at most ``rows_per_language`` whole texts, those with the smallest hashes; copies count once."""
     rank = Window.partitionBy("lang").orderBy("h", "text")
-    rows = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
-    some = rows.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= rows_per_language).select("lang", "text")
+    labelled = labelled.where("lang is not null and text is not null")
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
+    rows = labelled.select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 30)).alias("h"))
+    # of a language with many texts only those under a bound on the hash, about twice as many as wanted, are shuffled
+    bounds = {lang: int((1 << 30) * 2 * rows_per_language / n) for lang, n in counts.items() if n > 2 * rows_per_language}
+    if bounds:
+        limit = F.create_map(*[F.lit(x) for kv in bounds.items() for x in kv])[F.col("lang")]
+        rows = rows.where(limit.isNull() | (F.col("h") < limit))
+    some = rows.dropDuplicates(["lang", "text"]).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= rows_per_language).select("lang", "text")
     got = some.mapInArrow(_counts, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(got.column("lang").to_pylist()))
     counts = np.zeros((len(langs), CELLS))
