@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 100):
+    """Arrow batches of few rows while a job with large rows runs; the session's setting comes back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, held)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -86,16 +99,3 @@ class Utf8:
 
 def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
-
-
-def large_batches(batches, rows: int = 0, size: int = 64 << 20):
-    """Join Arrow batches up to about ``size`` bytes."""
-    held, total = [], 0
-    for b in batches:
-        held.append(b)
-        total += b.nbytes
-        if total >= size:
-            yield pa.Table.from_batches(held).combine_chunks()
-            held, total = [], 0
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()

@@ -5,14 +5,18 @@ Sets of k-word shingles (64-bit hashes) link when their Jaccard similarity reach
 1. *Routing, without loss.* Within a size class, sets that may link differ in at most D shingles, so of D + 1 ranges of
    the hash space at least one holds the same shingles in both. Each set sends a hash of each range's content, for its
    own class and the next (a partner may be larger by ``100 / percent``); sets that meet in no range can't link.
-   Ranges that are empty for a set count only if it has more of them than the class has ranges to spare.
+   Empty ranges tell nothing; a class has some ranges to spare for them. Two sets are sure to meet if either has no more
+   empty ones than that; a set that has more deals its shingles anew by another hash, and so does any such partner.
+   The first deal leaves out shingles that very many texts share (any set of them keeps the bound, as two sets differ in
+   no more without them), so that a passage in many texts doesn't bring those together.
    Tasks drop what they hold twice before the shuffle, and ship hashes in binary blocks, so a hash that very many sets
    share sends one entry from each task.
 2. Sets that meet are gathered in candidate groups (connected components, distributed).
 3. *Prefix tree.* In a group the shingles are put in one global order, most frequent first; the ordered sets go into a
    tree whose edges hold runs of shingles, so common parts are held and compared once. A set walks the tree level by
    level with its overlap so far; a subtree is left as soon as what remains of the set and of the longest set below
-   cannot reach the overlap that the shortest set below needs, and where all below are already in one component with it.
+   cannot reach the overlap that the shortest set below needs. A set whose possible partners are all in its component
+   already doesn't walk.
    Groups over a bound are cut into parts by a hash. Each part meets the next one; then what is still outside its
    group's largest component meets all of the group, in tasks of bounded size.
 """
@@ -25,10 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytewords import U, mix, shingles, words
-from tessera.llm.common import Utf8, column_of, partitions, written
+from tessera.llm.common import Utf8, column_of, partitions, small_batches, written
 from tessera.llm.components import components, local_roots
 
-PART_SETS, PART_SHINGLES = 2048, 3_000_000
+#: Each part of the signatures is worked on in so many slices, to bound memory.
+SLICES = 16
+#: The list of frequent shingles holds so many, 8 bytes each.
+FREQUENT = 300_000
+#: How often a set with too many empty ranges is dealt anew; after that its empty ranges count as well.
+SALTS = 8
+PART_SETS, PART_SHINGLES = 4096, 1_500_000
 
 
 def text_sets(batch: pa.RecordBatch, k: int, column: str = "text"):
@@ -63,28 +73,39 @@ def ranges_of(n: int, percent: int, bounds: list[int]) -> list[tuple[int, int, i
     for c in range(lo, hi + 1):
         d = 2 * (100 - percent) * bounds[c] // (100 + percent)
         spare = 1 + d // 16
-        out.append((c, d + 1 + spare, spare))
+        if d:  # else only equal sets link, and they are one class
+            out.append((c, d + 1 + spare, spare))
     return out
 
 
-def signatures(s: np.ndarray, percent: int, bounds: list[int], memo: dict) -> np.ndarray:
-    """The hashes under which a set meets those it may link with."""
+def signatures(s: np.ndarray, percent: int, bounds: list[int], memo: dict, frequent: np.ndarray) -> np.ndarray:
+    """The hashes under which a set meets those it may link with; first without the ``frequent`` shingles."""
     n = len(s)
     if n not in memo:
         memo[n] = ranges_of(n, percent, bounds)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(mix(s), out=total[1:])
-    out = []
+    out, dealt = [], {}
     for c, m, spare in memo[n]:
-        if (c, m) not in memo:
-            memo[c, m] = np.array([(i << 64) // m for i in range(m)], np.uint64), mix(np.arange(m, dtype=np.uint64) + U(c << 32))
-        edges, names = memo[c, m]
-        at = np.append(np.searchsorted(s, edges), n)
-        sums = total[at[1:]] - total[at[:-1]]
-        full = at[1:] > at[:-1]
-        sig = mix(sums ^ names)
-        out.append(sig[full] if m - int(full.sum()) <= spare else sig)
-    return np.concatenate(out)
+        for salt in range(SALTS):
+            if salt not in dealt:
+                v = np.sort(mix(s + U(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1))) if salt else s
+                if not salt and len(frequent):
+                    place = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+                    v = s[frequent[place] != s]
+                total = np.zeros(len(v) + 1, np.uint64)
+                np.cumsum(mix(v), out=total[1:])
+                dealt[salt] = v, total
+            v, total = dealt[salt]
+            if (c, m, salt) not in memo:
+                memo[c, m, salt] = np.array([(i << 64) // m for i in range(m)], np.uint64), mix(np.arange(m, dtype=np.uint64) + U((c << 36) + (salt << 32)))
+            edges, names = memo[c, m, salt]
+            at = np.append(np.searchsorted(v, edges), len(v))
+            full = at[1:] > at[:-1]
+            sig = mix((total[at[1:]] - total[at[:-1]]) ^ names)
+            enough = m - int(full.sum()) <= spare
+            out.append(sig[full] if enough or salt + 1 < SALTS else sig)
+            if enough:
+                break
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def _describe(k: int):
@@ -101,7 +122,57 @@ def _describe(k: int):
     return run
 
 
-def _send(k: int, percent: int, parts: int, hold: int = 1_500_000):
+def _common(k: int, least: int = 3, hold: int = 2_000_000):
+    """(shingle, texts) of those that ``least`` texts of one stretch of a task share."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def flush():
+            every = np.sort(np.concatenate(held))
+            first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+            n = np.diff(np.append(first, len(every)))
+            often = n >= least
+            return pa.RecordBatch.from_arrays([pa.array(every[first[often]].view(np.int64)), pa.array(n[often], pa.int64())], ["h", "n"])
+
+        for b in batches:
+            seen = set()
+            for _, s in text_sets(b, k):
+                if len(s) and (f := _fingerprint(s)) not in seen:
+                    seen.add(f)
+                    held.append(s)
+                    size += len(s)
+                    if size >= hold:
+                        yield flush()
+                        held, size = [], 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def frequent_shingles(src: DataFrame, k: int, least: int = 32, most: int = FREQUENT) -> np.ndarray:
+    """Ascending hashes of at most ``most`` shingles that many texts share; the list guides routing and decides nothing."""
+    counts = src.mapInArrow(_common(k), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    top = counts.orderBy(F.desc("n"), "h").limit(most).select("h").toArrow()
+    return np.sort(top.column("h").to_numpy().view(np.uint64))
+
+
+def _firsts(sig: np.ndarray, doc: np.ndarray):
+    """(distinct signatures, the smallest document of each, and the other documents with that smallest one)."""
+    order = np.argsort(sig)
+    sig, doc = sig[order], doc[order]
+    del order
+    first = np.append(True, sig[1:] != sig[:-1])
+    at = np.flatnonzero(first)
+    low = np.minimum.reduceat(doc, at)
+    n = np.diff(np.append(at, len(doc)))
+    shared = np.repeat(n > 1, n)
+    a, b = doc[shared], np.repeat(low[n > 1], n[n > 1])
+    return sig[at], low, a[a != b], b[a != b]
+
+
+def _send(k: int, percent: int, parts: int, frequent, hold: int = 600_000):
     """Blocks of (signature, document) by target part, one entry a signature and flush, and the edges among the documents that share one."""
 
     def run(batches):
@@ -111,19 +182,17 @@ def _send(k: int, percent: int, parts: int, hold: int = 1_500_000):
         def flush():
             sig = np.concatenate(sigs)
             doc = np.repeat(np.array([i for i, _ in ids], np.int64), [c for _, c in ids])
-            order = np.lexsort((doc, sig))
-            sig, doc = sig[order], doc[order]
-            first = np.append(True, sig[1:] != sig[:-1])
-            low = doc[np.flatnonzero(first)][np.cumsum(first) - 1]
-            edges = np.unique(np.stack([doc[~first], low[~first]], 1), axis=0) if not first.all() else np.zeros((0, 2), np.int64)
-            sig, doc = sig[first], doc[first]
-            part = (sig % U(parts)).astype(np.int64)
+            sig, doc, a, b = _firsts(sig, doc)
+            nodes, roots = local_roots(a, b) if len(a) else (a, b)
+            edges = np.stack([nodes[nodes != roots], roots[nodes != roots]], 1)
+            part = (sig % U(parts * SLICES)).astype(np.int64)  # its part is this by SLICES
             order = np.argsort(part, kind="stable")
             sig, doc, part = sig[order], doc[order], part[order]
-            at = np.searchsorted(part, np.arange(parts + 1))
-            rows = [(p, sig[at[p] : at[p + 1]].tobytes(), doc[at[p] : at[p + 1]].tobytes()) for p in range(parts) if at[p] < at[p + 1]]
-            rows.append((-1 - int(edges[0, 0]) % parts if len(edges) else -1, edges[:, 0].tobytes(), edges[:, 1].tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["p", "x", "y"])
+            at = np.searchsorted(part, np.arange(parts * SLICES + 1))
+            rows = [(p // SLICES, p % SLICES, sig[at[p] : at[p + 1]].tobytes(), doc[at[p] : at[p + 1]].tobytes()) for p in range(parts * SLICES) if at[p] < at[p + 1]]
+            if len(edges):
+                rows.append((int(edges[0, 0]) % parts, -1, edges[:, 0].tobytes(), edges[:, 1].tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], ["p", "s", "x", "y"])
 
         for b in batches:
             doc = column_of(b, "doc_id").to_pylist()
@@ -134,7 +203,9 @@ def _send(k: int, percent: int, parts: int, hold: int = 1_500_000):
                 if f in seen:
                     continue  # an equal set of this flush has sent the same; equal sets are one class anyway
                 seen.add(f)
-                out = signatures(s, percent, bounds, memo)
+                out = signatures(s, percent, bounds, memo, frequent.value)
+                if not len(out):
+                    continue
                 sigs.append(out)
                 ids.append((doc[r], len(out)))
                 size += len(out)
@@ -148,35 +219,38 @@ def _send(k: int, percent: int, parts: int, hold: int = 1_500_000):
 
 
 def _meet(batches):
-    """Edges from each document to the smallest one that shares a signature; rows of a part come together."""
-
-    def out(p, xs, ys):
-        a, b = np.frombuffer(b"".join(xs), np.int64), np.frombuffer(b"".join(ys), np.int64)
-        if p >= 0:
-            sig = a.view(np.uint64)
-            order = np.lexsort((b, sig))
-            sig, b = sig[order], b[order]
-            first = np.append(True, sig[1:] != sig[:-1])
-            low = b[np.flatnonzero(first)][np.cumsum(first) - 1]
-            a, b = b[~first], low[~first]
-        if not len(a):
-            return None
-        nodes, roots = local_roots(a, b)
+    """A spanning forest of the documents that share signatures, for each part; its slices come one after the other."""
+
+    def forest(a, b):
+        nodes, roots = local_roots(np.concatenate(a), np.concatenate(b))
         keep = nodes != roots
-        return pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(roots[keep])], ["a", "b"])
+        return nodes[keep], roots[keep]
 
-    last, xs, ys = None, [], []
+    def out(a, b):
+        x, y = forest(a, b)
+        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+
+    def joined(s, xs, ys, a, b):
+        x, y = np.frombuffer(b"".join(xs), np.int64), np.frombuffer(b"".join(ys), np.int64)
+        if s >= 0:
+            _, _, x, y = _firsts(x.view(np.uint64), y)
+        x, y = forest([*a, x], [*b, y])
+        return [x], [y]
+
+    last, xs, ys, a, b = None, [], [], [], []
     for batch in batches:
-        for p, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if p != last and xs:
-                if (found := out(last, xs, ys)) is not None:
-                    yield found
+        for p, s, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (p, s) != last and xs:
+                a, b = joined(last[1], xs, ys, a, b)
                 xs, ys = [], []
-            last = p
+                if p != last[0]:
+                    yield out(a, b)
+                    a, b = [], []
+            last = p, s
             xs.append(x)
             ys.append(y)
-    if xs and (found := out(last, xs, ys)) is not None:
-        yield found
+    if xs:
+        yield out(*joined(last[1], xs, ys, a, b))
 
 
 class PrefixTree:
@@ -188,10 +262,8 @@ class PrefixTree:
         values, inverse, counts = np.unique(every, return_inverse=True, return_counts=True)
         rank = np.empty(len(values), np.int64)
         rank[np.lexsort((values, -counts))] = np.arange(len(values))
-        self.values = values
         ends = np.cumsum(self.sizes)
         self.ranks = [np.sort(rank[inverse[e - n : e]]) for e, n in zip(ends, self.sizes, strict=True)]
-        self.universe, self._rank = len(values), rank
         keys = [r.astype(">u4").tobytes() for r in self.ranks]
         self.order = sorted(range(len(sets)), key=keys.__getitem__)
         nodes: list[list] = []  # start of the run, its end, whose ranks, parent
@@ -222,56 +294,49 @@ class PrefixTree:
         self.leaf = leaf
         self.parent = np.array([x[3] for x in nodes])
         self.until = np.array([x[1] for x in nodes])
-        self.runs = [self.ranks[who][start:end] for start, end, who, _ in nodes]
-        level = np.full(len(nodes), -1)
-        todo = np.flatnonzero(self.parent < 0)
-        self.levels = []
+        runs = [self.ranks[who][start:end] for start, end, who, _ in nodes]
+        lengths = np.array([len(r) for r in runs])
+        ranks_in = np.concatenate(runs)
+        order = np.argsort(ranks_in, kind="stable")
+        # the nodes whose runs hold each rank
+        self.nodes_of = np.repeat(np.arange(len(runs)), lengths)[order]
+        self.first_of = np.searchsorted(ranks_in[order], np.arange(len(values) + 1))
+        self.last = np.array([r[-1] for r in runs])
         children: dict[int, list[int]] = {}
         for x, p in enumerate(self.parent):
             children.setdefault(int(p), []).append(x)
-        while len(todo):
-            self.levels.append(todo)
-            level[todo] = len(self.levels)
-            todo = np.array([c for x in todo for c in children.get(int(x), ())], np.int64)
+        self.levels = []
+        todo = children.get(-1, [])
+        while todo:
+            self.levels.append(np.array(todo, np.int64))
+            todo = [c for x in todo for c in children.get(x, ())]
         self.longest = np.zeros(len(nodes), np.int64)
         self.shortest = np.full(len(nodes), np.iinfo(np.int64).max)
-        for i, x in enumerate(leaf):
-            self.longest[x] = max(self.longest[x], self.sizes[i])
-            self.shortest[x] = min(self.shortest[x], self.sizes[i])
+        np.maximum.at(self.longest, leaf, self.sizes)
+        np.minimum.at(self.shortest, leaf, self.sizes)
         for nodes_at in reversed(self.levels[1:]):
             np.maximum.at(self.longest, self.parent[nodes_at], self.longest[nodes_at])
             np.minimum.at(self.shortest, self.parent[nodes_at], self.shortest[nodes_at])
 
-    def ranks_of(self, s: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.values, s)
-        at[at == len(self.values)] = 0
-        return np.sort(self._rank[at[self.values[at] == s]])
-
     def linked(self, ranks: np.ndarray, n: int, percent: int, wanted: np.ndarray) -> np.ndarray:
         """The wanted sets (a mask) that link with a set of n shingles, ``ranks`` those that the tree knows."""
-        member = np.zeros(self.universe, bool)
-        member[ranks] = True
-        open_ = np.zeros(len(self.parent), bool)  # nodes with a wanted set below
-        open_[self.leaf[wanted]] = True
-        for nodes in reversed(self.levels[1:]):
-            open_[self.parent[nodes[open_[nodes]]]] = True
+        lo, count = self.first_of[ranks], self.first_of[ranks + 1] - self.first_of[ranks]
+        done = np.cumsum(count)
+        hits = np.bincount(self.nodes_of[np.repeat(lo - done + count, count) + np.arange(int(done[-1]))], minlength=len(self.parent))
         overlap = np.zeros(len(self.parent), np.int64)
         alive = np.zeros(len(self.parent), bool)
         for depth, nodes in enumerate(self.levels):
-            nodes = nodes[open_[nodes] & (alive[self.parent[nodes]] if depth else True)]
-            if not len(nodes):
-                break
-            runs = [self.runs[x] for x in nodes]
-            lengths = np.array([len(r) for r in runs])
-            hits = member[np.concatenate(runs)]
-            at = np.cumsum(lengths) - lengths
-            got = np.add.reduceat(hits, at, dtype=np.int64) + (overlap[self.parent[nodes]] if depth else 0)
-            overlap[nodes] = got
+            if depth:
+                nodes = nodes[alive[self.parent[nodes]]]
+                if not len(nodes):
+                    break
+                overlap[nodes] = hits[nodes] + overlap[self.parent[nodes]]
+            else:
+                overlap[nodes] = hits[nodes]
             # the ranks still to come bound what set and subtree can share
-            last = np.array([r[-1] for r in runs])
-            rest = np.minimum(self.longest[nodes] - self.until[nodes], len(ranks) - np.searchsorted(ranks, last, side="right"))
+            rest = np.minimum(self.longest[nodes] - self.until[nodes], len(ranks) - np.searchsorted(ranks, self.last[nodes], side="right"))
             # 100 o >= percent (n + m - o), with m the shortest below
-            alive[nodes] = (100 + percent) * (got + rest) >= percent * (n + self.shortest[nodes])
+            alive[nodes] = (100 + percent) * (overlap[nodes] + rest) >= percent * (n + self.shortest[nodes])
         x = self.leaf
         return np.flatnonzero(wanted & alive[x] & ((100 + percent) * overlap[x] >= percent * (n + self.sizes)))
 
@@ -367,8 +432,9 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, part_sets
 
     parts = max(partitions(spark), 1)
     blocks_of = max(1, parts // 4)  # each task of a part sends the edges of the sets that meet in it
-    sent = src.mapInArrow(_send(k, percent, blocks_of), "p long, x binary, y binary")
-    met = sent.repartition(blocks_of, "p").sortWithinPartitions("p").mapInArrow(_meet, "a long, b long")
+    sent = src.mapInArrow(_send(k, percent, blocks_of, spark.sparkContext.broadcast(frequent_shingles(src, k))), "p long, s long, x binary, y binary")
+    with small_batches(spark):
+        met = written(sent.repartition(blocks_of, "p").sortWithinPartitions("p", "s").mapInArrow(_meet, "a long, b long"), "met")
     same = written(told.where("doc_id is not null").join(classes, ["n", "f1", "f2"]).select("doc_id", "rep", "n").distinct(), "classes")
     alike = same.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     groups = components(met.unionByName(alike))
