@@ -146,5 +146,5 @@ def cumulative_threshold(df: DataFrame, column: str, ratio: float) -> DataFrame:
 def mean_abs_ranking(df: DataFrame, name: str, value: str, ends: int = 10) -> DataFrame:
     """Mean absolute value of each name with its rank; ``ends`` first and last."""
     g = df.groupBy(name).agg(F.avg(F.abs(value)).alias("mean_abs"))
-    r = g.select(name, F.round("mean_abs", 6).alias("mean_abs"), F.row_number().over(Window.orderBy(F.desc("mean_abs"), name)).alias("rank"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))).alias("k"))
+    r = g.select(name, F.round("mean_abs", 6).alias("mean_abs"), F.row_number().over(Window.orderBy(F.desc(F.round("mean_abs", 9)), name)).alias("rank"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))).alias("k"))
     return r.where((F.col("rank") <= ends) | (F.col("rank") > F.col("k") - ends)).drop("k")

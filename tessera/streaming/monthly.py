@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 def windowed_counts(events: DataFrame, window: str = "1 day", late: str = "2 days") -> DataFrame:
     """Counts and value sums by window and type; rows later than ``late`` are left out of a stream's state."""
+    events = events.withColumn("ts", events["ts"].cast("timestamp"))  # a watermark needs a timestamp with a zone
     marked = events.withWatermark("ts", late) if events.isStreaming else events
     return marked.groupBy(F.window("ts", window), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("value")).select(F.col("window.start").alias("start"), "event_type", "n", "value")
 
