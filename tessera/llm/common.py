@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -64,6 +65,36 @@ def small_batches(spark: SparkSession, rows: int = 100):
         spark.conf.set(key, held)
 
 
+#: What tasks keep in their worker process for later tasks of their kind, by operator.
+kept: dict[str, dict] = {}
+
+
+def lean(run, keeps: bool = False):
+    """``run`` for mapInArrow, in a worker process that gives memory back: first what tasks of other kinds kept there, in
+    the end all free pages. Workers live on from task to task, so each would else hold the most that any task took.
+    """
+
+    def task(batches):
+        from tessera.llm import common  # the module's own, not a copy that came with the task
+
+        if not keeps:
+            common.kept.clear()
+        try:
+            yield from run(batches)
+        finally:
+            common.give_back()
+
+    return task
+
+
+def give_back() -> None:
+    """Return free pages of Arrow and of the C library to the system, where the latter can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

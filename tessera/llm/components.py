@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import forget, written
+from tessera.llm.common import forget, lean, written
 
 
 def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,9 +77,9 @@ def components(edges: DataFrame, most_rounds: int = 60, one_task: int = ONE_TASK
     """
     first, second = edges.columns[:2]
     e = edges.select(F.col(first).cast("long").alias("a"), F.col(second).cast("long").alias("b")).where("a is not null and b is not null and a <> b")
-    cur = written(e.mapInArrow(_forest, "a long, b long"), "edges")
+    cur = written(e.mapInArrow(lean(_forest), "a long, b long"), "edges")
     if cur.count() <= one_task:
-        return cur.coalesce(1).mapInArrow(_stars, "node long, component long")
+        return cur.coalesce(1).mapInArrow(lean(_stars), "node long, component long")
     cur = written(cur.distinct(), "edges")
 
     def state(df):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytewords import PUNCTUATION, U, mix, words
-from tessera.llm.common import Utf8, column_of, table
+from tessera.llm.common import Utf8, column_of, lean, table
 
 _STEP = U(0xD6E8FEB86659FD93)
 BLOCK_BYTES = 8 << 20
@@ -165,7 +165,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5,
                     at = pa.array([x[0] for x in rows], pa.int64())
                     yield pa.RecordBatch.from_arrays([column_of(b, "doc_id").take(at), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.float64()), pa.array([x[3] for x in rows], pa.int32()), pa.array([x[4] for x in rows], pa.int32()), pa.array([x[5] for x in rows], kind)], ["doc_id", "item_id", "coverage", "matched_words", "item_words", "tiles"])
 
-        part = src.mapInArrow(run, TILES)
+        part = src.mapInArrow(lean(run), TILES)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -189,7 +189,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float
                 kept = b.filter(pa.array(keep))
                 yield pa.RecordBatch.from_arrays(kept.columns[:-1], kept.schema.names[:-1])
 
-        docs = docs.withColumn(lower, F.lower(docs[docs.columns[at]].cast("string"))).mapInArrow(run, docs.schema)
+        docs = docs.withColumn(lower, F.lower(docs[docs.columns[at]].cast("string"))).mapInArrow(lean(run), docs.schema)
     return docs
 
 

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Utf8, column_of, table
+from tessera.llm.common import Utf8, column_of, lean, table
 
 CELLS = 1 << 16
 _CLASS = np.zeros(256, np.uint32)
@@ -125,7 +125,7 @@ def learn_languages(labelled: DataFrame, rows_per_language: int = 1500) -> Langu
         limit = F.create_map(*[F.lit(x) for kv in bounds.items() for x in kv])[F.col("lang")]
         rows = rows.where(limit.isNull() | (F.col("h") < limit))
     some = rows.dropDuplicates(["lang", "text"]).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= rows_per_language).select("lang", "text")
-    got = some.mapInArrow(_counts, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
+    got = some.mapInArrow(lean(_counts), "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(got.column("lang").to_pylist()))
     counts = np.zeros((len(langs), CELLS))
     if langs:
@@ -160,7 +160,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, key: str = "doc_id
                 shares.extend([(m.langs[x], float(p[r, x])) for x in np.flatnonzero(p[r])] if ok[r] else [] for r in range(j - i))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(shares, pa.map_(pa.string(), pa.float64()))], [key, "lang_pred", "score", "languages"])
 
-    return docs.select(key, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{schema}, lang_pred string, score double, languages map<string,double>")
+    return docs.select(key, F.col("text").cast("string").alias("text")).mapInArrow(lean(run), f"{schema}, lang_pred string, score double, languages map<string,double>")
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -177,7 +177,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 keep[i:j] &= m.infer(texts.data, texts.offsets[i : j + 1]).sum(1) > 0
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def held_out(of: int, remainder: int):

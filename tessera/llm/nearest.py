@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column_of, partitions, table, written
+from tessera.llm.common import column_of, lean, partitions, table, written
 
 CHUNK = 4096
 
@@ -231,10 +231,10 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 10, tables: int =
     """
     spark = vectors.sparkSession
     src = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    task = src.mapInArrow(_classes_of_task(k + 1), "key binary, vector binary, id long")
+    task = src.mapInArrow(lean(_classes_of_task(k + 1)), "key binary, vector binary, id long")
     ids = F.slice(F.array_sort(F.collect_set("id")), 1, k + 1)  # a task sends k + 1 ids at most
     classes = written(task.groupBy("key").agg(F.first("vector").alias("vector"), ids.alias("ids")).withColumn("rep", F.col("ids")[0]), "vectors")
-    queries = written(src.where(is_query).mapInArrow(_queries_of, "query_id long, key binary").distinct().join(classes.select("key", "rep"), "key").select("query_id", "rep"), "queries")
+    queries = written(src.where(is_query).mapInArrow(lean(_queries_of), "query_id long, key binary").distinct().join(classes.select("key", "rep"), "key").select("query_id", "rep"), "queries")
     n = classes.count()
     buckets = max(1, n // bucket_rows)
     number = int(np.ceil(probes * max((10_240 / max(n, 1)) ** 0.3, 1.0, (buckets / 128) ** 0.5)))
@@ -242,8 +242,8 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 10, tables: int =
     asked = classes.join(queries.select("rep").distinct(), "rep", "left_semi").select("rep", "vector")
     place = ["dim", "t", "bucket"]
     kinds = "dim int, t int, bucket long, rep long"
-    where = classes.select("rep", "vector").mapInArrow(_hashed(tables, buckets, 0, True), f"{kinds}, vector binary")
-    probed = asked.mapInArrow(_hashed(tables, buckets, number, True), f"{kinds}, vector binary")
+    where = classes.select("rep", "vector").mapInArrow(lean(_hashed(tables, buckets, 0, True)), f"{kinds}, vector binary")
+    probed = asked.mapInArrow(lean(_hashed(tables, buckets, number, True)), f"{kinds}, vector binary")
     # only buckets over a bound are dealt out; their list is short: each holds at least so many rows
     rows = where.groupBy(*place).count().where(F.col("count") > most_rows).select(*place, F.ceil(F.col("count") / most_rows).cast("int").alias("parts"))
     many = probed.groupBy(*place).count().where(F.col("count") > most_queries).select(*place, F.ceil(F.col("count") / most_queries).cast("int").alias("sets"))
@@ -258,7 +258,7 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 10, tables: int =
 
     met = dealt(where, 1).unionByName(dealt(probed, 0))
     key = [*place, "salt"]
-    found = met.repartition(partitions(spark), *key).sortWithinPartitions(*key, "side", "rep").mapInArrow(_ranked(k), "q long, d double, rep long")
+    found = met.repartition(partitions(spark), *key).sortWithinPartitions(*key, "side", "rep").mapInArrow(lean(_ranked(k)), "q long, d double, rep long")
     best = found.groupBy("q").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "rep"))), 1, k).alias("near"))  # tables * probes * k at most
     near = asked.select(F.col("rep").alias("q")).join(best, "q", "left").select("q", F.explode(F.concat(F.coalesce("near", F.array().cast("array<struct<d:double,rep:bigint>>")), F.array(F.struct(F.lit(0.0).alias("d"), F.col("q").alias("rep"))))).alias("c"))
     named = near.select("q", "c.d", "c.rep").join(classes.select("rep", "ids"), "rep").select("q", F.explode(F.transform("ids", lambda i: F.struct(F.col("d"), i.alias("id")))).alias("c"))

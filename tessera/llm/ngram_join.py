@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytewords import U, mix, shingles, words
-from tessera.llm.common import Utf8, column_of, partitions, small_batches, written
+from tessera.llm.common import Utf8, column_of, lean, partitions, small_batches, written
 from tessera.llm.components import components, local_roots
 
 #: Each part of the signatures is worked on in so many slices, to bound memory.
@@ -153,7 +153,7 @@ def _common(k: int, least: int = 3, hold: int = 2_000_000):
 
 def frequent_shingles(src: DataFrame, k: int, least: int = 32, most: int = FREQUENT) -> np.ndarray:
     """Ascending hashes of at most ``most`` shingles that many texts share; the list guides routing and decides nothing."""
-    counts = src.mapInArrow(_common(k), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    counts = src.mapInArrow(lean(_common(k)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     top = counts.orderBy(F.desc("n"), "h").limit(most).select("h").toArrow()
     return np.sort(top.column("h").to_numpy().view(np.uint64))
 
@@ -427,14 +427,15 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, part_sets
     """
     spark = docs.sparkSession
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    told = written(src.mapInArrow(_describe(k), "doc_id long, n long, f1 long, f2 long"), "sets")
+    told = written(src.mapInArrow(lean(_describe(k)), "doc_id long, n long, f1 long, f2 long"), "sets")
     classes = told.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
 
     parts = max(partitions(spark), 1)
     blocks_of = max(1, parts // 4)  # each task of a part sends the edges of the sets that meet in it
-    sent = src.mapInArrow(_send(k, percent, blocks_of, spark.sparkContext.broadcast(frequent_shingles(src, k))), "p long, s long, x binary, y binary")
+    frequent = spark.sparkContext.broadcast(frequent_shingles(src, k))
+    sent = src.mapInArrow(lean(_send(k, percent, blocks_of, frequent)), "p long, s long, x binary, y binary")
     with small_batches(spark):
-        met = written(sent.repartition(blocks_of, "p").sortWithinPartitions("p", "s").mapInArrow(_meet, "a long, b long"), "met")
+        met = written(sent.repartition(blocks_of, "p").sortWithinPartitions("p", "s").mapInArrow(lean(_meet), "a long, b long"), "met")
     same = written(told.where("doc_id is not null").join(classes, ["n", "f1", "f2"]).select("doc_id", "rep", "n").distinct(), "classes")
     alike = same.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     groups = components(met.unionByName(alike))
@@ -445,8 +446,8 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, part_sets
     sizes = sizes.select("block", F.greatest(F.ceil(F.col("sets") / part_sets), F.ceil(F.col("total") / part_shingles)).cast("long").alias("parts"))
     blocks = written(sets_of.join(sizes, "block").select(F.col("doc_id").alias("__n"), "block", "parts", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part")), "blocks")
     picked = src.join(blocks, src.doc_id == blocks["__n"]).select("block", "part", "parts", "doc_id", "text")
-    sets = written(picked.mapInArrow(_as_sets(k), "block long, part long, parts long, doc long, shingles binary").dropDuplicates(["doc"]), "members")
-    links = sets.repartition(parts, "block", "part").sortWithinPartitions("block", "part", "doc").mapInArrow(_within(percent), "a long, b long")
+    sets = written(picked.mapInArrow(lean(_as_sets(k)), "block long, part long, parts long, doc long, shingles binary").dropDuplicates(["doc"]), "members")
+    links = sets.repartition(parts, "block", "part").sortWithinPartitions("block", "part", "doc").mapInArrow(lean(_within(percent)), "a long, b long")
 
     large = sets.where("parts > 1")
     if not large.isEmpty():
@@ -459,7 +460,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, part_sets
 
         def across(rows):
             rows = rows.join(sets.select("doc", "shingles"), F.col("d") == F.col("doc")).select("block", "i", "j", "side", "doc", "comp", "shingles")
-            return rows.repartition(parts, "block", "i", "j").sortWithinPartitions("block", "i", "j", "side", "doc").mapInArrow(_across(percent), "a long, b long")
+            return rows.repartition(parts, "block", "i", "j").sortWithinPartitions("block", "i", "j", "side", "doc").mapInArrow(lean(_across(percent)), "a long, b long")
 
         # each part with the next: parts of one large group of near copies come together here
         now = labelled()

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytewords import U, words
-from tessera.llm.common import Utf8, column_of, table
+from tessera.llm.common import Utf8, column_of, lean, table
 from tessera.llm.labelled import labelled_sample, training_part
 
 CELLS = 1 << 15
@@ -137,7 +137,7 @@ def _with_length(docs: DataFrame) -> DataFrame:
 def learn_quality(docs: DataFrame, labels: DataFrame, rows: int = 8_000) -> FactorisationMachine:
     """Train on at most ``rows`` labelled rows of the training part."""
     sample = labelled_sample(_with_length(docs), labels, "quality", ["text", "n_chars"], rows)
-    got = sample.mapInArrow(_cells, "cells binary, stats binary, y int, h long").toArrow().sort_by("h")
+    got = sample.mapInArrow(lean(_cells), "cells binary, stats binary, y int, h long").toArrow().sort_by("h")
     model = FactorisationMachine()
     if got.num_rows:
         stats = np.frombuffer(b"".join(got.column("stats").to_pylist())).reshape(-1, STATISTICS)
@@ -159,7 +159,7 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, threshold: float
             score = np.concatenate([held.value.score(*_inputs(texts, i, j, n)) for i, j in texts.slices()] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([column_of(b, "doc_id"), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return _with_length(docs).mapInArrow(run, "doc_id long, score double, predicted int")
+    return _with_length(docs).mapInArrow(lean(run), "doc_id long, score double, predicted int")
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:

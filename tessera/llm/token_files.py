@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Utf8, column_of, partitions, shared_path, table, written
+from tessera.llm.common import Utf8, column_of, kept, lean, partitions, shared_path, table, written
 
 BLOCK = 256
 HEAD, TAIL, NO_ID = b"PFOR1\0\0\0", b"PFOR1END", -(1 << 63)
@@ -298,14 +298,12 @@ class PieceEncoder:
         return np.diff(upto, prepend=0) + 1, np.insert(ids, upto, end)
 
 
-_encoders: dict[tuple, PieceEncoder] = {}
-
-
 def piece_encoder(path: str, ordinary: bool) -> PieceEncoder:
-    """The encoder of this process, with the pieces that earlier tasks met."""
-    if (path, ordinary) not in _encoders:
-        _encoders[path, ordinary] = PieceEncoder(path, ordinary)
-    return _encoders[path, ordinary]
+    """The encoder of this process, with the pieces that earlier tasks met, until a task of another operator runs here."""
+    encoders = kept.setdefault("token_files", {})
+    if (path, ordinary) not in encoders:
+        encoders[path, ordinary] = PieceEncoder(path, ordinary)
+    return encoders[path, ordinary]
 
 
 def _filesystem(path: str):
@@ -340,7 +338,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end: int = 0,
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([f"{path}/{name}"]), pa.array([len(w.docs)], pa.int64()), pa.array([w.n_ids], pa.int64())], ["part", "file", "docs", "ids"])
 
     dealt = src.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return written(dealt.mapInArrow(run, "part long, file string, docs long, ids long"), "token-files")
+    return written(dealt.mapInArrow(lean(run, keeps=True), "part long, file string, docs long, ids long"), "token-files")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
@@ -356,7 +354,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
                     for ids, place, lengths, crcs in TokenReader(source).documents():
                         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=ids == NO_ID), pa.array(place + base, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return todo.repartition(max(1, partitions(files.sparkSession))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return todo.repartition(max(1, partitions(files.sparkSession))).mapInArrow(lean(run, keeps=True), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_table(docs: DataFrame, name: str = "byte_bpe_50k.json") -> DataFrame:

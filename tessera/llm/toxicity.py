@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytewords import PUNCTUATION, U, mix, word_spans
-from tessera.llm.common import Utf8, column_of, table
+from tessera.llm.common import Utf8, column_of, lean, table
 from tessera.llm.labelled import labelled_sample, training_part
 
 WORDS, STEMS = 1 << 15, 1 << 14
@@ -179,7 +179,7 @@ def _cells(batches):
 def learn_toxicity(docs: DataFrame, labels: DataFrame, rows: int = 6_000, calibration: int = 5) -> ConvolutionalClassifier:
     """Train on at most ``rows`` labelled rows of the training part; one in ``calibration`` only sets thresholds."""
     sample = labelled_sample(docs, labels, "toxic", ["text", "lang"], rows)
-    got = sample.mapInArrow(_cells, "words binary, stems binary, lang string, y int, h long").toArrow().sort_by("h")
+    got = sample.mapInArrow(lean(_cells), "words binary, stems binary, lang string, y int, h long").toArrow().sort_by("h")
     every = [(np.frombuffer(w, np.int32), np.frombuffer(s, np.int32)) for w, s in zip(got.column("words").to_pylist(), got.column("stems").to_pylist(), strict=True)]
     y = np.array(got.column("y").to_pylist(), np.int64)
     model = ConvolutionalClassifier()
@@ -211,7 +211,7 @@ def score_toxicity(docs: DataFrame, model: ConvolutionalClassifier) -> DataFrame
             yield pa.RecordBatch.from_arrays([column_of(b, "doc_id"), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32)), pa.array(limit), pa.array(score >= limit)], ["doc_id", "score", "predicted", "lang_threshold", "flagged"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    return src.mapInArrow(run, "doc_id long, score double, predicted int, lang_threshold double, flagged boolean")
+    return src.mapInArrow(lean(run), "doc_id long, score double, predicted int, lang_threshold double, flagged boolean")
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:

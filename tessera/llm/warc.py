@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column_of, partitions, shared_path, table, written
+from tessera.llm.common import column_of, lean, partitions, shared_path, table, written
 
 WHEN = "2024-01-01T00:00:00Z"
 INDEX = "page_id long, url string, digest string, record_type string, file string, offset long, length long"
@@ -119,7 +119,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> DataFrame:
             fs.move(f"{base}/{draft}", f"{base}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["page_id", "url", "digest", "record_type", "file", "offset", "length"])
 
-    return written(plan.mapInArrow(run, INDEX), "warc-index")
+    return written(plan.mapInArrow(lean(run), INDEX), "warc-index")
 
 
 def coalesced(ranges: list[tuple[int, int]], gap: int = 64 << 10, most: int = 8 << 20) -> list[tuple[int, int, list[tuple[int, int]]]]:
@@ -161,7 +161,7 @@ def read_archives(selected: DataFrame, payloads: bool = False, gap: int = 64 <<
             yield from records(last, ranges)
 
     parts = partitions(selected.sparkSession)
-    return selected.select("file", "offset", "length").repartition(parts, "file").sortWithinPartitions("file", "offset").mapInArrow(run, fields)
+    return selected.select("file", "offset", "length").repartition(parts, "file").sortWithinPartitions("file", "offset").mapInArrow(lean(run), fields)
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
