@@ -38,7 +38,10 @@ SLICES = 16
 FREQUENT = 300_000
 #: How often a set with too many empty ranges is dealt anew; after that its empty ranges count as well.
 SALTS = 8
-PART_SETS, PART_SHINGLES = 4096, 1_500_000
+#: Bounds of a part of a group, and of a heap that meets parts; a task holds two of them at a time.
+PART_SETS, PART_SHINGLES = 4096, 500_000
+#: Rows of an Arrow batch with texts or sets.
+TEXT_ROWS = 1000
 
 
 def text_sets(batch: pa.RecordBatch, k: int, column: str = "text"):
@@ -260,10 +263,12 @@ class PrefixTree:
         self.sizes = np.array([len(s) for s in sets])
         every = np.concatenate(sets)
         values, inverse, counts = np.unique(every, return_inverse=True, return_counts=True)
-        rank = np.empty(len(values), np.int64)
-        rank[np.lexsort((values, -counts))] = np.arange(len(values))
+        del every
+        rank = np.empty(len(values), np.int32)
+        rank[np.lexsort((values, -counts))] = np.arange(len(values), dtype=np.int32)
         ends = np.cumsum(self.sizes)
         self.ranks = [np.sort(rank[inverse[e - n : e]]) for e, n in zip(ends, self.sizes, strict=True)]
+        del inverse
         keys = [r.astype(">u4").tobytes() for r in self.ranks]
         self.order = sorted(range(len(sets)), key=keys.__getitem__)
         nodes: list[list] = []  # start of the run, its end, whose ranks, parent
@@ -299,7 +304,7 @@ class PrefixTree:
         ranks_in = np.concatenate(runs)
         order = np.argsort(ranks_in, kind="stable")
         # the nodes whose runs hold each rank
-        self.nodes_of = np.repeat(np.arange(len(runs)), lengths)[order]
+        self.nodes_of = np.repeat(np.arange(len(runs), dtype=np.int32), lengths)[order]
         self.first_of = np.searchsorted(ranks_in[order], np.arange(len(values) + 1))
         self.last = np.array([r[-1] for r in runs])
         children: dict[int, list[int]] = {}
@@ -427,12 +432,13 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, part_sets
     """
     spark = docs.sparkSession
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    told = written(src.mapInArrow(lean(_describe(k)), "doc_id long, n long, f1 long, f2 long"), "sets")
+    with small_batches(spark, TEXT_ROWS):
+        told = written(src.mapInArrow(lean(_describe(k)), "doc_id long, n long, f1 long, f2 long"), "sets")
+        frequent = spark.sparkContext.broadcast(frequent_shingles(src, k))
     classes = told.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
 
     parts = max(partitions(spark), 1)
     blocks_of = max(1, parts // 4)  # each task of a part sends the edges of the sets that meet in it
-    frequent = spark.sparkContext.broadcast(frequent_shingles(src, k))
     sent = src.mapInArrow(lean(_send(k, percent, blocks_of, frequent)), "p long, s long, x binary, y binary")
     with small_batches(spark):
         met = written(sent.repartition(blocks_of, "p").sortWithinPartitions("p", "s").mapInArrow(lean(_meet), "a long, b long"), "met")
@@ -446,17 +452,18 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, part_sets
     sizes = sizes.select("block", F.greatest(F.ceil(F.col("sets") / part_sets), F.ceil(F.col("total") / part_shingles)).cast("long").alias("parts"))
     blocks = written(sets_of.join(sizes, "block").select(F.col("doc_id").alias("__n"), "block", "parts", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part")), "blocks")
     picked = src.join(blocks, src.doc_id == blocks["__n"]).select("block", "part", "parts", "doc_id", "text")
-    sets = written(picked.mapInArrow(lean(_as_sets(k)), "block long, part long, parts long, doc long, shingles binary").dropDuplicates(["doc"]), "members")
-    links = sets.repartition(parts, "block", "part").sortWithinPartitions("block", "part", "doc").mapInArrow(lean(_within(percent)), "a long, b long")
+    with small_batches(spark, TEXT_ROWS):
+        sets = written(picked.mapInArrow(lean(_as_sets(k)), "block long, part long, parts long, doc long, shingles binary").dropDuplicates(["doc"]), "members")
+        within = sets.repartition(parts, "block", "part").sortWithinPartitions("block", "part", "doc").mapInArrow(lean(_within(percent)), "a long, b long")
+        links = written(within, "links")
 
     large = sets.where("parts > 1")
     if not large.isEmpty():
-        links = written(links, "links")
-        placed = large.select(F.col("doc").alias("d"), "block", "part", "parts")
+        placed = large.select(F.col("doc").alias("d"), "block", "part", "parts", (F.octet_length("shingles") / 8).cast("long").alias("n"))
 
         def labelled():
             c = components(links)
-            return written(placed.join(c, placed["d"] == c["node"], "left").select("d", "block", "part", "parts", F.coalesce("component", "d").alias("comp")), "parts")
+            return written(placed.join(c, placed["d"] == c["node"], "left").select("d", "block", "part", "parts", "n", F.coalesce("component", "d").alias("comp")), "parts")
 
         def across(rows):
             rows = rows.join(sets.select("doc", "shingles"), F.col("d") == F.col("doc")).select("block", "i", "j", "side", "doc", "comp", "shingles")
@@ -466,16 +473,20 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, part_sets
         now = labelled()
         i = F.explode(F.array(F.struct(F.col("part").alias("i"), F.lit(0).alias("side")), F.struct(F.pmod(F.col("part") - 1, F.col("parts")).alias("i"), F.lit(1).alias("side"))))
         ring = now.select("d", "block", "comp", "parts", i.alias("e")).select("d", "block", F.col("e.i").alias("i"), F.lit(0).cast("long").alias("j"), "e.side", "comp")
-        links = written(links.unionByName(across(ring)), "links")
+        with small_batches(spark, TEXT_ROWS):
+            links = written(links.unionByName(across(ring)), "links")
         # what is outside its block's largest component against all of the block
         now = labelled()
-        counts = now.groupBy("block", "comp").count().groupBy("block").agg(F.max(F.struct("count", "comp")).alias("top"), F.sum("count").alias("all"))
-        counts = counts.where("all > top.count").select("block", F.col("top.comp").alias("main"), F.ceil((F.col("all") - F.col("top.count")) / part_sets).cast("long").alias("heaps"))
+        counts = now.groupBy("block", "comp").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("total"))
+        counts = counts.groupBy("block").agg(F.max(F.struct("sets", "comp", "total")).alias("top"), F.sum("sets").alias("sets"), F.sum("total").alias("total")).where("sets > top.sets")
+        heaps = F.greatest(F.ceil((F.col("sets") - F.col("top.sets")) / part_sets), F.ceil((F.col("total") - F.col("top.total")) / part_shingles))
+        counts = counts.select("block", F.col("top.comp").alias("main"), heaps.cast("long").alias("heaps"))
         now = now.join(counts, "block")
         heap = F.pmod(F.xxhash64("d", F.lit(1)), F.col("heaps"))
         every = now.select("d", "block", "comp", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("heaps") - 1)).alias("i")).select("d", "block", "i", F.col("part").alias("j"), F.lit(1).alias("side"), "comp")
         rest = now.where("comp <> main").select("d", "block", "comp", heap.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("j")).select("d", "block", "i", "j", F.lit(0).alias("side"), "comp")
-        links = links.unionByName(across(rest.unionByName(every)))
+        with small_batches(spark, TEXT_ROWS):
+            links = written(links.unionByName(across(rest.unionByName(every))), "links")
     joined = components(links)
     rep = same.join(joined, F.col("rep") == F.col("node"), "left").select(F.col("doc_id").alias("__d"), F.coalesce("component", "rep").alias("component_id"))
     out = told.join(rep, told.doc_id == rep["__d"], "left")
