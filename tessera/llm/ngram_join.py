@@ -18,11 +18,13 @@ Sets of k-word shingles (64-bit hashes) link when their Jaccard similarity reach
    cannot reach the overlap that the shortest set below needs. A set whose possible partners are all in its component
    already doesn't walk.
    Groups over a bound are cut into parts by a hash. Each part meets the next one; then what is still outside its
-   group's largest component meets all of the group, in tasks of bounded size.
+   group's largest component meets what of the group is near it in size, in tasks of bounded size.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -402,7 +404,7 @@ def _within(percent: int):
 
 def _across(percent: int):
     def run(batches):
-        for _, rows in _groups(batches, 3):
+        for _, rows in _groups(batches, 4):
             side = np.array([r[0] for r in rows])
             if side.min() == side.max():
                 continue
@@ -466,25 +468,31 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, part_sets
             return written(placed.join(c, placed["d"] == c["node"], "left").select("d", "block", "part", "parts", "n", F.coalesce("component", "d").alias("comp")), "parts")
 
         def across(rows):
-            rows = rows.join(sets.select("doc", "shingles"), F.col("d") == F.col("doc")).select("block", "i", "j", "side", "doc", "comp", "shingles")
-            return rows.repartition(parts, "block", "i", "j").sortWithinPartitions("block", "i", "j", "side", "doc").mapInArrow(lean(_across(percent)), "a long, b long")
+            rows = rows.join(sets.select("doc", "shingles"), F.col("d") == F.col("doc")).select("block", "band", "i", "j", "side", "doc", "comp", "shingles")
+            return rows.repartition(parts, "block", "band", "i", "j").sortWithinPartitions("block", "band", "i", "j", "side", "doc").mapInArrow(lean(_across(percent)), "a long, b long")
 
         # each part with the next: parts of one large group of near copies come together here
         now = labelled()
         i = F.explode(F.array(F.struct(F.col("part").alias("i"), F.lit(0).alias("side")), F.struct(F.pmod(F.col("part") - 1, F.col("parts")).alias("i"), F.lit(1).alias("side"))))
-        ring = now.select("d", "block", "comp", "parts", i.alias("e")).select("d", "block", F.col("e.i").alias("i"), F.lit(0).cast("long").alias("j"), "e.side", "comp")
+        ring = now.select("d", "block", "comp", "parts", i.alias("e")).select("d", "block", F.lit(0).cast("long").alias("band"), F.col("e.i").alias("i"), F.lit(0).cast("long").alias("j"), "e.side", "comp")
         with small_batches(spark, TEXT_ROWS):
             links = written(links.unionByName(across(ring)), "links")
-        # what is outside its block's largest component against all of the block
-        now = labelled()
-        counts = now.groupBy("block", "comp").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("total"))
-        counts = counts.groupBy("block").agg(F.max(F.struct("sets", "comp", "total")).alias("top"), F.sum("sets").alias("sets"), F.sum("total").alias("total")).where("sets > top.sets")
-        heaps = F.greatest(F.ceil((F.col("sets") - F.col("top.sets")) / part_sets), F.ceil((F.col("total") - F.col("top.total")) / part_shingles))
-        counts = counts.select("block", F.col("top.comp").alias("main"), heaps.cast("long").alias("heaps"))
-        now = now.join(counts, "block")
-        heap = F.pmod(F.xxhash64("d", F.lit(1)), F.col("heaps"))
-        every = now.select("d", "block", "comp", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("heaps") - 1)).alias("i")).select("d", "block", "i", F.col("part").alias("j"), F.lit(1).alias("side"), "comp")
-        rest = now.where("comp <> main").select("d", "block", "comp", heap.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("j")).select("d", "block", "i", "j", F.lit(0).alias("side"), "comp")
+        # what is outside its block's largest component against what of the block is of a size that may link: sets that
+        # link are of the same band of sizes or of neighbours
+        band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1.0)).cast("long")
+        now = labelled().withColumn("band", band)
+        tops = now.groupBy("block", "comp").count().groupBy("block").agg(F.max(F.struct("count", "comp")).alias("top"), F.sum("count").alias("all"))
+        now = now.join(tops.where("all > top.count").select("block", F.col("top.comp").alias("main")), "block")
+        bound = F.greatest(F.ceil(F.count(F.lit(1)) / part_sets), F.ceil(F.sum("n") / part_shingles)).cast("long")
+        heaps = written(now.where("comp <> main").groupBy("block", "band").agg(bound.alias("heaps")), "heaps")
+        near = F.explode(F.array(*[F.col("band") + x for x in (-1, 0, 1)]))
+        shelves = now.select("block", "n", near.alias("band")).groupBy("block", "band").agg(bound.alias("shelves")).join(heaps, ["block", "band"])
+        shelves = written(shelves, "shelves")
+        i, j = F.pmod(F.xxhash64("d", F.lit(1)), F.col("heaps")).alias("i"), F.pmod(F.xxhash64("d", F.lit(2)), F.col("shelves")).alias("j")
+        every = now.select("d", "block", "comp", near.alias("band")).join(shelves, ["block", "band"])
+        every = every.select("d", "block", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("heaps") - 1)).alias("i"), j, F.lit(1).alias("side"), "comp")
+        rest = now.where("comp <> main").join(shelves, ["block", "band"])
+        rest = rest.select("d", "block", "band", i, F.explode(F.sequence(F.lit(0).cast("long"), F.col("shelves") - 1)).alias("j"), F.lit(0).alias("side"), "comp")
         with small_batches(spark, TEXT_ROWS):
             links = written(links.unionByName(across(rest.unionByName(every))), "links")
     joined = components(links)
