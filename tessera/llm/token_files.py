@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Utf8, column_of, kept, lean, partitions, shared_path, table, written
+from tessera.llm.common import Utf8, column_of, kept, lean, partitions, shared_path, small_batches, table, written
 
 BLOCK = 256
 HEAD, TAIL, NO_ID = b"PFOR1\0\0\0", b"PFOR1END", -(1 << 63)
@@ -223,7 +223,7 @@ class PieceEncoder:
     always one token, so many pieces are encoded in one call, a line each. Pieces are kept up to a number.
     """
 
-    def __init__(self, path: str, ordinary: bool = True, most: int = 600_000):
+    def __init__(self, path: str, ordinary: bool = True, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -338,7 +338,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end: int = 0,
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([f"{path}/{name}"]), pa.array([len(w.docs)], pa.int64()), pa.array([w.n_ids], pa.int64())], ["part", "file", "docs", "ids"])
 
     dealt = src.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return written(dealt.mapInArrow(lean(run, keeps=True), "part long, file string, docs long, ids long"), "token-files")
+    with small_batches(docs.sparkSession, 1000):
+        return written(dealt.mapInArrow(lean(run, keeps=True), "part long, file string, docs long, ids long"), "token-files")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
