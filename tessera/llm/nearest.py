@@ -1,9 +1,11 @@
-"""Approximate nearest neighbours by cross-polytope hashing.
+"""Nearest neighbours by cross-polytope hashing and an exact scan for what the hashes leave open.
 
 A hash rotates a unit vector by three rounds of random signs and a fast Hadamard transform and takes the signed axis
 nearest to it; one more hash with fewer axes sets the number of buckets of a table to about a row count over
 ``bucket_rows``. Queries probe, besides their own, the buckets of the next-nearest axes. What shares a probed bucket is
-ranked by the exact distance of the original vectors.
+ranked by the exact distance of the original vectors. The probed buckets of a table also give a distance under which no
+other bucket has a vector. Queries with fewer than k found, or whose k-th lies no nearer than that, are held against all
+vectors, in blocks of queries; so the result is exact whatever the hashes do, and they only spare scans.
 
 Equal vectors are one class, of which only the smallest ids can be among the nearest, so large groups of copies cost no
 more than one vector. Buckets over a bound are dealt to several tasks. All rows are indexed; nothing is fitted.
@@ -65,8 +67,12 @@ class Tables:
             code = code * s.shape[1] + s.argmax(1)
         return code
 
-    def probes(self, unit: np.ndarray, t: int, number: int) -> list[np.ndarray]:
-        """The buckets of each row that lose least against its own, its own first."""
+    def probes(self, unit: np.ndarray, t: int, number: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """The buckets of each row that lose least against its own, its own first, and how near the others may come.
+
+        What is in the bucket of axis a has that coordinate as its largest, so its distance to a row is at least the row's
+        loss there over the root of 2; of several hashes one has at least the mean of the squared losses.
+        """
         code, loss = np.zeros((len(unit), 1), np.int64), np.zeros((len(unit), 1))
         for s in self.scores(unit, t):
             k = min(number, s.shape[1])
@@ -77,7 +83,8 @@ class Tables:
             loss = (loss[:, :, None] + part[:, None, :]).reshape(len(unit), -1)
             keep = np.argsort(loss, axis=1, kind="stable")[:, :number]
             code, loss = np.take_along_axis(code, keep, 1), np.take_along_axis(loss, keep, 1)
-        return list(code)
+        every = code.shape[1] == np.prod([2.0 * a for a in self.axes])
+        return list(code), np.full(len(unit), np.inf) if every else np.sqrt(loss[:, -1] / (2 * len(self.axes)))
 
 
 def valid_vectors(batch: pa.RecordBatch):
@@ -138,6 +145,17 @@ def _queries_of(batches):
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], ["query_id", "key"])
 
 
+def _unit(vecs: list, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of length 1 and the lengths before."""
+    x = np.frombuffer(b"".join(vecs)).reshape(len(vecs), size)
+    # scaled first, so that no square leaves the range of doubles
+    most = np.abs(x).max(1)
+    unit = x / most[:, None]
+    length = np.sqrt((unit**2).sum(1))
+    with np.errstate(over="ignore"):
+        return unit / length[:, None], np.minimum(most * length, np.finfo(float).max)
+
+
 def _hashed(tables: int, buckets: int, probes: int, vectors: bool):
     """A row for each table and bucket of a class, or for each probed bucket (probes > 0)."""
 
@@ -150,13 +168,10 @@ def _hashed(tables: int, buckets: int, probes: int, vectors: bool):
                 at = np.flatnonzero(sizes == size)
                 for lo in range(0, len(at), CHUNK):
                     part = at[lo : lo + CHUNK]
-                    x = np.frombuffer(b"".join(vecs[i] for i in part)).reshape(len(part), size)
-                    # scaled first, so that no square leaves the range of doubles
-                    unit = x / np.abs(x).max(1, keepdims=True)
-                    unit = unit / np.sqrt((unit**2).sum(1, keepdims=True))
+                    unit, _ = _unit([vecs[i] for i in part], size)
                     h = made.setdefault(int(size), Tables(int(size), tables, buckets))
                     for t in range(tables):
-                        codes = h.probes(unit, t, probes) if probes else h.codes(unit, t)[:, None]
+                        codes = h.probes(unit, t, probes)[0] if probes else h.codes(unit, t)[:, None]
                         n = [len(c) for c in codes]
                         rows = np.repeat(part, n)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), size), pa.int32()), pa.array(np.full(len(rows), t), pa.int32()), pa.array(np.concatenate(list(codes)), pa.int64()), pa.array([reps[i] for i in rows], pa.int64()), *([pa.array([vecs[i] for i in rows], pa.binary())] if vectors else [])], ["dim", "t", "bucket", "rep", "vector"][: 4 + vectors])
@@ -164,6 +179,89 @@ def _hashed(tables: int, buckets: int, probes: int, vectors: bool):
     return run
 
 
+def _reach(tables: int, buckets: int, probes: int):
+    """Of each class a distance under which nothing is outside its probed buckets."""
+
+    def run(batches):
+        made: dict[int, Tables] = {}
+        for b in batches:
+            reps, vecs = column_of(b, "rep").to_pylist(), column_of(b, "vector").to_pylist()
+            sizes = np.array([len(v) // 8 for v in vecs])
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
+                for lo in range(0, len(at), CHUNK):
+                    part = at[lo : lo + CHUNK]
+                    unit, length = _unit([vecs[i] for i in part], size)
+                    h = made.setdefault(int(size), Tables(int(size), tables, buckets))
+                    far = np.max([h.probes(unit, t, probes)[1] for t in range(tables)], axis=0)
+                    far = np.maximum(far - 1e-9, 0) * length  # rounding
+                    yield pa.RecordBatch.from_arrays([pa.array([reps[i] for i in part], pa.int64()), pa.array(far, pa.float64())], ["q", "reach"])
+
+    return run
+
+
+def _scanned(held, k: int):
+    """Of each query of a broadcast block the k nearest classes among a task's; what is beyond its ``cut`` is left out."""
+
+    def run(batches):
+        blocks, found = {}, {}
+        for size, (reps, y, cut) in held.value.items():
+            blocks[size] = reps, y, (y**2).sum(1), cut.copy()
+        for b in batches:
+            reps, vecs = np.asarray(column_of(b, "rep")), column_of(b, "vector").to_pylist()
+            sizes = np.array([len(v) // 8 for v in vecs])
+            for size in np.unique(sizes):
+                if size not in blocks:
+                    continue
+                at = np.flatnonzero(sizes == size)
+                queries, ys, yy, cut = blocks[size]
+                for lo in range(0, len(at), CHUNK):
+                    part = at[lo : lo + CHUNK]
+                    x, mine = np.frombuffer(b"".join(vecs[i] for i in part)).reshape(len(part), size), reps[part]
+                    xx = (x**2).sum(1)
+                    for q0 in range(0, len(queries), 512):
+                        y, some = ys[q0 : q0 + 512], slice(q0, q0 + 512)
+                        both = xx[:, None] + yy[some]
+                        # squares that rounding can only make smaller; what isn't a number may be near
+                        low = both - 2 * (x @ y.T) - 1e-9 * both
+                        may = ~(low > cut[some] ** 2 * (1 + 1e-9))
+                        for j in np.flatnonzero(may.any(0)):
+                            near = np.flatnonzero(may[:, j])
+                            near = near[mine[near] != queries[q0 + j]]
+                            d = np.sqrt(((x[near] - y[j]) ** 2).sum(1))
+                            d0, r0 = found.get((size, q0 + j), (np.zeros(0), np.zeros(0, np.int64)))
+                            ok = d <= cut[q0 + j]
+                            d, r = np.concatenate([d0, d[ok]]), np.concatenate([r0, mine[near[ok]]])
+                            order = np.lexsort((r, d))[:k]
+                            found[size, q0 + j] = d[order], r[order]
+                            if len(order) == k:
+                                cut[q0 + j] = min(cut[q0 + j], d[order[-1]])
+        for (size, j), (d, r) in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), blocks[size][0][j]), pa.int64()), pa.array(d, pa.float64()), pa.array(r, pa.int64())], ["q", "d", "rep"])
+
+    def quiet(batches):
+        with np.errstate(over="ignore", invalid="ignore"):
+            yield from run(batches)
+
+    return quiet
+
+
+def _scan(classes: DataFrame, unsure: DataFrame, k: int, block_bytes: int) -> DataFrame | None:
+    """``(q, d, rep)``: the k nearest classes of every row (rep, vector, cut) of ``unsure``, from all classes."""
+    context, out = classes.sparkSession.sparkContext, None
+    total = unsure.agg(F.sum(F.length("vector") + 16).alias("n")).first()["n"] or 0
+    blocks = -(-total // block_bytes)
+    for n in range(blocks):
+        some = unsure.where(F.pmod(F.xxhash64("rep"), F.lit(blocks)) == n).toArrow()
+        by_size: dict[int, list] = {}
+        for row in zip(*(some.column(c).to_pylist() for c in ("rep", "vector", "cut")), strict=True):
+            by_size.setdefault(len(row[1]) // 8, []).append(row)
+        held = context.broadcast({size: (np.array([r[0] for r in rows]), np.frombuffer(b"".join(r[1] for r in rows)).reshape(-1, size), np.array([r[2] for r in rows])) for size, rows in by_size.items()})
+        part = classes.select("rep", "vector").mapInArrow(lean(_scanned(held, k)), "q long, d double, rep long")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _ranked(k: int):
     """Of each group's queries the k nearest classes in it; queries come first, and classes pass in chunks."""
 
@@ -221,13 +319,13 @@ def _ranked(k: int):
     return run
 
 
-def nearest_neighbours(vectors: DataFrame, is_query, k: int = 10, tables: int = 10, probes: int = 8, bucket_rows: int = 256, most_rows: int = 20_000, most_queries: int = 2_000) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: the k nearest found of every query, by Euclidean distance, ties to the smaller vec_id.
+def nearest_neighbours(vectors: DataFrame, is_query, k: int = 10, tables: int = 10, probes: int = 8, bucket_rows: int = 256, most_rows: int = 20_000, most_queries: int = 2_000, block_bytes: int = 8 << 20) -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: the k nearest of every query, all candidates if they are fewer, by Euclidean distance, ties to the smaller vec_id.
 
     ``vectors`` has vec_id, embedding; ``is_query`` is a condition on vec_id. Every other row is a candidate. Vectors
     that are null, zero, or hold a null or non-finite component take no part; vectors of different lengths are never
-    compared. Rows of one vec_id and equal vectors count once. Tables with few rows get more probes, so that recall
-    holds; so do tables with many buckets. Extra columns are ignored; an empty table gives an empty result.
+    compared. Rows of one vec_id and equal vectors count once. Tables with few rows get more probes, so that fewer
+    queries need a scan; so do tables with many buckets. Extra columns are ignored; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     src = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -260,7 +358,17 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 10, tables: int =
     key = [*place, "salt"]
     found = met.repartition(partitions(spark), *key).sortWithinPartitions(*key, "side", "rep").mapInArrow(lean(_ranked(k)), "q long, d double, rep long")
     best = found.groupBy("q").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "rep"))), 1, k).alias("near"))  # tables * probes * k at most
-    near = asked.select(F.col("rep").alias("q")).join(best, "q", "left").select("q", F.explode(F.concat(F.coalesce("near", F.array().cast("array<struct<d:double,rep:bigint>>")), F.array(F.struct(F.lit(0.0).alias("d"), F.col("q").alias("rep"))))).alias("c"))
+    none = F.array().cast("array<struct<d:double,rep:bigint>>")
+    reach = asked.mapInArrow(lean(_reach(tables, buckets, number)), "q long, reach double")
+    hashed = written(asked.withColumnRenamed("rep", "q").join(reach, "q").join(best, "q", "left").withColumn("near", F.coalesce("near", none)), "hashed")
+    cut = F.when(F.size("near") == k, F.col("near")[k - 1]["d"]).otherwise(F.lit(float("inf")))
+    unsure = hashed.withColumn("cut", cut).where(F.col("cut") * (1 + 1e-9) >= F.col("reach")).where("reach < double('inf')").select(F.col("q").alias("rep"), "vector", (F.col("cut") * (1 + 1e-9)).alias("cut"))
+    scanned = _scan(classes, unsure, k, block_bytes)
+    near = hashed.select("q", "near")
+    if scanned is not None:
+        exact = scanned.groupBy("q").agg(F.collect_list(F.struct("d", "rep")).alias("exact"))  # k a task at most
+        near = near.join(exact, "q", "left").select("q", F.coalesce(F.slice(F.array_sort("exact"), 1, k), "near").alias("near"))
+    near = near.select("q", F.explode(F.concat("near", F.array(F.struct(F.lit(0.0).alias("d"), F.col("q").alias("rep"))))).alias("c"))
     named = near.select("q", "c.d", "c.rep").join(classes.select("rep", "ids"), "rep").select("q", F.explode(F.transform("ids", lambda i: F.struct(F.col("d"), i.alias("id")))).alias("c"))
     lists = named.groupBy("q").agg(F.slice(F.array_sort(F.collect_list("c")), 1, k + 1).alias("list"))  # (k + 1) ** 2 at most
     mine = queries.join(lists, queries["rep"] == lists["q"]).select("query_id", F.slice(F.filter("list", lambda c: c["id"] != F.col("query_id")), 1, k).alias("list"))

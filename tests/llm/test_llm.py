@@ -188,6 +188,29 @@ def test_nearest(spark):
     assert nearest.nearest_neighbours(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("case", ["opposite", "few", "outlier", "norms", "cone"])
+def test_nearest_is_whole(spark, case):
+    rng = np.random.default_rng(8)
+    x = {"opposite": np.ones((2, 64)), "few": rng.normal(size=(7, 64)), "outlier": rng.normal(size=(400, 64)), "norms": rng.normal(size=(3000, 32)), "cone": rng.normal(size=(10_001, 64)) / 50 + 1}[case]
+    if case == "opposite":
+        x = rng.normal(size=(1, 64)) * np.array([[1.0], [-1.0]])
+    if case == "outlier":
+        x[:3] *= 1000.0
+    if case == "norms":
+        x *= np.exp(rng.normal(size=(3000, 1)) * 2)
+    if case == "cone":
+        x[0] *= -1
+    every = {"opposite": 1, "few": 1, "outlier": 40, "norms": 60, "cone": 20_000}[case]
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in nearest.nearest_neighbours(df, F.col("vec_id") % every == 0, block_bytes=10_000).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in range(0, len(x), every):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        want = [int(i) for i in np.lexsort((np.arange(len(x)), d)) if i != q][:10]
+        assert sorted(found.get(q, [])) == [(n + 1, i, float(d[i])) for n, i in enumerate(want)]
+
+
 def test_url_filters(spark, sf_dir):
     cases = [
         ("http://a.NET/x", "a.net", "/x", "net/", "block"), ("https://b.example.net/en/1?q=/de/", "b.example.net", "/en/1", "example.net/en/", "allow"), ("http://example.com/de/#x", "example.com", "/de/", "example.com/de/", "block"),
