@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Utf8, column_of, lean, table
+from tessera.llm.common import Utf8, column_of, forget, lean, table, written
 
 CELLS = 1 << 16
 _CLASS = np.zeros(256, np.uint32)
@@ -114,17 +114,30 @@ class LanguageModel:
 
 
 def learn_languages(labelled: DataFrame, rows_per_language: int = 1500) -> LanguageModel:
-    """Learn from (text, lang); of each language at most ``rows_per_language`` whole texts, those with the smallest hashes; copies count once."""
+    """Learn from (text, lang); of each language at most ``rows_per_language`` distinct texts, those with the smallest hashes, or all if they are fewer."""
+    every = 1 << 30
     rank = Window.partitionBy("lang").orderBy("h", "text")
     labelled = labelled.where("lang is not null and text is not null")
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
-    rows = labelled.select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 30)).alias("h"))
-    # of a language with many texts only those under a bound on the hash, about twice as many as wanted, are shuffled
-    bounds = {lang: int((1 << 30) * 2 * rows_per_language / n) for lang, n in counts.items() if n > 2 * rows_per_language}
-    if bounds:
-        limit = F.create_map(*[F.lit(x) for kv in bounds.items() for x in kv])[F.col("lang")]
-        rows = rows.where(limit.isNull() | (F.col("h") < limit))
-    some = rows.dropDuplicates(["lang", "text"]).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= rows_per_language).select("lang", "text")
+    rows = labelled.select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(every)).alias("h"))
+    # of a language with many distinct texts only those under a bound on the hash, about twice as many as wanted, are shuffled
+    distinct = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}  # a row for each language
+    bounds = {lang: int(every * 2 * rows_per_language / n) for lang, n in distinct.items() if n > 2 * rows_per_language}
+    while True:
+        under = rows
+        if bounds:
+            limit = F.create_map(*[F.lit(x) for kv in bounds.items() for x in kv])[F.col("lang")]
+            under = rows.where(limit.isNull() | (F.col("h") < limit))
+        some = under.dropDuplicates(["lang", "text"]).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= rows_per_language).select("lang", "text")
+        if not bounds:
+            break
+        some = written(some, "sample")
+        passed = {r["lang"]: r["count"] for r in some.groupBy("lang").count().collect()}
+        short = {lang for lang in bounds if passed.get(lang, 0) < rows_per_language}
+        if not short:
+            break
+        forget(some)
+        raised = {lang: 4 * bound if lang in short else bound for lang, bound in bounds.items()}
+        bounds = {lang: bound for lang, bound in raised.items() if bound < every}
     got = some.mapInArrow(lean(_counts), "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(got.column("lang").to_pylist()))
     counts = np.zeros((len(langs), CELLS))

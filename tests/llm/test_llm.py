@@ -301,6 +301,25 @@ def test_language_id(spark, sf_dir, docs, empty):
     assert {r["lang_pred"] for r in language_id.identify_languages(docs, language_id.learn_languages(empty)).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("guess", [None, 1_000_000])
+def test_languages_with_many_copies(spark, monkeypatch, guess):
+    texts = [(text_of(i, 30), "a") for i in range(40)] + [(text_of(100 + i, 30), "b") for i in range(2)] + [(text_of(200 + i, 30), "c") for i in range(300)]
+    once = spark.createDataFrame(texts, "text string, lang string")
+    many = once.crossJoin(spark.range(50))
+    if guess:  # a count that is far off must not change what is learned
+        monkeypatch.setattr(language_id.F, "approx_count_distinct", lambda c: F.first(F.lit(guess)))
+    model = language_id.learn_languages(many.select("text", "lang"), rows_per_language=30)
+    first = {r["lang"]: [] for r in once.collect()}
+    for r in once.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 30))).orderBy("h", "text").collect():
+        first[r["lang"]].append(r["text"])
+    counts = np.zeros((3, language_id.CELLS))
+    for n, lang in enumerate("abc"):
+        for text in first[lang][:30]:
+            data = np.frombuffer(text.encode(), np.uint8)
+            counts[n] += np.bincount(language_id.trigrams(data, np.array([0, len(data)]))[0], minlength=language_id.CELLS)
+    assert model.langs == ["a", "b", "c"] and np.array_equal(model.table, language_id.LanguageModel(model.langs, counts).table)
+
+
 def test_classifiers(spark, docs, empty):
     d = "/root/testdata/sf0.01"
     real, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
