@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from tessera.llm.common import shared_path, table
 from tessera.llm.decontaminate import without_contaminated
@@ -40,15 +41,19 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of one doc_id are told apart by their number in the order of text and source."""
-    names = docs.columns
-    mixed = mix_sources(docs.select("doc_id", "text", "source")).where("copies > 0")
-    nth = lambda *by: F.row_number().over(Window.partitionBy("doc_id").orderBy(*by))
-    mixed = mixed.withColumn("__nth", nth("size", "target", F.desc("copies"))).select(F.col("doc_id").alias("__id"), "__nth", "copies")
-    size = F.size(F.split(F.col("text"), " "))
-    rows = docs.withColumn("__row", nth(size, "text", "source"))
-    taken = rows.join(mixed, rows["doc_id"].eqNullSafe(mixed["__id"]) & (rows["__row"] == mixed["__nth"]))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*names)
+    """Rows are told apart by two hashes of doc_id, source and text, and by a number among equal rows.
+
+    Equal rows stand for each other: those with the most copies are the first of them.
+    """
+    names, key = docs.columns, ["__a", "__b"]
+    row = [F.col(c).isNull() for c in ("doc_id", "source", "text")] + ["doc_id", "source", "text"]
+    keyed = docs.withColumns({"__a": F.xxhash64(*row), "__b": F.xxhash64(F.lit(1), *row)})
+    other = [f.name for f in docs.schema if isinstance(f.dataType, AtomicType) and f.name not in ("doc_id", "source", "text")]
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*key).orderBy(*by))
+    mixed = mix_sources(keyed.select("doc_id", "text", "source", *key), carry=tuple(key))
+    mixed = mixed.withColumn("__nth", nth(F.desc("copies"))).where("copies > 0").select(*key, "__nth", F.col("copies").alias("__copies"))
+    taken = keyed.withColumn("__nth", nth(*(other or key))).join(mixed, [*key, "__nth"])
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*names)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

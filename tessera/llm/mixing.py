@@ -53,9 +53,8 @@ def source_targets(sizes: DataFrame, weights: tuple = (3, 1, 2), share: float =
     return ranked.select("source", "n_docs", "source_size", "rank", F.least(F.col("weight") * F.lit(level), limit).alias("target"))
 
 
-def _settle(rows: Column, seed: int) -> Column:
-    """Pair the rows of one block in turn; ``done`` has those that became whole, ``left`` the one that did not."""
-    row = "struct<k:bigint,h:bigint,id:bigint,size:bigint,base:bigint,p:double>"
+def _settle(rows: Column, seed: int, row: str) -> Column:
+    """Pair the rows (of type ``row``) of one block in turn; ``done`` has those that became whole, ``left`` the one that did not."""
 
     def step(state, d):
         c = state["left"]
@@ -81,20 +80,21 @@ def _settle(rows: Column, seed: int) -> Column:
     return F.aggregate(rows, start, step)
 
 
-def pivotal_copies(docs: DataFrame, seed: int = 7, fan_in: int = 64) -> DataFrame:
+def pivotal_copies(docs: DataFrame, seed: int = 7, fan_in: int = 64, carry: tuple = ()) -> DataFrame:
     """``(id, size, rank, copies)`` for rows (id, size > 0, rank, n_docs, copies: fractional number), whole copies.
 
-    Blocks hold about ``fan_in`` rows; rows of one rank are paired with each other only.
+    Blocks hold about ``fan_in`` rows; rows of one rank are paired with each other only. Columns ``carry`` come along.
     """
     p = F.col("copies") - F.floor("copies")
     p = F.when(p < 1e-9, 0.0).when(p > 1 - 1e-9, 1.0).otherwise(p)
-    rows = docs.select("rank", F.greatest(F.ceil(F.col("n_docs") / fan_in), F.lit(1)).cast("long").alias("blocks"), F.struct((-F.col("size")).alias("k"), F.xxhash64(F.lit(seed), "id", "size").alias("h"), "id", "size", F.floor("copies").cast("long").alias("base"), p.alias("p")).alias("row"))
+    rows = docs.select("rank", F.greatest(F.ceil(F.col("n_docs") / fan_in), F.lit(1)).cast("long").alias("blocks"), F.struct((-F.col("size")).alias("k"), F.xxhash64(F.lit(seed), "id", "size").alias("h"), "id", "size", F.floor("copies").cast("long").alias("base"), p.alias("p"), *carry).alias("row"))
+    kind = rows.schema["row"].dataType.simpleString()
     whole = rows.where("row.p in (0.0, 1.0)").select("rank", "row")
     todo, done = rows.where("row.p not in (0.0, 1.0)"), [whole]
     while True:
         block = F.pmod(F.shiftright(F.col("row.h"), 3), F.col("blocks"))
         settled = todo.withColumn("block", block).groupBy("rank", "blocks", "block").agg(F.sort_array(F.collect_list("row")).alias("rows"))
-        settled = written(settled.select("rank", "blocks", _settle(F.col("rows"), seed).alias("s")), "settled")
+        settled = written(settled.select("rank", "blocks", _settle(F.col("rows"), seed, kind).alias("s")), "settled")
         done.append(settled.select("rank", F.explode("s.done").alias("row")))
         left = settled.where("s.left is not null").select("rank", "blocks", F.col("s.left").alias("row"))
         done.append(left.where("blocks = 1").select("rank", F.col("row").withField("p", F.when(F.col("row.p") >= 0.5, 1.0).otherwise(0.0)).alias("row")))
@@ -104,27 +104,27 @@ def pivotal_copies(docs: DataFrame, seed: int = 7, fan_in: int = 64) -> DataFram
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select(F.col("row.id").alias("id"), F.col("row.size").alias("size"), "rank", (F.col("row.base") + F.col("row.p").cast("long")).alias("copies"))
+    return out.select(F.col("row.id").alias("id"), F.col("row.size").alias("size"), "rank", (F.col("row.base") + F.col("row.p").cast("long")).alias("copies"), *[F.col(f"row.{c}") for c in carry])
 
 
-def mix_sources(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7, small_sources: int = 10_000) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7, small_sources: int = 10_000, carry: tuple = ()) -> DataFrame:
     """``(doc_id, size, source_size, target, taken, copies)`` for every row of ``docs`` (doc_id, text, source).
 
     A text's size is its number of words; null, empty and blank texts have size 0 and are not taken (0 copies). A null
     source is a source, after all others. Rows of one doc_id are mixed as rows of their own. Reruns agree. An empty
-    table gives an empty result; extra columns are ignored.
+    table gives an empty result; extra columns are ignored but for those in ``carry``, which come along.
     """
-    sizes = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size")), "sizes")
+    sizes = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), *carry), "sizes")
     targets = written(source_targets(sizes, weights, share, most), "targets").withColumnRenamed("source", "of")
     if targets.count() <= small_sources:
         targets = F.broadcast(targets)
     rows = sizes.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of", "source")
     copies = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
     rows = rows.withColumn("copies", copies)
-    mixed = pivotal_copies(rows.where("size > 0").select(F.col("doc_id").alias("id"), "size", "rank", "n_docs", "copies"), seed)
+    mixed = pivotal_copies(rows.where("size > 0").select(F.col("doc_id").alias("id"), "size", "rank", "n_docs", "copies", *carry), seed, carry=carry)
     by_rank = targets.select("rank", "source_size", "target")
-    out = mixed.join(by_rank, "rank").select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
-    return out.unionByName(rows.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("copies")))
+    out = mixed.join(by_rank, "rank").select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", *carry)
+    return out.unionByName(rows.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("copies"), *carry))
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

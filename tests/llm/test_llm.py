@@ -359,6 +359,24 @@ def test_gradients_of_the_convolution():
         assert abs((up - down) / 2e-4 - g[name][1][at]) < 1e-3
 
 
+def test_pipeline_mixes_rows_with_null_and_repeated_ids(spark, sf_dir):
+    import corpus_pipeline as c
+
+    table = [(None if i % 2 else 1, f"{i}a" + " w" * (5 + 7 * (i % 13)), "ab"[i % 3 == 0], "en", i) for i in range(90)]
+    table += [(2, "same text " * 4, "b", "en", 100 + i) for i in range(4)] + [(3, None, "a", "en", 200), (3, "a", None, "en", 201), (4, "", "a", "en", 202)]
+    df = spark.createDataFrame(table, "doc_id long, text string, source string, lang string, n int").repartition(3)
+    out = [tuple(r) for r in c.mix(spark, df, sf_dir).collect()]
+    assert set(out) <= set(table) and out and max(map(out.count, out)) <= 2
+    mixed = mixing.mix_sources(df).collect()
+    assert sorted(len(r[1].split()) for r in out) == sorted(r["size"] for r in mixed for _ in range(r["copies"]))
+    target = {r["source_size"]: r["target"] for r in mixed}
+    for s in ("a", "b", None):
+        size = sum(len((r[1] or "").split()) for r in table if r[2] == s)
+        got = [len(r[1].split()) for r in out if r[2] == s]
+        assert abs(sum(got) - target[size]) <= max(len((r[1] or "").split()) for r in table if r[2] == s)
+    assert sorted(map(str, out)) == sorted(str(tuple(r)) for r in c.mix(spark, df.repartition(2), sf_dir).collect())
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as c
 
