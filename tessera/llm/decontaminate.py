@@ -43,44 +43,86 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
 
 
+def _runs(wd: np.ndarray, wi: np.ndarray, hits: np.ndarray, least: int, most_windows: int):
+    """(starts in doc, starts in item, words) of maximal matches, ordered by their ends but for one stretch of hits."""
+    held: dict[int, tuple[int, int, int]] = {}  # by diagonal, the matches that reach the end of the stretch
+    end = -2
+    for at in range(0, len(hits), most_windows):
+        part = hits[at : at + most_windows]
+        i, j = _pairs(wd[part], wi)
+        i = part[i]
+        # runs of windows along a diagonal are maximal matches
+        order = np.lexsort((i, i - j))
+        i, j = i[order], j[order]
+        start = np.flatnonzero(np.append(True, (np.diff(i) != 1) | (np.diff(i - j) != 0))) if len(i) else np.zeros(0, np.int64)
+        si, sj, n = i[start], j[start], np.diff(np.append(start, len(i)))
+        for r in np.flatnonzero(si == end + 1):
+            before = held.pop(int(si[r] - sj[r]), None)
+            if before:
+                si[r], sj[r], n[r] = before[0], before[1], before[2] + n[r]
+        over = list(held.values())
+        end = int(part[-1])
+        going = si + n - 1 == end
+        held = {int(d - t): (int(d), int(t), int(m)) for d, t, m in zip(si[going], sj[going], n[going], strict=True)}
+        done = np.array(over, np.int64).reshape(-1, 3), np.stack([si, sj, n], 1)[~going]
+        d, t, m = np.concatenate(done).T
+        yield d, t, m + least - 1
+    d, t, m = np.array(list(held.values()), np.int64).reshape(-1, 3).T
+    yield d, t, m + least - 1
+
+
 def greedy_tiles(doc: np.ndarray, item: np.ndarray, least: int, most_windows: int = 200_000) -> list[tuple[int, int, int]]:
     """Tiles (start in doc, start in item, words), longest first; no word of either is in two tiles.
 
-    A document with more than ``most_windows`` windows of the item goes through in stretches of so many, one after the
-    other, so memory is bounded; tiles end where a stretch does.
+    A document with more than ``most_windows`` windows of the item is searched in stretches of so many, so memory is
+    bounded; in each round the longest matches of all stretches are found before any is marked, so tiles are the same.
     """
     wd, wi = windows(doc, least), windows(item, least)
     hits = np.flatnonzero(np.isin(wd, wi))
-    free = np.ones(len(item), bool)
+    taken, free = np.zeros(len(doc), bool), np.ones(len(item), bool)
     out = []
-    for at in range(0, len(hits), most_windows):
-        part = hits[at : at + most_windows]
-        i, j = _pairs(wd[part], wi)
-        i = part[i]
-        busy = np.concatenate([[0], np.cumsum(~free)])  # an earlier stretch may have marked words
-        ok = busy[j + least] == busy[j]
-        i, j = i[ok], j[ok]
-        while len(i):
-            # runs of windows along a diagonal are maximal matches
-            order = np.lexsort((i, i - j))
-            i, j = i[order], j[order]
-            new = np.append(True, (np.diff(i) != 1) | (np.diff(i - j) != 0))
-            start = np.flatnonzero(new)
-            length = np.diff(np.append(start, len(i))) + least - 1
-            longest = int(length.max())
-            marked_d = np.zeros(len(doc), bool)
-            for r in start[length == longest][np.lexsort((j[start[length == longest]], i[start[length == longest]]))]:
-                d, t = int(i[r]), int(j[r])
-                if marked_d[d : d + longest].any() or not free[t : t + longest].all():
-                    continue
-                marked_d[d : d + longest] = True
-                free[t : t + longest] = False
-                out.append((d, t, longest))
-            # windows that touch a marked word are gone
-            busy_d = np.concatenate([[0], np.cumsum(marked_d)])
+
+    def mark(starts_d, starts_t, longest):
+        for r in np.lexsort((starts_t, starts_d)):
+            d, t = int(starts_d[r]), int(starts_t[r])
+            if taken[d : d + longest].any() or not free[t : t + longest].all():
+                continue
+            taken[d : d + longest] = True
+            free[t : t + longest] = False
+            out.append((d, t, longest))
+
+    if len(hits) > most_windows:
+        # windows by their number among the item's; -1 is gone
+        every, wi = np.unique(wi, return_inverse=True)
+        number = np.full(len(wd), -1)
+        number[hits] = np.searchsorted(every, wd[hits])
+        starts = np.arange(len(wi))
+        while len(hits):
+            longest = max(int(n.max(initial=0)) for _, _, n in _runs(number, wi, hits, least, most_windows))
+            if not longest:
+                break
+            for d, t, n in _runs(number, wi, hits, least, most_windows):
+                mark(d[n == longest], t[n == longest], longest)
+            busy_d = np.concatenate([[0], np.cumsum(taken)])
             busy_i = np.concatenate([[0], np.cumsum(~free)])
-            ok = (busy_d[i + least] == busy_d[i]) & (busy_i[j + least] == busy_i[j])
-            i, j = i[ok], j[ok]
+            wi[busy_i[starts + least] != busy_i[starts]] = -1
+            hits = hits[(busy_d[hits + least] == busy_d[hits]) & np.isin(number[hits], wi)]
+        return out
+    i, j = _pairs(wd[hits], wi)
+    i = hits[i]
+    while len(i):
+        # runs of windows along a diagonal are maximal matches
+        order = np.lexsort((i, i - j))
+        i, j = i[order], j[order]
+        start = np.flatnonzero(np.append(True, (np.diff(i) != 1) | (np.diff(i - j) != 0)))
+        length = np.diff(np.append(start, len(i))) + least - 1
+        longest = int(length.max())
+        mark(i[start[length == longest]], j[start[length == longest]], longest)
+        # windows that touch a marked word are gone
+        busy_d = np.concatenate([[0], np.cumsum(taken)])
+        busy_i = np.concatenate([[0], np.cumsum(~free)])
+        ok = (busy_d[i + least] == busy_d[i]) & (busy_i[j + least] == busy_i[j])
+        i, j = i[ok], j[ok]
     return out
 
 

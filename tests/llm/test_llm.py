@@ -135,6 +135,18 @@ def test_tiles_are_greedy():
     assert sum(t[2] for t in decontaminate.greedy_tiles(h("ab" * 500), h("abab"), 2, most_windows=7)) == 4
 
 
+def test_tiles_do_not_depend_on_stretches():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        doc, item = (rng.integers(0, 3, n).astype(np.uint64) for n in (120, 14))
+        doc[50:64] = item
+        want = decontaminate.greedy_tiles(doc, item, 2)
+        assert all(decontaminate.greedy_tiles(doc, item, 2, most) == want for most in (1, 2, 7, 30))
+    item = np.arange(1, 14).astype(np.uint64)
+    doc = np.concatenate([np.tile(item[4:9], 200_001), item])
+    assert decontaminate.greedy_tiles(doc, item, 5) == [(1_000_005, 0, 13)]
+
+
 def test_pack_round_trip():
     rng = np.random.default_rng(1)
     for ids in (rng.integers(0, 50_257, 5000), np.zeros(256, np.int64), rng.integers(0, 2**32, 700), np.concatenate([rng.integers(0, 40, 600), [2**32 - 1]]), np.array([7])):
