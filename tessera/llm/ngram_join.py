@@ -1,24 +1,32 @@
 """N-gram Jaccard self-join by a prefix tree.
 
-Sets of k-word shingles (64-bit hashes) link when their Jaccard similarity reaches ``percent`` / 100.
-
-1. *Routing, without loss.* Within a size class, sets that may link differ in at most D shingles, so of D + 1 ranges of
+Sets of k-word shingles (64-bit hashes) link when their Jaccard similarity reaches ``percent`` / 100. Equal sets are one
+class, and classes are joined:
+
+1. *Count filter, without loss.* A set of n shingles that links with another one shares all but ``(1 - percent / 100) n``
+   of its shingles. Shingles under a bound on the hash, ``SAMPLE`` times as many as may be missing, are counted over all
+   classes; a class stays if it has no more that are nowhere else than may be missing. Most texts go here, whatever the
+   size of the table, because chance shares a few shingles of a text, not most of them.
+2. *Global order.* Of the classes that stay all shingles are counted, again over all of them. Those found in one class
+   only are dropped from the sets (n remembers them), and classes that shared too few go. The rest of each set is put in
+   the one global order, most frequent first, ties by hash.
+3. *Routing, without loss.* Within a size class, sets that may link differ in at most D shingles, so of D + 1 ranges of
    the hash space at least one holds the same shingles in both. Each set sends a hash of each range's content, for its
    own class and the next (a partner may be larger by ``100 / percent``); sets that meet in no range can't link.
    Empty ranges tell nothing; a class has some ranges to spare for them. Two sets are sure to meet if either has no more
    empty ones than that; a set that has more deals its shingles anew by another hash, and so does any such partner.
-   The first deal leaves out shingles that very many texts share (any set of them keeps the bound, as two sets differ in
-   no more without them), so that a passage in many texts doesn't bring those together.
-   Tasks drop what they hold twice before the shuffle, and ship hashes in binary blocks, so a hash that very many sets
-   share sends one entry from each task.
-2. Sets that meet are gathered in candidate groups (connected components, distributed).
-3. *Prefix tree.* In a group the shingles are put in one global order, most frequent first; the ordered sets go into a
-   tree whose edges hold runs of shingles, so common parts are held and compared once. A set walks the tree level by
-   level with its overlap so far; a subtree is left as soon as what remains of the set and of the longest set below
-   cannot reach the overlap that the shortest set below needs. A set whose possible partners are all in its component
-   already doesn't walk.
+   The first deal leaves out shingles that many sets share (any set of them keeps the bound, as two sets differ in no
+   more without them), so that a passage in many texts doesn't bring those together.
+   Sets that meet are gathered in candidate groups (connected components, distributed).
+4. *Prefix tree.* The ordered sets of a group go into a tree whose edges hold runs of shingles, so common parts are held
+   and compared once. A set walks the tree from the root with its overlap so far, which all sets below a node share; a
+   subtree is left as soon as what remains of the set and of the longest set below cannot reach the overlap that the
+   shortest set below needs, or if all below are in the set's component already.
    Groups over a bound are cut into parts by a hash. Each part meets the next one; then what is still outside its
    group's largest component meets what of the group is near it in size, in tasks of bounded size.
+
+Between tasks hashes travel in binary blocks, with each class named once a block. A shingle or signature that very many
+texts share sends one entry from each flush of a task for each class, equal texts one entry in all.
 """
 
 from __future__ import annotations
@@ -31,13 +39,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytewords import U, mix, shingles, words
-from tessera.llm.common import Utf8, column_of, lean, partitions, small_batches, written
+from tessera.llm.common import Utf8, column_of, forget, lean, partitions, small_batches, written
 from tessera.llm.components import components, local_roots
 
-#: Each part of the signatures is worked on in so many slices, to bound memory.
-SLICES = 16
-#: The list of frequent shingles holds so many, 8 bytes each.
-FREQUENT = 300_000
+#: The count filter looks at so many times the share of shingles that may be missing.
+SAMPLE = 1.5
+#: Entries that a task deals out at a time, and that a receiving task gets on average at most.
+HOLD, RECEIVE = 2_000_000, 4_000_000
+#: The first deal of signatures leaves out shingles of so many sets.
+OFTEN = 64
 #: How often a set with too many empty ranges is dealt anew; after that its empty ranges count as well.
 SALTS = 8
 #: Bounds of a part of a group, and of a heap that meets parts; a task holds two of them at a time.
@@ -61,6 +71,186 @@ def _fingerprint(s: np.ndarray) -> tuple[int, int]:
     return int((m.sum(dtype=np.uint64)).view(np.int64)), int((mix(m ^ U(0xE7037ED1A0B428DB)).sum(dtype=np.uint64)).view(np.int64))
 
 
+# -- blocks between tasks
+
+
+def _firsts_of(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+
+
+def _blocks(part: np.ndarray, keys: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
+    """A row for each part: keys, the number of entries of each key, and the entries' values, all as bytes."""
+    order = np.argsort(part, kind="stable")
+    part, keys, values = part[order], keys[order], [v[order] for v in values]
+    at = np.append(_firsts_of(part), len(part))
+    rows = [[] for _ in range(3 + len(values))]
+    for lo, hi in zip(at, at[1:], strict=False):
+        first = _firsts_of(keys[lo:hi])
+        rows[0].append(int(part[lo]))
+        rows[1].append(keys[lo:hi][first].tobytes())
+        rows[2].append(np.diff(np.append(first, hi - lo)).astype(np.uint32).tobytes())
+        for column, v in zip(rows[3:], values, strict=True):
+            column.append(v[lo:hi].tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *(pa.array(c, pa.binary()) for c in rows[1:])], ["p", "keys", "counts", "x", "y"][: 3 + len(values)])
+
+
+def _received(batches, *kinds):
+    """(keys, values, ...) of all entries of each part; rows come sorted by part."""
+
+    def whole(held):
+        keys = np.repeat(np.frombuffer(b"".join(h[0] for h in held), np.int64), np.frombuffer(b"".join(h[1] for h in held), np.uint32))
+        return keys, *(np.frombuffer(b"".join(h[2 + i] for h in held), kind) for i, kind in enumerate(kinds))
+
+    last, held = None, []
+    for b in batches:
+        for p, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if p != last and held:
+                yield whole(held)
+                held = []
+            last = p
+            held.append(row)
+    if held:
+        yield whole(held)
+
+
+def _shared(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, hash, number of keys) of the distinct entries whose hash has two keys or more."""
+    order = np.argsort(h)
+    keys, h = keys[order], h[order]
+    first = _firsts_of(h)
+    n = np.diff(np.append(first, len(h)))
+    several = np.repeat(n > 1, n)
+    keys, h = keys[several], h[several]
+    order = np.lexsort((keys, h))
+    keys, h = keys[order], h[order]
+    new = np.append(True, (h[1:] != h[:-1]) | (keys[1:] != keys[:-1])) if len(h) else np.zeros(0, bool)
+    keys, h = keys[new], h[new]
+    n = np.diff(np.append(_firsts_of(h), len(h)))
+    n = np.repeat(n, n)
+    return keys[n > 1], h[n > 1], n[n > 1].astype(np.uint32)
+
+
+def _exchange(sent: DataFrame, parts: int, receive, schema: str) -> DataFrame:
+    """What ``receive`` makes of the blocks of each part."""
+    return sent.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(lean(receive), schema)
+
+
+# -- classes, count filter, global order
+
+
+def _describe(k: int, percent: int, limit: int):
+    def run(batches):
+        for b in batches:
+            n, x, y, need = [], [], [], []
+            for _, s in text_sets(b, k):
+                f = _fingerprint(s)
+                n.append(len(s))
+                x.append(f[0])
+                y.append(f[1])
+                need.append(int(np.searchsorted(s, U(limit), "right")) - (100 - percent) * len(s) // 100)
+            yield pa.RecordBatch.from_arrays([column_of(b, "doc_id"), *(pa.array(c, pa.int64()) for c in (n, x, y, need))], ["doc_id", "n", "f1", "f2", "need"])
+
+    return run
+
+
+def _send_sample(k: int, parts: int, limit: int):
+    """Blocks of the shingles up to ``limit``, keyed by the first fingerprint of their set."""
+
+    def run(batches):
+        held, names, seen, size = [], [], set(), 0
+
+        def flush():
+            h = np.concatenate(held)
+            return _blocks((h % U(parts)).astype(np.int64), np.repeat(np.array(names, np.int64), [len(s) for s in held]), h)
+
+        for b in batches:
+            ids = column_of(b, "doc_id")
+            for r, s in text_sets(b, k):
+                if not len(s) or not ids[r].is_valid:
+                    continue
+                f = _fingerprint(s)
+                if f in seen:
+                    continue  # an equal set of this flush has sent the same
+                seen.add(f)
+                held.append(s[: np.searchsorted(s, U(limit), "right")].copy())
+                names.append(f[0])
+                size += len(held[-1]) + 8
+                if size >= HOLD:
+                    yield flush()
+                    held, names, seen, size = [], [], set(), 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def _count_shared(batches):
+    """(f1, how many of its shingles other sets have too) for each part."""
+    for keys, h in _received(batches, np.uint64):
+        got, n = np.unique(_shared(keys, h)[0], return_counts=True)
+        if len(got):
+            yield pa.RecordBatch.from_arrays([pa.array(got), pa.array(n.astype(np.int64))], ["key", "shared"])
+
+
+def _send_sets(k: int, parts: int):
+    """Blocks of all shingles of the candidate classes, keyed by class."""
+
+    def run(batches):
+        held, names, size = [], [], 0
+
+        def flush():
+            h = np.concatenate(held)
+            return _blocks((h % U(parts)).astype(np.int64), np.repeat(np.array(names, np.int64), [len(s) for s in held]), h)
+
+        for b in batches:
+            cid, x, y = (column_of(b, c).to_pylist() for c in ("cid", "f1", "f2"))
+            for r, s in text_sets(b, k):
+                if not len(s) or _fingerprint(s) != (x[r], y[r]):
+                    continue  # another text of the same document
+                held.append(s)
+                names.append(cid[r])
+                size += len(s)
+                if size >= HOLD:
+                    yield flush()
+                    held, names, size = [], [], 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def _return_sets(parts: int):
+    """The shared shingles of each part with their frequency, in blocks by class."""
+
+    def run(batches):
+        for keys, h in _received(batches, np.uint64):
+            keys, h, n = _shared(keys, h)
+            if len(keys):
+                order = np.argsort(keys, kind="stable")
+                keys = keys[order]
+                yield _blocks((mix(keys.view(np.uint64)) % U(parts)).astype(np.int64), keys, h[order], n[order])
+
+    return run
+
+
+def _ordered_sets(batches):
+    """(class, its shared shingles in the global order, their frequencies)."""
+    for keys, h, n in _received(batches, np.uint64, np.uint32):
+        order = np.lexsort((h, -n.astype(np.int64), keys))
+        keys, h, n = keys[order], h[order], n[order]
+        at = np.append(_firsts_of(keys), len(keys))
+        for lo in range(0, len(at) - 1, TEXT_ROWS):
+            cut = at[lo : lo + TEXT_ROWS + 1]
+            spans = list(zip(cut, cut[1:], strict=False))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[cut[:-1]]), pa.array([h[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([n[a:b].tobytes() for a, b in spans], pa.binary()), pa.array(np.diff(cut))], ["cid", "shingles", "often", "m"]
+            )
+
+
+# -- routing
+
+
 def _class_bounds(percent: int, upto: int) -> list[int]:
     """Ascending upper bounds of size classes; a set of class c links only with sets of classes c-1, c and c+1."""
     out, a = [], 0
@@ -83,19 +273,18 @@ def ranges_of(n: int, percent: int, bounds: list[int]) -> list[tuple[int, int, i
     return out
 
 
-def signatures(s: np.ndarray, percent: int, bounds: list[int], memo: dict, frequent: np.ndarray) -> np.ndarray:
-    """The hashes under which a set meets those it may link with; first without the ``frequent`` shingles."""
-    n = len(s)
+def signatures(n: int, s: np.ndarray, rare: np.ndarray, percent: int, bounds: list[int], memo: dict) -> np.ndarray:
+    """The hashes under which a set of n shingles, ``s`` those that others have too, ascending, meets those it may link with.
+
+    The first deal takes only those marked ``rare``.
+    """
     if n not in memo:
         memo[n] = ranges_of(n, percent, bounds)
     out, dealt = [], {}
     for c, m, spare in memo[n]:
         for salt in range(SALTS):
             if salt not in dealt:
-                v = np.sort(mix(s + U(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1))) if salt else s
-                if not salt and len(frequent):
-                    place = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                    v = s[frequent[place] != s]
+                v = np.sort(mix(s + U(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1))) if salt else s[rare]
                 total = np.zeros(len(v) + 1, np.uint64)
                 np.cumsum(mix(v), out=total[1:])
                 dealt[salt] = v, total
@@ -113,178 +302,117 @@ def signatures(s: np.ndarray, percent: int, bounds: list[int], memo: dict, frequ
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _describe(k: int):
-    def run(batches):
-        for b in batches:
-            n, x, y = [], [], []
-            for _, s in text_sets(b, k):
-                f = _fingerprint(s)
-                n.append(len(s))
-                x.append(f[0])
-                y.append(f[1])
-            yield pa.RecordBatch.from_arrays([column_of(b, "doc_id"), pa.array(n, pa.int64()), pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["doc_id", "n", "f1", "f2"])
+def _firsts(sig: np.ndarray, who: np.ndarray):
+    """(distinct signatures, the smallest class of each, and the other classes with that smallest one)."""
+    order = np.argsort(sig)
+    sig, who = sig[order], who[order]
+    at = _firsts_of(sig)
+    low = np.minimum.reduceat(who, at) if len(at) else who
+    n = np.diff(np.append(at, len(who)))
+    shared = np.repeat(n > 1, n)
+    a, b = who[shared], np.repeat(low[n > 1], n[n > 1])
+    return sig[at], low, a[a != b], b[a != b]
 
-    return run
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    nodes, roots = local_roots(a, b) if len(a) else (a, b)
+    return nodes[nodes != roots], roots[nodes != roots]
 
 
-def _common(k: int, least: int = 3, hold: int = 2_000_000):
-    """(shingle, texts) of those that ``least`` texts of one stretch of a task share."""
+def _send_signatures(percent: int, parts: int, often: int):
+    """Blocks of signatures, one entry for each in a flush, keyed by class; edges among classes that share one come in parts from ``parts`` on."""
 
     def run(batches):
-        held, size = [], 0
+        bounds, memo = _class_bounds(percent, 1 << 40), {}
+        sigs, names, size = [], [], 0
 
         def flush():
-            every = np.sort(np.concatenate(held))
-            first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
-            n = np.diff(np.append(first, len(every)))
-            often = n >= least
-            return pa.RecordBatch.from_arrays([pa.array(every[first[often]].view(np.int64)), pa.array(n[often], pa.int64())], ["h", "n"])
-
-        for b in batches:
-            seen = set()
-            for _, s in text_sets(b, k):
-                if len(s) and (f := _fingerprint(s)) not in seen:
-                    seen.add(f)
-                    held.append(s)
-                    size += len(s)
-                    if size >= hold:
-                        yield flush()
-                        held, size = [], 0
-        if held:
-            yield flush()
+            sig, who, a, b = _firsts(np.concatenate(sigs), np.repeat(np.array(names, np.int64), [len(s) for s in sigs]))
+            order = np.argsort(who, kind="stable")
+            sig, who = sig[order], who[order]
+            yield _blocks((sig % U(parts)).astype(np.int64), who, sig)
+            a, b = _forest(a, b)
+            if len(a):
+                yield _blocks(parts + a % parts, a, b.view(np.uint64))
+
+        for batch in batches:
+            for cid, n, raw, counts in zip(*(column_of(batch, c).to_pylist() for c in ("cid", "n", "shingles", "often")), strict=True):
+                s = np.frombuffer(raw, np.uint64)
+                order = np.argsort(s)
+                out = signatures(n, s[order], np.frombuffer(counts, np.uint32)[order] < often, percent, bounds, memo)
+                if len(out):
+                    sigs.append(out)
+                    names.append(cid)
+                    size += len(out)
+                if size >= HOLD:
+                    yield from flush()
+                    sigs, names, size = [], [], 0
+        if sigs:
+            yield from flush()
 
     return run
 
 
-def frequent_shingles(src: DataFrame, k: int, least: int = 32, most: int = FREQUENT) -> np.ndarray:
-    """Ascending hashes of at most ``most`` shingles that many texts share; the list guides routing and decides nothing."""
-    counts = src.mapInArrow(lean(_common(k)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    top = counts.orderBy(F.desc("n"), "h").limit(most).select("h").toArrow()
-    return np.sort(top.column("h").to_numpy().view(np.uint64))
-
-
-def _firsts(sig: np.ndarray, doc: np.ndarray):
-    """(distinct signatures, the smallest document of each, and the other documents with that smallest one)."""
-    order = np.argsort(sig)
-    sig, doc = sig[order], doc[order]
-    del order
-    first = np.append(True, sig[1:] != sig[:-1])
-    at = np.flatnonzero(first)
-    low = np.minimum.reduceat(doc, at)
-    n = np.diff(np.append(at, len(doc)))
-    shared = np.repeat(n > 1, n)
-    a, b = doc[shared], np.repeat(low[n > 1], n[n > 1])
-    return sig[at], low, a[a != b], b[a != b]
-
-
-def _send(k: int, percent: int, parts: int, frequent, hold: int = 600_000):
-    """Blocks of (signature, document) by target part, one entry a signature and flush, and the edges among the documents that share one."""
+def _meet(parts: int):
+    """A spanning forest of the classes that share signatures, for each part."""
 
     def run(batches):
-        bounds, memo = _class_bounds(percent, 1 << 40), {}
-        sigs, ids, seen, size = [], [], set(), 0
-
-        def flush():
-            sig = np.concatenate(sigs)
-            doc = np.repeat(np.array([i for i, _ in ids], np.int64), [c for _, c in ids])
-            sig, doc, a, b = _firsts(sig, doc)
-            nodes, roots = local_roots(a, b) if len(a) else (a, b)
-            edges = np.stack([nodes[nodes != roots], roots[nodes != roots]], 1)
-            part = (sig % U(parts * SLICES)).astype(np.int64)  # its part is this by SLICES
-            order = np.argsort(part, kind="stable")
-            sig, doc, part = sig[order], doc[order], part[order]
-            at = np.searchsorted(part, np.arange(parts * SLICES + 1))
-            rows = [(p // SLICES, p % SLICES, sig[at[p] : at[p + 1]].tobytes(), doc[at[p] : at[p + 1]].tobytes()) for p in range(parts * SLICES) if at[p] < at[p + 1]]
-            if len(edges):
-                rows.append((int(edges[0, 0]) % parts, -1, edges[:, 0].tobytes(), edges[:, 1].tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], ["p", "s", "x", "y"])
-
-        for b in batches:
-            doc = column_of(b, "doc_id").to_pylist()
-            for r, s in text_sets(b, k):
-                if not len(s) or doc[r] is None:
-                    continue
-                f = _fingerprint(s)
-                if f in seen:
-                    continue  # an equal set of this flush has sent the same; equal sets are one class anyway
-                seen.add(f)
-                out = signatures(s, percent, bounds, memo, frequent.value)
-                if not len(out):
-                    continue
-                sigs.append(out)
-                ids.append((doc[r], len(out)))
-                size += len(out)
-                if size >= hold:
-                    yield flush()
-                    sigs, ids, seen, size = [], [], set(), 0
-        if size:
-            yield flush()
+        def edges_of(held):
+            sig, who, a, b = _firsts(*held)
+            return _forest(a, b)
+
+        def rows():
+            for b in batches:
+                mask = np.asarray(b.column(0)) >= parts
+                if mask.any():
+                    for keys, counts, x in zip(*(c.to_pylist() for c in b.filter(pa.array(mask)).columns[1:]), strict=True):
+                        direct.append((np.repeat(np.frombuffer(keys, np.int64), np.frombuffer(counts, np.uint32)), np.frombuffer(x, np.int64)))
+                yield b.filter(pa.array(~mask))
+
+        direct = []
+        for who, sig in _received(rows(), np.uint64):
+            a, b = edges_of((sig, who))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        for a, b in direct:
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
 
-def _meet(batches):
-    """A spanning forest of the documents that share signatures, for each part; its slices come one after the other."""
-
-    def forest(a, b):
-        nodes, roots = local_roots(np.concatenate(a), np.concatenate(b))
-        keep = nodes != roots
-        return nodes[keep], roots[keep]
-
-    def out(a, b):
-        x, y = forest(a, b)
-        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
-
-    def joined(s, xs, ys, a, b):
-        x, y = np.frombuffer(b"".join(xs), np.int64), np.frombuffer(b"".join(ys), np.int64)
-        if s >= 0:
-            _, _, x, y = _firsts(x.view(np.uint64), y)
-        x, y = forest([*a, x], [*b, y])
-        return [x], [y]
-
-    last, xs, ys, a, b = None, [], [], [], []
-    for batch in batches:
-        for p, s, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (p, s) != last and xs:
-                a, b = joined(last[1], xs, ys, a, b)
-                xs, ys = [], []
-                if p != last[0]:
-                    yield out(a, b)
-                    a, b = [], []
-            last = p, s
-            xs.append(x)
-            ys.append(y)
-    if xs:
-        yield out(*joined(last[1], xs, ys, a, b))
+# -- prefix tree
 
 
 class PrefixTree:
-    """Ordered sets in a tree whose edges hold runs of ranks."""
+    """Sets in the global order, in a tree whose edges hold runs of ranks; nodes are numbered level by level, children of a node in a row."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sizes = np.array([len(s) for s in sets])
-        every = np.concatenate(sets)
-        values, inverse, counts = np.unique(every, return_inverse=True, return_counts=True)
-        del every
+    def __init__(self, sizes: np.ndarray, sets: list[np.ndarray], often: list[np.ndarray]):
+        self.sizes = np.asarray(sizes, np.int64)  # with the shingles that nobody shares
+        values, at, inverse = np.unique(np.concatenate(sets), return_index=True, return_inverse=True)
         rank = np.empty(len(values), np.int32)
-        rank[np.lexsort((values, -counts))] = np.arange(len(values), dtype=np.int32)
-        ends = np.cumsum(self.sizes)
-        self.ranks = [np.sort(rank[inverse[e - n : e]]) for e, n in zip(ends, self.sizes, strict=True)]
+        rank[np.lexsort((values, -np.concatenate(often)[at].astype(np.int64)))] = np.arange(len(values), dtype=np.int32)
+        held = np.array([len(s) for s in sets])
+        ends = np.cumsum(held)
+        self.ranks = [rank[inverse[e - n : e]] for e, n in zip(ends, held, strict=True)]
         del inverse
+        self.mark = np.zeros(len(values), bool)
         keys = [r.astype(">u4").tobytes() for r in self.ranks]
-        self.order = sorted(range(len(sets)), key=keys.__getitem__)
-        nodes: list[list] = []  # start of the run, its end, whose ranks, parent
+        self.order = np.array(sorted(range(len(sets)), key=keys.__getitem__))
+        del keys
+        nodes, leaf = self._grow()
+        self._number(nodes, leaf, held)
+
+    def _grow(self):
+        """Nodes [start of the run, its end, whose ranks, parent], and the node where each set ends."""
+        nodes: list[list] = []
         stack: list[int] = []
-        leaf = np.empty(len(sets), np.int64)
+        leaf = np.empty(len(self.ranks), np.int64)
         before = None
         for i in self.order:
-            r = self.ranks[i]
-            depth = 0
+            r, depth = self.ranks[i], 0
             if before is not None:
-                q = self.ranks[before]
-                m = min(len(q), len(r))
-                differ = np.flatnonzero(q[:m] != r[:m])
-                depth = int(differ[0]) if len(differ) else m
+                m = min(len(before), len(r))
+                differ = before[:m] != r[:m]
+                depth = int(differ.argmax()) if differ.any() else m
             while stack and nodes[stack[-1]][0] >= depth and nodes[stack[-1]][1] > depth:
                 stack.pop()
             if stack and nodes[stack[-1]][1] > depth:  # the run is cut where the sets part
@@ -294,82 +422,97 @@ class PrefixTree:
                 nodes[top] = [depth, end, who, len(nodes) - 1]
                 stack.append(len(nodes) - 1)
             if len(r) > depth:
-                nodes.append([depth, len(r), i, stack[-1] if stack else -1])
+                nodes.append([depth, len(r), int(i), stack[-1] if stack else -1])
                 stack.append(len(nodes) - 1)
             leaf[i] = stack[-1]
-            before = i
-        self.leaf = leaf
-        self.parent = np.array([x[3] for x in nodes])
-        self.until = np.array([x[1] for x in nodes])
-        runs = [self.ranks[who][start:end] for start, end, who, _ in nodes]
-        lengths = np.array([len(r) for r in runs])
-        ranks_in = np.concatenate(runs)
-        order = np.argsort(ranks_in, kind="stable")
-        # the nodes whose runs hold each rank
-        self.nodes_of = np.repeat(np.arange(len(runs), dtype=np.int32), lengths)[order]
-        self.first_of = np.searchsorted(ranks_in[order], np.arange(len(values) + 1))
-        self.last = np.array([r[-1] for r in runs])
+            before = r
+        return nodes, leaf
+
+    def _number(self, nodes, leaf, held):
         children: dict[int, list[int]] = {}
-        for x, p in enumerate(self.parent):
-            children.setdefault(int(p), []).append(x)
-        self.levels = []
-        todo = children.get(-1, [])
+        for x, node in enumerate(nodes):
+            children.setdefault(node[3], []).append(x)
+        new, todo = np.empty(len(nodes), np.int64), children.get(-1, [])
+        listed, levels = [], []
         while todo:
-            self.levels.append(np.array(todo, np.int64))
+            new[todo] = np.arange(len(listed), len(listed) + len(todo))
+            levels.append((len(listed), len(listed) + len(todo)))
+            listed.extend(todo)
             todo = [c for x in todo for c in children.get(x, ())]
-        self.longest = np.zeros(len(nodes), np.int64)
-        self.shortest = np.full(len(nodes), np.iinfo(np.int64).max)
-        np.maximum.at(self.longest, leaf, self.sizes)
-        np.minimum.at(self.shortest, leaf, self.sizes)
-        for nodes_at in reversed(self.levels[1:]):
-            np.maximum.at(self.longest, self.parent[nodes_at], self.longest[nodes_at])
-            np.minimum.at(self.shortest, self.parent[nodes_at], self.shortest[nodes_at])
-
-    def linked(self, ranks: np.ndarray, n: int, percent: int, wanted: np.ndarray) -> np.ndarray:
-        """The wanted sets (a mask) that link with a set of n shingles, ``ranks`` those that the tree knows."""
-        lo, count = self.first_of[ranks], self.first_of[ranks + 1] - self.first_of[ranks]
-        done = np.cumsum(count)
-        hits = np.bincount(self.nodes_of[np.repeat(lo - done + count, count) + np.arange(int(done[-1]))], minlength=len(self.parent))
-        overlap = np.zeros(len(self.parent), np.int64)
-        alive = np.zeros(len(self.parent), bool)
-        for depth, nodes in enumerate(self.levels):
-            if depth:
-                nodes = nodes[alive[self.parent[nodes]]]
-                if not len(nodes):
-                    break
-                overlap[nodes] = hits[nodes] + overlap[self.parent[nodes]]
-            else:
-                overlap[nodes] = hits[nodes]
+        self.roots = len(children.get(-1, []))
+        self.child_count = np.array([len(children.get(x, ())) for x in listed], np.int64)
+        self.child_first = self.roots + np.cumsum(self.child_count) - self.child_count
+        self.until = np.array([nodes[x][1] for x in listed], np.int64)
+        self.length = np.array([nodes[x][1] - nodes[x][0] for x in listed], np.int64)
+        self.run_at = np.cumsum(self.length) - self.length
+        self.runs = np.concatenate([self.ranks[nodes[x][2]][nodes[x][0] : nodes[x][1]] for x in listed])
+        self.last = self.runs[self.run_at + self.length - 1]
+        self.leaf = new[leaf]
+        place = np.empty(len(self.order), np.int64)
+        place[self.order] = np.arange(len(self.order))
+        self.longest, self.shortest = np.zeros(len(listed), np.int64), np.full(len(listed), np.iinfo(np.int64).max)
+        self.from_, self.to = np.full(len(listed), len(place)), np.zeros(len(listed), np.int64)  # which sets, in order, are below
+        np.maximum.at(self.longest, self.leaf, held)
+        np.minimum.at(self.shortest, self.leaf, self.sizes)
+        np.minimum.at(self.from_, self.leaf, place)
+        np.maximum.at(self.to, self.leaf, place + 1)
+        parent = np.array([new[nodes[x][3]] if nodes[x][3] >= 0 else -1 for x in listed], np.int64)
+        for lo, hi in reversed(levels[1:]):
+            up = parent[lo:hi]
+            np.maximum.at(self.longest, up, self.longest[lo:hi])
+            np.minimum.at(self.shortest, up, self.shortest[lo:hi])
+            np.minimum.at(self.from_, up, self.from_[lo:hi])
+            np.maximum.at(self.to, up, self.to[lo:hi])
+
+    def linked(self, i: int, percent: int, wanted: np.ndarray) -> np.ndarray:
+        """The wanted sets (a mask) that link with set ``i``."""
+        ranks, n = self.ranks[i], int(self.sizes[i])
+        below = np.concatenate([[0], np.cumsum(wanted[self.order])])
+        self.mark[ranks] = True
+        overlap = np.full(len(self.until), -1, np.int64)  # of the nodes walked
+        nodes, so_far = np.arange(self.roots), np.zeros(self.roots, np.int64)
+        while len(nodes):
+            some = below[self.to[nodes]] > below[self.from_[nodes]]
+            nodes, so_far = nodes[some], so_far[some]
+            if not len(nodes):
+                break
+            length = self.length[nodes]
+            begin = np.cumsum(length) - length
+            hit = self.mark[self.runs[np.repeat(self.run_at[nodes] - begin, length) + np.arange(int(length.sum()))]]
+            so_far = so_far + np.add.reduceat(hit, begin, dtype=np.int64)
             # the ranks still to come bound what set and subtree can share
             rest = np.minimum(self.longest[nodes] - self.until[nodes], len(ranks) - np.searchsorted(ranks, self.last[nodes], side="right"))
             # 100 o >= percent (n + m - o), with m the shortest below
-            alive[nodes] = (100 + percent) * (overlap[nodes] + rest) >= percent * (n + self.shortest[nodes])
-        x = self.leaf
-        return np.flatnonzero(wanted & alive[x] & ((100 + percent) * overlap[x] >= percent * (n + self.sizes)))
-
-
-def tree_links(docs: np.ndarray, sets: list[np.ndarray], percent: int, side: np.ndarray | None = None, component: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that join all components of the sets, and no others; ``side`` 0/1 asks only for links from one to the other."""
-    n = len(sets)
-    tree = PrefixTree(sets)
+            alive = (100 + percent) * (so_far + rest) >= percent * (n + self.shortest[nodes])
+            nodes, so_far = nodes[alive], so_far[alive]
+            overlap[nodes] = so_far
+            count = self.child_count[nodes]
+            begin = np.cumsum(count) - count
+            nodes, so_far = np.repeat(self.child_first[nodes] - begin, count) + np.arange(int(count.sum())), np.repeat(so_far, count)
+        self.mark[ranks] = False
+        got = overlap[self.leaf]
+        return np.flatnonzero(wanted & (got >= 0) & ((100 + percent) * got >= percent * (n + self.sizes)))
+
+
+def tree_links(names: np.ndarray, tree: PrefixTree, percent: int, side: np.ndarray | None = None, component: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that join all components of the sets, and no others; ``side`` 0/1 asks only for links from 0 to 1."""
+    n = len(names)
     label = np.unique(component, return_inverse=True)[1] if component is not None else np.arange(n)
     position = np.empty(n, np.int64)
     position[tree.order] = np.arange(n)
     out = []
     for i in tree.order:
-        while True:
-            wanted = label != label[i]
-            wanted &= position > position[i] if side is None else side != side[i]
-            if side is not None and side[i]:
-                wanted[:] = False
-            if not wanted.any():
-                break
-            found = tree.linked(tree.ranks[i], int(tree.sizes[i]), percent, wanted)
-            for j in found:
-                if label[j] != label[i]:
-                    out.append((int(docs[i]), int(docs[j])))
-                    label[label == label[j]] = label[i]
-            break
+        if side is not None and side[i]:
+            continue
+        wanted = label != label[i]
+        wanted &= position > position[i] if side is None else side == 1
+        if not wanted.any():
+            continue
+        found = tree.linked(int(i), percent, wanted)
+        if len(found):
+            others, first = np.unique(label[found], return_index=True)
+            out.extend((int(names[i]), int(names[j])) for j in found[first])
+            label[np.isin(label, others)] = label[i]
     return out
 
 
@@ -391,11 +534,16 @@ def _edges_batch(edges):
     return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
 
 
+def _tree(rows) -> PrefixTree:
+    """The tree of rows that end with n, shingles and their frequencies."""
+    return PrefixTree(np.array([r[-3] for r in rows]), [np.frombuffer(r[-2], np.uint64) for r in rows], [np.frombuffer(r[-1], np.uint32) for r in rows])
+
+
 def _within(percent: int):
     def run(batches):
         for _, rows in _groups(batches, 2):
             if len(rows) > 1:
-                edges = tree_links(np.array([r[1] for r in rows]), [np.frombuffer(r[2], np.uint64) for r in rows], percent)
+                edges = tree_links(np.array([r[0] for r in rows]), _tree(rows), percent)
                 if edges:
                     yield _edges_batch(edges)
 
@@ -408,97 +556,133 @@ def _across(percent: int):
             side = np.array([r[0] for r in rows])
             if side.min() == side.max():
                 continue
-            edges = tree_links(np.array([r[1] for r in rows]), [np.frombuffer(r[3], np.uint64) for r in rows], percent, side, np.array([r[2] for r in rows]))
+            edges = tree_links(np.array([r[1] for r in rows]), _tree(rows), percent, side, np.array([r[2] for r in rows]))
             if edges:
                 yield _edges_batch(edges)
 
     return run
 
 
-def _as_sets(k: int):
-    def run(batches):
-        for b in batches:
-            sets = [s.tobytes() for _, s in text_sets(b, k)]
-            yield pa.RecordBatch.from_arrays([column_of(b, "block"), column_of(b, "part"), column_of(b, "parts"), column_of(b, "doc_id"), pa.array(sets, pa.binary())], ["block", "part", "parts", "doc", "shingles"])
+def _class_links(sets: DataFrame, percent: int, part_sets: int, part_shingles: int, receive: int, often: int) -> DataFrame:
+    """Edges (a, b) that join the classes of ``sets`` (cid, n, shingles, often, m) into the components of their links."""
+    spark = sets.sparkSession
+    parts = max(partitions(spark), 1)
+    of = sets.agg(F.sum("n")).first()[0] or 0
+    inboxes = max(1, parts // 4, math.ceil(of / receive))
+    with small_batches(spark, TEXT_ROWS):
+        sent = sets.select("cid", "n", "shingles", "often").mapInArrow(lean(_send_signatures(percent, inboxes, often)), "p long, keys binary, counts binary, x binary")
+    with small_batches(spark):
+        groups = components(_exchange(sent, inboxes, _meet(inboxes), "a long, b long"))
+    grouped = sets.select("cid", "n", "m").join(groups, F.col("cid") == F.col("node")).select("cid", F.col("component").alias("block"), "n", "m")
+    grouped = written(grouped, "candidates")
+    bound = lambda n: F.greatest(F.ceil(F.count(F.lit(1)) / part_sets), F.ceil(F.sum(n) / part_shingles)).cast("long")
+    sizes = grouped.groupBy("block").agg(bound("m").alias("parts"))
+    placed = written(grouped.join(sizes, "block").select(F.col("cid").alias("d"), "block", "parts", "n", "m", F.pmod(F.xxhash64("cid"), F.col("parts")).alias("part")), "blocks")
+    forget(grouped)
+    held = sets.select("cid", "shingles", "often")
+    with small_batches(spark, TEXT_ROWS):
+        within = placed.join(held, F.col("d") == F.col("cid")).select("block", "part", "d", "n", "shingles", "often")
+        within = within.repartition(parts, "block", "part").sortWithinPartitions("block", "part", "d")
+        links = written(within.mapInArrow(lean(_within(percent)), "a long, b long"), "links")
 
-    return run
+    large = placed.where("parts > 1")
+    if large.isEmpty():
+        return links
 
+    def labelled():
+        c = components(links)
+        return written(large.join(c, large["d"] == c["node"], "left").select("d", "block", "part", "parts", "n", "m", F.coalesce("component", "d").alias("comp")), "parts")
 
-def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, part_sets: int = PART_SETS, part_shingles: int = PART_SHINGLES) -> DataFrame:
+    def across(rows):
+        rows = rows.join(held, F.col("d") == F.col("cid")).select("block", "band", "i", "j", "side", "d", "comp", "n", "shingles", "often")
+        with small_batches(spark, TEXT_ROWS):
+            return written(links.unionByName(rows.repartition(parts, "block", "band", "i", "j").sortWithinPartitions("block", "band", "i", "j", "side", "d").mapInArrow(lean(_across(percent)), "a long, b long")), "links")
+
+    # each part with the next: parts of one large group of near copies come together here
+    now = labelled()
+    i = F.explode(F.array(F.struct(F.col("part").alias("i"), F.lit(0).alias("side")), F.struct(F.pmod(F.col("part") - 1, F.col("parts")).alias("i"), F.lit(1).alias("side"))))
+    zero = F.lit(0).cast("long")
+    before, links = links, across(now.select("d", "block", "comp", "n", "parts", i.alias("e")).select("d", "block", zero.alias("band"), F.col("e.i").alias("i"), zero.alias("j"), "e.side", "comp", "n"))
+    forget(before)
+    forget(now)
+    # what is outside its block's largest component against what of the block is of a size that may link: sets that
+    # link are of the same band of sizes or of neighbours
+    band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1.0)).cast("long")
+    labels = labelled()
+    tops = labels.groupBy("block", "comp").count().groupBy("block").agg(F.max(F.struct("count", "comp")).alias("top"), F.sum("count").alias("all"))
+    now = labels.withColumn("band", band).join(tops.where("all > top.count").select("block", F.col("top.comp").alias("main")), "block")
+    heaps = written(now.where("comp <> main").groupBy("block", "band").agg(bound("m").alias("heaps")), "heaps")
+    near = F.explode(F.array(*[F.col("band") + x for x in (-1, 0, 1)]))
+    shelves = now.select("block", "m", near.alias("band")).groupBy("block", "band").agg(bound("m").alias("shelves")).join(heaps, ["block", "band"])
+    shelves = written(shelves, "shelves")
+    upto = lambda n: F.explode(F.sequence(zero, F.col(n) - 1))
+    i, j = F.pmod(F.xxhash64("d", F.lit(1)), F.col("heaps")).alias("i"), F.pmod(F.xxhash64("d", F.lit(2)), F.col("shelves")).alias("j")
+    every = now.select("d", "block", "comp", "n", near.alias("band")).join(shelves, ["block", "band"])
+    every = every.select("d", "block", "band", upto("heaps").alias("i"), j, F.lit(1).alias("side"), "comp", "n")
+    rest = now.where("comp <> main").join(shelves, ["block", "band"])
+    rest = rest.select("d", "block", "band", i, upto("shelves").alias("j"), F.lit(0).alias("side"), "comp", "n")
+    before, links = links, across(rest.unionByName(every))
+    for done in (before, labels, heaps, shelves, placed):
+        forget(done)
+    return links
+
+
+def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, part_sets: int = PART_SETS, part_shingles: int = PART_SHINGLES, receive: int = RECEIVE, often: int = OFTEN) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs`` (doc_id, text).
 
     Texts link when ``100 * |A & B| >= percent * |A | B|`` over their distinct k-word shingles (all words where a text
     has fewer than k); component_id is the smallest doc_id reachable by links. Null, empty and blank texts have no
-    shingles and link with nothing. Rows of one doc_id count as one document. A null doc_id links with nothing and has
-    a null component. Extra columns are ignored; an empty table gives an empty result.
+    shingles and link with nothing. Rows of one doc_id count as one document: what any of its texts links with is
+    linked with all of them. A null doc_id links with nothing and has a null component. Extra columns are ignored; an
+    empty table gives an empty result.
     """
     spark = docs.sparkSession
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    limit = min((1 << 64) - 1, int(SAMPLE * (100 - percent) / 100 * (1 << 64)))
+    parts = max(partitions(spark), 1)
+    key = ["n", "f1", "f2"]
     with small_batches(spark, TEXT_ROWS):
-        told = written(src.mapInArrow(lean(_describe(k)), "doc_id long, n long, f1 long, f2 long"), "sets")
-        frequent = spark.sparkContext.broadcast(frequent_shingles(src, k))
-    classes = told.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
+        told = written(src.mapInArrow(lean(_describe(k, percent, limit)), "doc_id long, n long, f1 long, f2 long, need long"), "sets")
+    classes = told.where("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("need").alias("need"))
+    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
-    parts = max(partitions(spark), 1)
-    blocks_of = max(1, parts // 4)  # each task of a part sends the edges of the sets that meet in it
-    sent = src.mapInArrow(lean(_send(k, percent, blocks_of, frequent)), "p long, s long, x binary, y binary")
-    with small_batches(spark):
-        met = written(sent.repartition(blocks_of, "p").sortWithinPartitions("p", "s").mapInArrow(lean(_meet), "a long, b long"), "met")
-    same = written(told.where("doc_id is not null").join(classes, ["n", "f1", "f2"]).select("doc_id", "rep", "n").distinct(), "classes")
-    alike = same.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    groups = components(met.unionByName(alike))
-    # one set of each class stands for all
-    sets_of = same.where("doc_id = rep").select("doc_id", "n").join(groups, F.col("doc_id") == F.col("node")).select("doc_id", F.col("component").alias("block"), "n")
-    sets_of = written(sets_of, "candidates")
-    sizes = sets_of.groupBy("block").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("total")).where("sets > 1")
-    sizes = sizes.select("block", F.greatest(F.ceil(F.col("sets") / part_sets), F.ceil(F.col("total") / part_shingles)).cast("long").alias("parts"))
-    blocks = written(sets_of.join(sizes, "block").select(F.col("doc_id").alias("__n"), "block", "parts", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part")), "blocks")
-    picked = src.join(blocks, src.doc_id == blocks["__n"]).select("block", "part", "parts", "doc_id", "text")
+    entries = (told.agg(F.sum("n")).first()[0] or 0) * (limit / (1 << 64))
+    inboxes = max(1, parts // 4, math.ceil(entries / receive))
     with small_batches(spark, TEXT_ROWS):
-        sets = written(picked.mapInArrow(lean(_as_sets(k)), "block long, part long, parts long, doc long, shingles binary").dropDuplicates(["doc"]), "members")
-        within = sets.repartition(parts, "block", "part").sortWithinPartitions("block", "part", "doc").mapInArrow(lean(_within(percent)), "a long, b long")
-        links = written(within, "links")
-
-    large = sets.where("parts > 1")
-    if not large.isEmpty():
-        placed = large.select(F.col("doc").alias("d"), "block", "part", "parts", (F.octet_length("shingles") / 8).cast("long").alias("n"))
-
-        def labelled():
-            c = components(links)
-            return written(placed.join(c, placed["d"] == c["node"], "left").select("d", "block", "part", "parts", "n", F.coalesce("component", "d").alias("comp")), "parts")
-
-        def across(rows):
-            rows = rows.join(sets.select("doc", "shingles"), F.col("d") == F.col("doc")).select("block", "band", "i", "j", "side", "doc", "comp", "shingles")
-            return rows.repartition(parts, "block", "band", "i", "j").sortWithinPartitions("block", "band", "i", "j", "side", "doc").mapInArrow(lean(_across(percent)), "a long, b long")
-
-        # each part with the next: parts of one large group of near copies come together here
-        now = labelled()
-        i = F.explode(F.array(F.struct(F.col("part").alias("i"), F.lit(0).alias("side")), F.struct(F.pmod(F.col("part") - 1, F.col("parts")).alias("i"), F.lit(1).alias("side"))))
-        ring = now.select("d", "block", "comp", "parts", i.alias("e")).select("d", "block", F.lit(0).cast("long").alias("band"), F.col("e.i").alias("i"), F.lit(0).cast("long").alias("j"), "e.side", "comp")
-        with small_batches(spark, TEXT_ROWS):
-            links = written(links.unionByName(across(ring)), "links")
-        # what is outside its block's largest component against what of the block is of a size that may link: sets that
-        # link are of the same band of sizes or of neighbours
-        band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1.0)).cast("long")
-        now = labelled().withColumn("band", band)
-        tops = now.groupBy("block", "comp").count().groupBy("block").agg(F.max(F.struct("count", "comp")).alias("top"), F.sum("count").alias("all"))
-        now = now.join(tops.where("all > top.count").select("block", F.col("top.comp").alias("main")), "block")
-        bound = F.greatest(F.ceil(F.count(F.lit(1)) / part_sets), F.ceil(F.sum("n") / part_shingles)).cast("long")
-        heaps = written(now.where("comp <> main").groupBy("block", "band").agg(bound.alias("heaps")), "heaps")
-        near = F.explode(F.array(*[F.col("band") + x for x in (-1, 0, 1)]))
-        shelves = now.select("block", "n", near.alias("band")).groupBy("block", "band").agg(bound.alias("shelves")).join(heaps, ["block", "band"])
-        shelves = written(shelves, "shelves")
-        i, j = F.pmod(F.xxhash64("d", F.lit(1)), F.col("heaps")).alias("i"), F.pmod(F.xxhash64("d", F.lit(2)), F.col("shelves")).alias("j")
-        every = now.select("d", "block", "comp", near.alias("band")).join(shelves, ["block", "band"])
-        every = every.select("d", "block", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("heaps") - 1)).alias("i"), j, F.lit(1).alias("side"), "comp")
-        rest = now.where("comp <> main").join(shelves, ["block", "band"])
-        rest = rest.select("d", "block", "band", i, F.explode(F.sequence(F.lit(0).cast("long"), F.col("shelves") - 1)).alias("j"), F.lit(0).alias("side"), "comp")
-        with small_batches(spark, TEXT_ROWS):
-            links = written(links.unionByName(across(rest.unionByName(every))), "links")
-    joined = components(links)
-    rep = same.join(joined, F.col("rep") == F.col("node"), "left").select(F.col("doc_id").alias("__d"), F.coalesce("component", "rep").alias("component_id"))
-    out = told.join(rep, told.doc_id == rep["__d"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        sent = src.mapInArrow(lean(_send_sample(k, inboxes, limit)), "p long, keys binary, counts binary, x binary")
+        counts = _exchange(sent, inboxes, _count_shared, "key long, shared long").groupBy("key").agg(F.sum("shared").alias("shared"))
+        found = classes.join(counts, F.col("f1") == F.col("key"), "left").where("need <= coalesce(shared, 0)")
+        found = written(found.select("cid", *key, "rep"), "candidates")
+
+        entries = found.agg(F.sum("n")).first()[0] or 0
+        inboxes = max(1, parts // 4, math.ceil(entries / receive))
+        texts = src.join(found.select("cid", "f1", "f2", "rep"), F.col("doc_id") == F.col("rep")).select("cid", "f1", "f2", "text")
+        sent = texts.mapInArrow(lean(_send_sets(k, inboxes)), "p long, keys binary, counts binary, x binary")
+        sent = _exchange(sent, inboxes, _return_sets(inboxes), "p long, keys binary, counts binary, x binary, y binary")
+        sets = _exchange(sent, inboxes, _ordered_sets, "cid long, shingles binary, often binary, m long")
+        sets = sets.join(found.select(F.col("cid").alias("__c"), "n"), F.col("cid") == F.col("__c")).where(F.col("m") * 100 >= F.col("n") * percent)
+        sets = written(sets.select("cid", "n", "shingles", "often", "m"), "members")
+    links = _class_links(sets, percent, part_sets, part_shingles, receive, often)
+
+    # a doc_id with several texts joins their classes
+    several = told.where("n > 0 and doc_id is not null").select("doc_id", *key).distinct()
+    several = several.join(several.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__d")), F.col("doc_id") == F.col("__d"))
+    several = several.join(classes.select(*key, "cid"), key).select("doc_id", "cid")
+    alike = several.join(several.groupBy("doc_id").agg(F.min("cid").alias("b")), "doc_id").select(F.col("cid").alias("a"), "b")
+    joined = components(links.unionByName(alike))
+    joined = classes.join(joined, F.col("cid") == F.col("node")).select("cid", "component", "rep")
+    lowest = joined.join(joined.groupBy("component").agg(F.min("rep").alias("low")), "component").select(F.col("cid").alias("__c"), "low")
+    changed = classes.join(lowest, F.col("cid") == F.col("__c"), "left").where("rows > 1 or low is not null")
+    changed = written(changed.select(*[F.col(c).alias(f"__{c}") for c in key], "rows", F.coalesce("low", "rep").alias("low")), "changed")
+    # classes of very many rows, at most 8 for each partition, by broadcast; the others meet their rows by an equi-join
+    total = told.count()
+    many = F.col("rows") > F.lit(max(1.0, total / (8 * parts)))
+    same = [F.col(c) == F.col(f"__{c}") for c in key]
+    whole = told.join(F.broadcast(changed.where(many).withColumnRenamed("low", "hot").drop("rows")), same, "left").select("doc_id", *key, "hot")
+    light = changed.where(~many).drop("rows")
+    out = whole.where("hot is null and n > 0").join(light, same, "left").select("doc_id", "n", F.coalesce("low", "doc_id").alias("component_id"))
+    out = out.unionByName(whole.where("hot is not null or n = 0").select("doc_id", "n", F.coalesce("hot", "doc_id").alias("component_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def op8_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -66,12 +66,9 @@ def brute_components(pairs, k, percent):
     return {d: (len(sets[d]), find(d)) for d in sets}
 
 
-@pytest.mark.parametrize(("k", "percent", "part", "frequent"), [(4, 85, 4096, 0), (5, 80, 2, 0), (2, 60, 3, 50)])
-def test_join_equals_brute_force(docs, monkeypatch, k, percent, part, frequent):
-    if frequent:  # any list of frequent shingles must give the same result
-        sets = [bytewords.shingles(bytewords.words(*_bytes(r["text"]))[0], k) for r in docs.collect() if r["text"]]
-        monkeypatch.setattr(ngram_join, "frequent_shingles", lambda *a: np.unique(np.concatenate(sets))[::2])
-    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_jaccard_join(docs, k, percent, part).collect()]
+@pytest.mark.parametrize(("k", "percent", "part", "often", "receive"), [(4, 85, 4096, 64, 4_000_000), (5, 80, 2, 3, 500), (2, 60, 3, 1, 50)])
+def test_join_equals_brute_force(docs, k, percent, part, often, receive):
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_jaccard_join(docs, k, percent, part, often=often, receive=receive).collect()]
     pairs = [(r["doc_id"], r["text"]) for r in docs.collect()]
     want = brute_components(pairs, k, percent)
     assert len(got) == len(pairs)
@@ -79,6 +76,42 @@ def test_join_equals_brute_force(docs, monkeypatch, k, percent, part, frequent):
     assert [g[2] for g in got if g[0] is None] == [None]
 
 
+@pytest.mark.parametrize("percent", [60, 80, 95])
+def test_join_at_the_threshold(spark, percent):
+    """Chains of near copies of all sizes whose similarity is just above or just below what links."""
+    table = []
+    for n in [*range(1, 14), 30, 61, 200]:
+        words = [f"w{n}x{i}" for i in range(n)]
+        for step in range(6):
+            table.append((1000 * n + step, " ".join(words)))
+            words = words[max(1, (100 - percent) * n // 200) if step % 2 else 1 :] + [f"v{n}x{step}"] * (step % 3)
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_jaccard_join(df, 1, percent, 3, often=4).collect()}
+    assert got == brute_components(table, 1, percent)
+
+
+def test_join_keeps_all_texts_of_a_document(spark):
+    a, b = text_of(1, 80), text_of(2, 80)
+    df = spark.createDataFrame([(1, a), (1, b), (5, edited(a, 70)), (6, edited(b, 70)), (7, text_of(3, 80)), (8, b), (8, None)], "doc_id long, text string")
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in ngram_join.ngram_jaccard_join(df, 4, 80).collect()}
+    assert got == {(1, 77): 1, (5, 77): 1, (6, 77): 1, (7, 77): 7, (8, 77): 1, (8, 0): 8}
+
+
+def test_join_of_one_large_group(spark):
+    """Copies and near copies of one text make up most rows; parts, ring and heaps must come to the same components."""
+    base = text_of(1, 60).split()
+    table = [(i, " ".join(base)) for i in range(300)]
+    rng = np.random.default_rng(0)
+    for i in range(300, 900):
+        w = list(base)
+        for at in rng.integers(0, 60, 1 + i % 4):
+            w[at] = f"e{rng.integers(5)}"
+        table.append((i, " ".join(w)))
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_jaccard_join(df, 3, 80, 40).collect()}
+    assert got == brute_components(table, 3, 80)
+
+
 def _bytes(text):
     raw = np.frombuffer(text.encode(), np.uint8)
     return raw, np.array([0, len(raw)])
