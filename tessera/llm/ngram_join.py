@@ -26,7 +26,9 @@ class, and classes are joined:
    group's largest component meets what of the group is near it in size, in tasks of bounded size.
 
 Between tasks hashes travel in binary blocks, with each class named once a block. A shingle or signature that very many
-texts share sends one entry from each flush of a task for each class, equal texts one entry in all.
+texts share sends one entry from each flush of a task for each class, equal texts one entry in all. Texts are not shuffled:
+which of them may be of candidates is told by a bit set of fixed size, where a false alarm costs only time. Sets are told
+apart by 128 bits (size and two sums of hashes); between tasks they go by 64 of them.
 """
 
 from __future__ import annotations
@@ -46,12 +48,14 @@ from tessera.llm.components import components, local_roots
 SAMPLE = 1.5
 #: Entries that a task deals out at a time, and that a receiving task gets on average at most.
 HOLD, RECEIVE = 2_000_000, 4_000_000
+#: Words of 64 bits in the bit set that tells which texts may be of candidates.
+WORDS = 1 << 19
 #: The first deal of signatures leaves out shingles of so many sets.
 OFTEN = 64
 #: How often a set with too many empty ranges is dealt anew; after that its empty ranges count as well.
 SALTS = 8
 #: Bounds of a part of a group, and of a heap that meets parts; a task holds two of them at a time.
-PART_SETS, PART_SHINGLES = 4096, 500_000
+PART_SETS, PART_SHINGLES = 1024, 250_000
 #: Rows of an Arrow batch with texts or sets.
 TEXT_ROWS = 1000
 
@@ -154,7 +158,7 @@ def _describe(k: int, percent: int, limit: int):
     return run
 
 
-def _send_sample(k: int, parts: int, limit: int):
+def _send_sets(k: int, parts: int, limit: int = (1 << 64) - 1):
     """Blocks of the shingles up to ``limit``, keyed by the first fingerprint of their set."""
 
     def run(batches):
@@ -185,39 +189,33 @@ def _send_sample(k: int, parts: int, limit: int):
     return run
 
 
-def _count_shared(batches):
-    """(f1, how many of its shingles other sets have too) for each part."""
-    for keys, h in _received(batches, np.uint64):
-        got, n = np.unique(_shared(keys, h)[0], return_counts=True)
-        if len(got):
-            yield pa.RecordBatch.from_arrays([pa.array(got), pa.array(n.astype(np.int64))], ["key", "shared"])
+def _count_shared(parts: int):
+    """How many of each set's shingles other sets have too, in blocks by set."""
 
+    def run(batches):
+        for keys, h in _received(batches, np.uint64):
+            got, n = np.unique(_shared(keys, h)[0], return_counts=True)
+            if len(got):
+                yield _blocks((mix(got.view(np.uint64)) % U(parts)).astype(np.int64), got, n)
 
-def _send_sets(k: int, parts: int):
-    """Blocks of all shingles of the candidate classes, keyed by class."""
+    return run
 
-    def run(batches):
-        held, names, size = [], [], 0
 
-        def flush():
-            h = np.concatenate(held)
-            return _blocks((h % U(parts)).astype(np.int64), np.repeat(np.array(names, np.int64), [len(s) for s in held]), h)
+def _sum_shared(batches):
+    for keys, n in _received(batches, np.int64):
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+        at = _firsts_of(keys)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(np.add.reduceat(n, at))], ["key", "shared"])
 
-        for b in batches:
-            cid, x, y = (column_of(b, c).to_pylist() for c in ("cid", "f1", "f2"))
-            for r, s in text_sets(b, k):
-                if not len(s) or _fingerprint(s) != (x[r], y[r]):
-                    continue  # another text of the same document
-                held.append(s)
-                names.append(cid[r])
-                size += len(s)
-                if size >= HOLD:
-                    yield flush()
-                    held, names, size = [], [], 0
-        if held:
-            yield flush()
 
-    return run
+def _may_hold(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is among ``ids``, and perhaps a few others: a bit set of fixed size, broadcast."""
+    name = ids.columns[0]
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(WORDS))
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(pmod(shiftright(xxhash64({c}), 40), 64) as int))")
+    bits = ids.select(place(name).alias("__at"), bit(name).alias("__bit")).groupBy("__at").agg(F.bit_or("__bit").alias("__bits"))  # at most WORDS rows
+    return docs.join(F.broadcast(bits), place("doc_id") == F.col("__at")).where(F.col("__bits").bitwiseAND(bit("doc_id")) != 0).select(*docs.columns)
 
 
 def _return_sets(parts: int):
@@ -244,7 +242,7 @@ def _ordered_sets(batches):
             cut = at[lo : lo + TEXT_ROWS + 1]
             spans = list(zip(cut, cut[1:], strict=False))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[cut[:-1]]), pa.array([h[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([n[a:b].tobytes() for a, b in spans], pa.binary()), pa.array(np.diff(cut))], ["cid", "shingles", "often", "m"]
+                [pa.array(keys[cut[:-1]]), pa.array([h[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([n[a:b].tobytes() for a, b in spans], pa.binary()), pa.array(np.diff(cut))], ["key", "shingles", "often", "m"]
             )
 
 
@@ -646,21 +644,20 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, part_sets
     classes = told.where("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("need").alias("need"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
-    entries = (told.agg(F.sum("n")).first()[0] or 0) * (limit / (1 << 64))
-    inboxes = max(1, parts // 4, math.ceil(entries / receive))
+    inboxes = lambda entries: max(1, parts // 4, math.ceil((entries or 0) / receive))
+    blocks = "p long, keys binary, counts binary, x binary"
     with small_batches(spark, TEXT_ROWS):
-        sent = src.mapInArrow(lean(_send_sample(k, inboxes, limit)), "p long, keys binary, counts binary, x binary")
-        counts = _exchange(sent, inboxes, _count_shared, "key long, shared long").groupBy("key").agg(F.sum("shared").alias("shared"))
+        some = inboxes((told.agg(F.sum("n")).first()[0] or 0) * (limit / (1 << 64)))
+        sent = _exchange(src.mapInArrow(lean(_send_sets(k, some, limit)), blocks), some, _count_shared(some), blocks)
+        counts = _exchange(sent, some, _sum_shared, "key long, shared long")
         found = classes.join(counts, F.col("f1") == F.col("key"), "left").where("need <= coalesce(shared, 0)")
         found = written(found.select("cid", *key, "rep"), "candidates")
 
-        entries = found.agg(F.sum("n")).first()[0] or 0
-        inboxes = max(1, parts // 4, math.ceil(entries / receive))
-        texts = src.join(found.select("cid", "f1", "f2", "rep"), F.col("doc_id") == F.col("rep")).select("cid", "f1", "f2", "text")
-        sent = texts.mapInArrow(lean(_send_sets(k, inboxes)), "p long, keys binary, counts binary, x binary")
-        sent = _exchange(sent, inboxes, _return_sets(inboxes), "p long, keys binary, counts binary, x binary, y binary")
-        sets = _exchange(sent, inboxes, _ordered_sets, "cid long, shingles binary, often binary, m long")
-        sets = sets.join(found.select(F.col("cid").alias("__c"), "n"), F.col("cid") == F.col("__c")).where(F.col("m") * 100 >= F.col("n") * percent)
+        some = inboxes(found.agg(F.sum("n")).first()[0])
+        texts = _may_hold(found.select("rep"), src)
+        sent = _exchange(texts.mapInArrow(lean(_send_sets(k, some)), blocks), some, _return_sets(some), blocks + ", y binary")
+        sets = _exchange(sent, some, _ordered_sets, "key long, shingles binary, often binary, m long")
+        sets = sets.join(found.select("f1", "cid", "n"), F.col("key") == F.col("f1")).where(F.col("m") * 100 >= F.col("n") * percent)
         sets = written(sets.select("cid", "n", "shingles", "often", "m"), "members")
     links = _class_links(sets, percent, part_sets, part_shingles, receive, often)
 
