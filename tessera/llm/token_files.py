@@ -10,18 +10,18 @@ and whole values go to the block's exception list. Layout, little-endian::
     documents: id i64 (null: -2**63) each, then number of ids u64 each
     trailer: start of index u64, blocks u64, documents u64, ids u64, "PFOR1END"
 
-Documents are dealt to files by ranges of doc_id, so files and the documents in them are in ascending order. A task
-writes under a name of its own and renames, so that a second attempt does no harm.
+Documents are dealt to files by ranges of doc_id, so files and the documents in them are in ascending order. Each attempt
+of a task writes a file with a name of its own; the table of files, committed with the tasks, names the one that counts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import uuid
 import zlib
-from array import array
 from itertools import chain
 
 import numpy as np
@@ -197,123 +197,159 @@ class TokenReader:
 
 # White space as the tokenizer's pattern has it (fixed values).
 _S = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_PIECE = re.compile(f"[{_S}]*[^{_S}]+|[{_S}]+")
-_ENDING = re.compile(r"(.*[0-9A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?]+)", re.S)
+# A line end before text; a word before punctuation; text with the white space before it; white space at the end.
+_PIECE = re.compile(f"\\n(?=[^{_S}])|[{_S}]*+(?:[0-9A-Za-zÀ-ÖØ-öø-ÿ]++(?=[.,;:!?])|[^{_S}]++)|[{_S}]++")
 _INNER = re.compile(f" ?[^{_S}]+")
 
 
-class _Numbers(dict):
-    """Numbers for pieces in the order in which they are first asked for; ``new`` has those not yet encoded."""
+def _spans(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places of runs of ``length`` from ``begin`` on, one run after the other."""
+    done = np.cumsum(length)
+    return np.repeat(begin - done + length, length) + np.arange(int(done[-1]) if len(done) else 0)
+
+
+class _Generation(dict):
+    """Numbers of pieces, in the order in which they are first asked for, with their ids; ``new`` has those not yet encoded."""
 
     def __init__(self):
         super().__init__()
         self.new: list[str] = []
+        self.begin, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.flat, self.used, self.ids = np.zeros(1 << 18, np.uint32), 0, 0
 
     def __missing__(self, piece: str) -> int:
         n = self[piece] = len(self)
         self.new.append(piece)
         return n
 
+    def append(self, length: np.ndarray, ids: np.ndarray) -> None:
+        n, m = self.used + len(length), self.ids + len(ids)
+        if n > len(self.begin):
+            self.begin, self.length = (np.concatenate([x, np.zeros(n, np.int64)]) for x in (self.begin, self.length))
+        if m > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(m, np.uint32)])
+        self.begin[self.used : n] = self.ids + np.cumsum(length) - length
+        self.length[self.used : n] = length
+        self.flat[self.ids : m] = ids
+        self.used, self.ids = n, m
+
 
 class PieceEncoder:
-    """The tokenizer's ids of whole texts, with each distinct piece encoded once.
+    """The tokenizer's ids of whole texts, with each distinct piece encoded once as long as it is kept.
 
     The byte-level pattern never joins characters across the start of white space that follows other text, nor across
-    ``.,;:!?`` after a letter or digit, so the ids of a text are those of its pieces. A line end between two pieces is
-    always one token, so many pieces are encoded in one call, a line each. Pieces are kept up to a number.
+    ``.,;:!?`` after a letter or digit, nor a line end with text that follows it, so the ids of a text are those of its
+    pieces. A line end between two pieces is always one token, so many new pieces are encoded in one call, a line each.
+    Pieces are kept in two generations of at most ``most``; one that is met again moves to the younger, and the older is dropped when
+    the younger is full. Texts go to the tokenizer whole where it is of another kind, or where they hold an added token
+    that takes in white space.
     """
 
-    def __init__(self, path: str, ordinary: bool = True, most: int = 300_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = ordinary
+        kind = json.loads(self.tokenizer.to_str())
+        before = kind.get("pre_tokenizer") or {}
+        self.pieces = kind.get("normalizer") is None and (before.get("type"), before.get("add_prefix_space"), before.get("use_regex")) == ("ByteLevel", False, True)
+        self.wide = [t["content"] for t in kind.get("added_tokens") or [] if t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(f"[{_S}]", t["content"])]
+        line = self._ids(["\n"])[1]
+        self.line = line[0] if len(line) == 1 else None
         self.most = most
-        line = self._ids("\n")
-        self.line = line[0] if len(line) == 1 and all(self._ids(x) == [*self._ids(x[:-2]), line[0], *self._ids(x[-1:])] for x in ("a\nb", ",\n.")) else None
-        self._clear()
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _clear(self) -> None:
-        self.number, self.cores = _Numbers(), {}
-        self.flat, self.length = bytearray(), array("q")
-
-    def _encode_cores(self, cores: list[str], at_once: int = 400) -> None:
-        """Ids of texts that hold no white space but perhaps one space in front."""
-        for lo in range(0, len(cores), at_once):
-            part = cores[lo : lo + at_once]
-            if self.line is not None:
-                ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
-                cut = np.flatnonzero(ids == self.line)
-                if len(cut) + 1 == len(part):
-                    raw, ends = ids.tobytes(), [*(4 * cut).tolist(), 4 * len(ids)]
-                    start = 0
-                    for core, end in zip(part, ends, strict=True):
-                        self.cores[core] = raw[start:end]
-                        start = end + 4
-                    continue
-            for core in part:
-                self.cores[core] = np.array(self._ids(core), "<u4").tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        plans, wanted = [], {}
-        for p in pieces:
-            first, core = (b"", p) if self.line is None or p[0] != "\n" else (struct.pack("<I", self.line), p[1:])
-            if not _INNER.fullmatch(core):
-                plans.append((np.array(self._ids(p), "<u4").tobytes(), ()))
-                continue
-            m = _ENDING.fullmatch(core)
-            parts = m.groups() if m else (core,)
-            plans.append((first, parts))
-            for c in parts:
-                if c not in self.cores:
-                    wanted[c] = None
-        self._encode_cores(list(wanted))
-        cores = self.cores
-        for first, parts in plans:
-            raw = first + b"".join([cores[c] for c in parts])
-            self.flat += raw
-            self.length.append(len(raw) // 4)
+        self.old, self.young = _Generation(), _Generation()
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids, all ids) by the tokenizer itself."""
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        length = np.fromiter(map(len, got), np.int64, len(got))
+        return length, np.fromiter(chain.from_iterable(got), np.uint32, int(length.sum()))
+
+    def _encode_pieces(self, pieces: list[str], at_once: int = 400) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids by piece, all ids); pieces with white space other than one space in front go one by one."""
+        inner = [_INNER.fullmatch(p) is not None for p in pieces] if self.line is not None else [False] * len(pieces)
+        lines = [p for p, ok in zip(pieces, inner, strict=True) if ok]
+        parts = [lines[lo : lo + at_once] for lo in range(0, len(lines), at_once)]
+        lengths, found = [], []
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast(["\n".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            cut = np.flatnonzero(ids == self.line)
+            if len(cut) + 1 == len(part):
+                lengths.append(np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1)
+                found.append(np.delete(ids, cut))
+            else:  # a piece holds the line end's id
+                n, ids = self._ids(part)
+                lengths.append(n)
+                found.append(ids)
+        n, ids = self._ids([p for p, ok in zip(pieces, inner, strict=True) if not ok])
+        inner = np.array(inner, bool)
+        length = np.empty(len(pieces), np.int64)
+        length[inner], length[~inner] = np.concatenate([*lengths, n[:0]]), n
+        begin = np.cumsum(length) - length
+        out = np.empty(int(length.sum()), np.uint32)
+        out[_spans(begin[inner], length[inner])] = np.concatenate([*found, ids[:0]])
+        out[_spans(begin[~inner], n)] = ids
+        return length, out
+
+    def _learn(self, at_once: int = 20_000) -> None:
+        """Ids of the pieces that the younger generation lacks, from the older one or the tokenizer."""
+        every, self.young.new = self.young.new, []
+        for lo in range(0, len(every), at_once):
+            pieces = every[lo : lo + at_once]
+            known = np.fromiter((self.old.get(p, -1) for p in pieces), np.int64, len(pieces))
+            fresh, ids = self._encode_pieces([p for p, n in zip(pieces, known, strict=True) if n < 0])
+            has = known >= 0
+            length = np.empty(len(pieces), np.int64)
+            length[has], length[~has] = self.old.length[known[has]], fresh
+            begin = np.cumsum(length) - length
+            out = np.empty(int(length.sum()), np.uint32)
+            out[_spans(begin[~has], fresh)] = ids
+            out[_spans(begin[has], length[has])] = self.old.flat[_spans(self.old.begin[known[has]], length[has])]
+            self.young.append(length, out)
 
     def encode(self, texts: list[str], end: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids by text, all ids); every text ends with ``end``."""
-        if len(self.number) > self.most:
-            self._clear()
+        whole = [i for i, t in enumerate(texts) if any(w in t for w in self.wide)] if self.pieces else range(len(texts))
+        if len(whole):
+            n, ids = self._ids([texts[i] for i in whole])
+            others = sorted(set(range(len(texts))).difference(whole))
+            m, more = self.encode([texts[i] for i in others], end) if others else (np.zeros(0, np.int64), ids[:0])
+            runs = dict(zip(others, np.split(more, np.cumsum(m)[:-1]), strict=True)) if others else {}
+            runs |= {i: np.append(run, np.uint32(end)) for i, run in zip(whole, np.split(ids, np.cumsum(n)[:-1]), strict=True)}
+            return np.array([len(runs[i]) for i in range(len(texts))]), np.concatenate([runs[i] for i in range(len(texts))])
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, _Generation()
         split = [_PIECE.findall(t) for t in texts]
         pieces = np.array([len(s) for s in split], np.int64)
-        index = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, int(pieces.sum()))
-        if self.number.new:
-            self._learn(self.number.new)
-            self.number.new = []
-        every = np.array(self.length, np.int64)
-        begin = np.cumsum(every) - every
-        length = every[index]
-        done = np.cumsum(length)
-        flat = np.frombuffer(bytes(self.flat), "<u4")
-        ids = flat[np.repeat(begin[index] - done + length, length) + np.arange(int(done[-1]) if len(done) else 0)]
-        upto = np.concatenate([[0], done])[np.cumsum(pieces)]  # where each text ends
+        young = self.young
+        index = np.fromiter(map(young.__getitem__, chain.from_iterable(split)), np.int64, int(pieces.sum()))
+        if young.new:
+            self._learn()
+        length = young.length[index]
+        ids = young.flat[_spans(young.begin[index], length)]
+        upto = np.concatenate([[0], np.cumsum(length)])[np.cumsum(pieces)]  # where each text ends
         return np.diff(upto, prepend=0) + 1, np.insert(ids, upto, end)
 
 
-def piece_encoder(path: str, ordinary: bool) -> PieceEncoder:
+def piece_encoder(path: str) -> PieceEncoder:
     """The encoder of this process, with the pieces that earlier tasks met, until a task of another operator runs here."""
     encoders = kept.setdefault("token_files", {})
-    if (path, ordinary) not in encoders:
-        encoders[path, ordinary] = PieceEncoder(path, ordinary)
-    return encoders[path, ordinary]
+    if path not in encoders:
+        encoders[path] = PieceEncoder(path)
+    return encoders[path]
 
 
 def _filesystem(path: str):
     return pafs.FileSystem.from_uri(path)
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, path: str, end: int = 0, files: int | None = None, ordinary: bool = True) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, path: str, end: int = 0, files: int | None = None) -> DataFrame:
     """Write ``docs`` (doc_id, text) in ascending doc_id order below ``path``; a table of the files (part, file, docs, ids).
 
-    A null text is empty; a null doc_id comes first. Equal doc_ids are in one file, in the order of their texts.
+    A null text is empty; a null doc_id comes first. Equal doc_ids are in one file, in the order of their texts. A text of
+    any length is one document; only its own ids are held at a time. Extra columns are ignored; an empty table gives
+    files without documents. Ids are those of ``encode(text, add_special_tokens=False)`` with the tokenizer as its file has it,
+    so an added token that stands in a text is that token.
     """
     files = files or partitions(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -322,11 +358,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end: int = 0,
         part = TaskContext.get().partitionId()
         from tessera.llm.token_files import piece_encoder  # the module's own, not a copy that came with the task
 
-        encoder = piece_encoder(tokenizer, ordinary)
+        encoder = piece_encoder(tokenizer)
         fs, base = _filesystem(path)
         fs.create_dir(base, recursive=True)
-        name, draft = f"part-{part:06d}.pfor", f"_draft-{part:06d}-{uuid.uuid4().hex}"
-        with fs.open_output_stream(f"{base}/{draft}") as stream:
+        name = f"part-{part:06d}-{uuid.uuid4().hex}.pfor"
+        with fs.open_output_stream(f"{base}/{name}") as stream:
             w = TokenWriter(stream)
             for b in batches:
                 column, ids = column_of(b, "text"), column_of(b, "doc_id").to_pylist()
@@ -334,7 +370,6 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end: int = 0,
                     n, tokens = encoder.encode(column.slice(i, j - i).to_pylist(), end)
                     w.add(ids[i:j], n, tokens)
             w.close()
-        fs.move(f"{base}/{draft}", f"{base}/{name}")
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([f"{path}/{name}"]), pa.array([len(w.docs)], pa.int64()), pa.array([w.n_ids], pa.int64())], ["part", "file", "docs", "ids"])
 
     dealt = src.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
