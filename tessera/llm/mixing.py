@@ -87,7 +87,12 @@ def pivotal_copies(docs: DataFrame, seed: int = 7, fan_in: int = 64, carry: tupl
     """
     p = F.col("copies") - F.floor("copies")
     p = F.when(p < 1e-9, 0.0).when(p > 1 - 1e-9, 1.0).otherwise(p)
-    rows = docs.select("rank", F.greatest(F.ceil(F.col("n_docs") / fan_in), F.lit(1)).cast("long").alias("blocks"), F.struct((-F.col("size")).alias("k"), F.xxhash64(F.lit(seed), "id", "size").alias("h"), "id", "size", F.floor("copies").cast("long").alias("base"), p.alias("p"), *carry).alias("row"))
+    # rows of one id and size are numbered, equal ones after they are counted, so that they too are spread over the blocks
+    same = Window.partitionBy("rank", "id", "size")
+    docs = docs.groupBy(*docs.columns).agg(F.count(F.lit(1)).alias("__rows"))
+    upto = F.sum("__rows").over(same.orderBy(*(carry or ("id",))).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    docs = docs.withColumn("__upto", upto).withColumn("__row", F.explode(F.sequence(F.col("__upto") - F.col("__rows") + 1, F.col("__upto"))))
+    rows = docs.select("rank", F.greatest(F.ceil(F.col("n_docs") / fan_in), F.lit(1)).cast("long").alias("blocks"), F.struct((-F.col("size")).alias("k"), F.xxhash64(F.lit(seed), "id", "size", "__row").alias("h"), "id", "size", F.floor("copies").cast("long").alias("base"), p.alias("p"), *carry).alias("row"))
     kind = rows.schema["row"].dataType.simpleString()
     whole = rows.where("row.p in (0.0, 1.0)").select("rank", "row")
     todo, done = rows.where("row.p not in (0.0, 1.0)"), [whole]

@@ -194,8 +194,7 @@ def test_token_files(spark, docs, empty):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    odd = spark.createDataFrame([(-5, "it's we'll  two  spaces \n\n end.\u2003wide (a).b, naïve…!? 12,5 <|endoftext|>x"), (-4, "tab\there \u00a0 nb\r\n")], "doc_id long, text string")
+    odd = spark.createDataFrame([(-5, "it's we'll  two  spaces \n\n end.\u2003wide (a).b, naïve…!? 12,5 <|endoftext|>x"), (-4, "tab\there \u00a0 nb\r\n"), (-3, "a<|endoftext|>  <|endoftext|>\n b <|endoftext|>"), (-2, "<|endoftext|>")], "doc_id long, text string")
     both = docs.select("doc_id", "text").unionByName(odd)
     got = token_files.token_table(both).collect()
     want, start = [], 0
@@ -207,6 +206,23 @@ def test_token_files(spark, docs, empty):
     assert token_files.token_table(empty).count() == 0
 
 
+def test_pieces_by_generations():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["", "\n", "it's", "x1", "naïve", "don't!!", "<|endoftext|>", "\u2003"]) + str(rng.integers(200)) for _ in range(40)) for _ in range(60)]
+    for name, most in (("byte_bpe_50k.json", 10), ("byte_bpe_50k.json", 10_000), ("word_bpe_49k.json", 10)):
+        path = public_tokenizers.path(name)
+        t = Tokenizer.from_file(path)
+        encoder = token_files.PieceEncoder(path, most)
+        for lo in range(0, 60, 7):
+            n, ids = encoder.encode(texts[lo : lo + 7], 3)
+            want = [[*t.encode(x, add_special_tokens=False).ids, 3] for x in texts[lo : lo + 7]]
+            assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+            assert len(encoder.old) <= most + 7 * 40
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(600, 24))
@@ -443,3 +459,29 @@ def test_pipeline(spark, sf_dir):
         seen.append(docs.count())
     assert seen[0] >= seen[1] > seen[2] > seen[3] and seen[4] == seen[5]
     assert c.run(spark, sf_dir).count() == seen[5]
+
+
+def test_mixing_spreads_equal_rows(spark):
+    df = spark.range(30_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("two words").alias("text"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"))
+    out = mixing.mix_sources(df).groupBy("source_size", "copies").agg(F.count(F.lit(1)).alias("n"), F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert sum(r["n"] for r in out) == 30_000
+    for size in {r["source_size"] for r in out}:
+        some = [r for r in out if r["source_size"] == size]
+        assert abs(sum(r["taken"] for r in some) - some[0]["target"]) <= 2
+
+
+@pytest.mark.parametrize("case", ["rows", "empty"])
+def test_pipeline_stages_on_odd_rows(spark, sf_dir, case):
+    """Nulls, empty texts, repeated ids and columns with clashing names go through every stage; an empty table stays empty."""
+    import corpus_pipeline as c
+
+    table = [(i, text_of(i, 60), "en", "s", i, "a", i, i) for i in range(12)] + [(None, None, None, None, None, None, None, None), (3, "", "en", None, 0, "b", 1, 1), (3, text_of(70, 30), None, None, 0, "b", 1, 1), (None, text_of(71, 30), "en", "s", 1, "b", 2, 2)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long, __copy string, __mix_a long, component_id long")
+    if case == "empty":
+        docs = docs.where("false")
+    for k, (_, stage) in enumerate(c.STAGES):
+        nxt = common.written(stage(spark, docs, sf_dir), "stage")
+        if k < 4:
+            assert nxt.columns == docs.columns and set(map(tuple, nxt.collect())) <= set(map(tuple, docs.collect()))
+        docs = nxt
+    assert (docs.count() > 0) == (case == "rows")
