@@ -43,17 +43,25 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows are told apart by two hashes of doc_id, source and text, and by a number among equal rows.
 
-    Equal rows stand for each other: those with the most copies are the first of them.
+    Equal rows stand for each other: those with the most copies are the first of them. As one source's rows have ``low``
+    copies or one more, a row for each distinct one says it all, and texts are shuffled once. Null doc_ids, sources and
+    texts are values like others; columns with names of this function's own come out as they came in.
     """
-    names, key = docs.columns, ["__a", "__b"]
+    names, key = docs.columns, ["__mix_a", "__mix_b"]
+    clash = {c: f"__held_{i}" for i, c in enumerate(names) if c.startswith("__mix_")}
+    docs = docs.withColumnsRenamed(clash)
     row = [F.col(c).isNull() for c in ("doc_id", "source", "text")] + ["doc_id", "source", "text"]
-    keyed = docs.withColumns({"__a": F.xxhash64(*row), "__b": F.xxhash64(F.lit(1), *row)})
+    keyed = docs.withColumns({"__mix_a": F.xxhash64(*row), "__mix_b": F.xxhash64(F.lit(1), *row)})
     other = [f.name for f in docs.schema if isinstance(f.dataType, AtomicType) and f.name not in ("doc_id", "source", "text")]
-    nth = lambda *by: F.row_number().over(Window.partitionBy(*key).orderBy(*by))
     mixed = mix_sources(keyed.select("doc_id", "text", "source", *key), carry=tuple(key))
-    mixed = mixed.withColumn("__nth", nth(F.desc("copies"))).where("copies > 0").select(*key, "__nth", F.col("copies").alias("__copies"))
-    taken = keyed.withColumn("__nth", nth(*(other or key))).join(mixed, [*key, "__nth"])
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*names)
+    mixed = mixed.groupBy(*key, "copies").count().groupBy(*key).agg(F.min("copies").alias("__mix_low"), F.max(F.struct("copies", F.col("count").alias("n"))).alias("__mix_top"))
+    more = F.when(F.col("__mix_top.copies") > F.col("__mix_low"), F.col("__mix_top.n")).otherwise(0)
+    mixed = mixed.select(*key, "__mix_low", more.alias("__mix_more")).where("__mix_low > 0 or __mix_more > 0")
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(*(other or key)))
+    taken = keyed.withColumn("__mix_nth", nth).join(mixed, key)
+    copies = (F.col("__mix_low") + (F.col("__mix_nth") <= F.col("__mix_more")).cast("long")).cast("int")
+    taken = taken.withColumn("__mix_copies", copies).where("__mix_copies > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))))
+    return taken.select(*[F.col(clash.get(c, c)).alias(c) for c in names])
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
