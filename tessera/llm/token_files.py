@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Utf8, column_of, kept, lean, partitions, shared_path, small_batches, table, written
+from tessera.llm.common import Utf8, column_of, give_back, kept, lean, partitions, shared_path, small_batches, table, written
 
 BLOCK = 256
 HEAD, TAIL, NO_ID = b"PFOR1\0\0\0", b"PFOR1END", -(1 << 63)
@@ -118,7 +118,7 @@ def unpack(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
 class TokenWriter:
     """One file, written front to back; only the index and the document table are held."""
 
-    def __init__(self, stream, blocks_at_once: int = 4096, percentile: float = 0.9):
+    def __init__(self, stream, blocks_at_once: int = 1024, percentile: float = 0.9):
         self.stream, self.hold, self.percentile = stream, blocks_at_once * BLOCK, percentile
         self.waiting, self.n_waiting = [], 0
         self.sizes: list[np.ndarray] = []
@@ -245,7 +245,7 @@ class PieceEncoder:
     that takes in white space.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 240_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -319,6 +319,7 @@ class PieceEncoder:
             return np.array([len(runs[i]) for i in range(len(texts))]), np.concatenate([runs[i] for i in range(len(texts))])
         if len(self.young) > self.most:
             self.old, self.young = self.young, _Generation()
+            give_back()
         split = [_PIECE.findall(t) for t in texts]
         pieces = np.array([len(s) for s in split], np.int64)
         young = self.young
@@ -366,7 +367,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end: int = 0,
             w = TokenWriter(stream)
             for b in batches:
                 column, ids = column_of(b, "text"), column_of(b, "doc_id").to_pylist()
-                for i, j in Utf8(column).slices(1 << 20):
+                for i, j in Utf8(column).slices(1 << 19):
                     n, tokens = encoder.encode(column.slice(i, j - i).to_pylist(), end)
                     w.add(ids[i:j], n, tokens)
             w.close()
