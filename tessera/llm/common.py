@@ -10,6 +10,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -49,6 +50,25 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: Words of 64 bits in the bit set of ``split_by_bits``.
+BIT_WORDS = 1 << 19
+
+
+def split_by_bits(df: DataFrame, column: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``df`` that may have one of ``ids``, those that have none), without a shuffle of ``df``.
+
+    ``ids`` (one long column, as ``column`` is) become a bit set of at most ``BIT_WORDS`` words, so its broadcast is
+    bounded; the more ids, the more other rows are among the first, which only an exact join tells apart.
+    """
+    name = ids.columns[0]
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BIT_WORDS))
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(pmod(shiftright(xxhash64(`{c}`), 40), 64) as int))")
+    bits = ids.select(place(name).alias("__bits_at"), bit(name).alias("__bit")).groupBy("__bits_at").agg(F.bit_or("__bit").alias("__bits"))
+    told = df.join(F.broadcast(written(bits, "bits")), place(column) == F.col("__bits_at"), "left")
+    may = F.coalesce(F.col("__bits").bitwiseAND(bit(column)) != 0, F.lit(False))
+    return tuple(told.where(x).select(*[df[c] for c in df.columns]) for x in (may, ~may))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

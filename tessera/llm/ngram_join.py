@@ -41,21 +41,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytewords import U, mix, shingles, words
-from tessera.llm.common import Utf8, column_of, forget, lean, partitions, small_batches, written
+from tessera.llm.common import Utf8, column_of, forget, lean, partitions, small_batches, split_by_bits, written
 from tessera.llm.components import components, local_roots
 
 #: The count filter looks at so many times the share of shingles that may be missing.
 SAMPLE = 1.5
 #: Entries that a task deals out at a time, and that a receiving task gets on average at most.
 HOLD, RECEIVE = 2_000_000, 4_000_000
-#: Words of 64 bits in the bit set that tells which texts may be of candidates.
-WORDS = 1 << 19
 #: The first deal of signatures leaves out shingles of so many sets.
 OFTEN = 64
 #: How often a set with too many empty ranges is dealt anew; after that its empty ranges count as well.
 SALTS = 8
 #: Bounds of a part of a group, and of a heap that meets parts; a task holds two of them at a time.
-PART_SETS, PART_SHINGLES = 1024, 250_000
+PART_SETS, PART_SHINGLES = 4096, 500_000
 #: Rows of an Arrow batch with texts or sets.
 TEXT_ROWS = 1000
 
@@ -209,15 +207,6 @@ def _sum_shared(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(np.add.reduceat(n, at))], ["key", "shared"])
 
 
-def _may_hold(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is among ``ids``, and perhaps a few others: a bit set of fixed size, broadcast."""
-    name = ids.columns[0]
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(WORDS))
-    bit = lambda c: F.expr(f"shiftleft(1L, cast(pmod(shiftright(xxhash64({c}), 40), 64) as int))")
-    bits = ids.select(place(name).alias("__at"), bit(name).alias("__bit")).groupBy("__at").agg(F.bit_or("__bit").alias("__bits"))  # at most WORDS rows
-    return docs.join(F.broadcast(bits), place("doc_id") == F.col("__at")).where(F.col("__bits").bitwiseAND(bit("doc_id")) != 0).select(*docs.columns)
-
-
 def _return_sets(parts: int):
     """The shared shingles of each part with their frequency, in blocks by class."""
 
@@ -586,6 +575,8 @@ def _class_links(sets: DataFrame, percent: int, part_sets: int, part_shingles: i
     large = placed.where("parts > 1")
     if large.isEmpty():
         return links
+    # from here on only the sets of these groups are read
+    held = written(held.join(large.select("d"), F.col("cid") == F.col("d")).select("cid", "shingles", "often"), "large")
 
     def labelled():
         c = components(links)
@@ -620,7 +611,7 @@ def _class_links(sets: DataFrame, percent: int, part_sets: int, part_shingles: i
     rest = now.where("comp <> main").join(shelves, ["block", "band"])
     rest = rest.select("d", "block", "band", i, upto("shelves").alias("j"), F.lit(0).alias("side"), "comp", "n")
     before, links = links, across(rest.unionByName(every))
-    for done in (before, labels, heaps, shelves, placed):
+    for done in (before, labels, heaps, shelves, placed, held):
         forget(done)
     return links
 
@@ -654,7 +645,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, part_sets
         found = written(found.select("cid", *key, "rep"), "candidates")
 
         some = inboxes(found.agg(F.sum("n")).first()[0])
-        texts = _may_hold(found.select("rep"), src)
+        texts, _ = split_by_bits(src, "doc_id", found.select("rep"))
         sent = _exchange(texts.mapInArrow(lean(_send_sets(k, some)), blocks), some, _return_sets(some), blocks + ", y binary")
         sets = _exchange(sent, some, _ordered_sets, "key long, shingles binary, often binary, m long")
         sets = sets.join(found.select("f1", "cid", "n"), F.col("key") == F.col("f1")).where(F.col("m") * 100 >= F.col("n") * percent)
