@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
-from tessera.llm.common import shared_path, table
+from tessera.llm.common import shared_path, split_by_bits, table, written
 from tessera.llm.decontaminate import without_contaminated
 from tessera.llm.language_id import held_out, keep_identified, learn_languages
 from tessera.llm.mixing import mix_sources
@@ -30,10 +30,11 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of one doc_id stay or go together; a null doc_id stays."""
+    """Rows of one doc_id stay or go together; a null doc_id stays. Only rows that may be copies are shuffled."""
     found = ngram_jaccard_join(docs.select("doc_id", "text"), k=5, percent=80)
-    copies = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__copy")).distinct()
-    return docs.join(copies, docs["doc_id"] == copies["__copy"], "left_anti")
+    copies = written(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__copy_id")).distinct(), "copies")
+    may, others = split_by_bits(docs, "doc_id", copies)
+    return others.unionByName(may.join(copies, may["doc_id"] == copies["__copy_id"], "left_anti"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
