@@ -127,7 +127,7 @@ class ConvolutionalClassifier:
         f = np.maximum(np.concatenate(pooled, 1), 0)
         z = f @ self.p["out"] + self.p["bias"][0]
         err = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * weight / len(counts)).astype(np.float32)
-        out = {"out": (None, f.T @ err), "bias": (None, np.array([err.sum() * 0], np.float32))}
+        out = {"out": (None, f.T @ err), "bias": (None, np.array([err.sum()], np.float32))}
         df = err[:, None] * self.p["out"][None] * (f > 0)
         gx_at, gx = [], []
         for i, w in enumerate(self.widths):

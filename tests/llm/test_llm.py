@@ -409,7 +409,7 @@ def test_gradients_of_the_convolution():
         return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
 
     g = m._gradients(words, stems, counts, y, w)
-    for name in ("w2", "w3", "out"):
+    for name in ("w2", "w3", "out", "bias"):
         at = tuple(rng.integers(0, s) for s in m.p[name].shape)
         was = m.p[name][at]
         m.p[name][at] = was + 1e-4
