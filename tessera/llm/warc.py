@@ -3,7 +3,9 @@
 Records are written gzip member by gzip member, and for each one a row of an index: file, offset, length, URL, digest.
 Of records with equal payloads of at least ``least`` bytes the one with the smallest key is a response and the others
 are revisits that name it. A reader selects rows of the index; each task takes the rows of some files, sorts their byte
-ranges, joins ranges that are near into one read, and parses the records in it.
+ranges, joins ranges that are near into one read, and parses the records in it. Every attempt of a task writes a file of
+its own name, and only the committed attempt's index rows are kept, so a task that runs again, or twice at once, in
+whatever order its rows come, can't change a file that the index names; files of lost attempts are never read.
 """
 
 from __future__ import annotations
@@ -85,7 +87,8 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> DataFrame:
     """Write ``pages`` (page_id, url, html) below ``path``; the index, one row for each record.
 
     A null html is an empty payload; a null url leaves out the header. A null page_id is a response, and no other
-    record refers to it. Rows of one page_id with equal payloads are all that page's: responses, if it comes first.
+    record refers to it. Rows of one page_id with equal payloads are all that page's: responses, if it comes first. Extra
+    columns are ignored; an empty table gives an empty index.
     """
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     payload = F.encode("html", "UTF-8")
@@ -98,13 +101,13 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> DataFrame:
         part = TaskContext.get().partitionId()
         fs, base = pafs.FileSystem.from_uri(path)
         fs.create_dir(base, recursive=True)
-        name, draft = f"pages-{part:06d}.warc.gz", f"_draft-{part:06d}-{uuid.uuid4().hex}"
+        name = f"pages-{part:06d}-{uuid.uuid4().hex}.warc.gz"
         out, at = [], 0
         stream = None
         for b in batches:
             for page, url, html, first_page in zip(*(column_of(b, c).to_pylist() for c in ("page_id", "url", "html", "first")), strict=True):
                 if stream is None:
-                    stream = fs.open_output_stream(f"{base}/{draft}")
+                    stream = fs.open_output_stream(f"{base}/{name}", compression=None)
                     info = b"software: tessera\r\nformat: WARC File Format 1.1\r\n"
                     stream.write(start := gzip_member(f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid5(SPACE, f'file:{name}')}>\r\nWARC-Date: {WHEN}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n".encode() + info + b"\r\n\r\n"))
                     at = len(start)
@@ -116,7 +119,6 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> DataFrame:
                 at += len(member)
         if stream is not None:
             stream.close()
-            fs.move(f"{base}/{draft}", f"{base}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["page_id", "url", "digest", "record_type", "file", "offset", "length"])
 
     return written(plan.mapInArrow(lean(run), INDEX), "warc-index")

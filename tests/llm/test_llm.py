@@ -306,6 +306,11 @@ def test_warc(spark):
     one = warc.read_archives(index.where("page_id = 6"))
     assert [r["page_id"] for r in one.collect()] == [6]
     assert warc.read_archives(warc.write_archives(df.where("false"), common.shared_path(spark, "warc"))).count() == 0
+    path = common.shared_path(spark, "warc")
+    mine = warc.write_archives(df, path)
+    warc.write_archives(df.orderBy(F.desc("page_id")), path)  # as a second attempt does, in another order
+    key = lambda r: (r.page_id is None, r.page_id, r.url)
+    assert sorted(warc.read_archives(mine, payloads=True).collect(), key=key) == sorted(out, key=key)
     assert warc.coalesced([(100, 10), (0, 50), (60, 30)], gap=10) == [(0, 110, [(0, 50), (60, 30), (100, 10)])]
 
 
