@@ -8,7 +8,9 @@ decide where no host rule fits, and what no rule fits gets the default.
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,9 +18,6 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 
-#: Up to so many rules the index is a literal of the plan; more are joined by token.
-LITERAL_RULES = 5_000
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -83,22 +82,33 @@ def _tokens(host: Column, path: Column) -> Column:
 def rarest_tokens(parts: DataFrame, rules: list[Rule]) -> dict[str, str]:
     """Rule name -> the token of it that the fewest URLs hold (ties: the smaller token), counted over all rows."""
     every = sorted({t for r in rules for t in r.tokens})
-    counts = {}
-    if len(every) <= LITERAL_RULES:
-        # one pass, one small row from each task
-        found = parts.select(F.explode(F.array_intersect(_tokens(F.col("host"), F.col("path")), F.array(*map(F.lit, every)))).alias("token")).groupBy("token").count().collect() if every else []
-        counts = {r["token"]: r["count"] for r in found}
-    else:
-        names = parts.sparkSession.createDataFrame([(t,) for t in every], "token string")
-        counts = {r["token"]: r["count"] for r in parts.select(F.explode(_tokens(F.col("host"), F.col("path"))).alias("token")).join(F.broadcast(names), "token").groupBy("token").count().collect()}
+    names = parts.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(every)), "array<string>")).alias("token"))
+    held = parts.select(F.explode(_tokens(F.col("host"), F.col("path"))).alias("token")).join(F.broadcast(names), "token")  # as many rows as the caller's rules have tokens
+    counts = {r["token"]: r["count"] for r in held.groupBy("token").count().collect()}
     return {r.name: min(r.tokens, key=lambda t: (counts.get(t, 0), t)) for r in rules if r.tokens}
 
 
-_RULE = "struct<rank:bigint,name:string,verdict:string,pattern:string,shown:boolean>"
+_ENTRY = "struct<token:string,rank:bigint,name:string,verdict:string,pattern:string,shown:boolean>"
+
+
+def _entry(r: Rule, token: str | None) -> dict:
+    return {"token": token, "rank": r.rank, "name": r.name, "verdict": r.verdict, "pattern": r.pattern, "shown": r.shown}
+
+
+def _literal(value: list, kind: str) -> Column:
+    """A constant of the plan, parsed once."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
-def _literal(r: Rule) -> Column:
-    return F.struct(F.lit(r.rank).cast("bigint").alias("rank"), F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"), F.lit(r.pattern).alias("pattern"), F.lit(r.shown).alias("shown"))
+def _fetched(tokens: Column, rules: list[Rule], rare: dict[str, str]) -> Column:
+    """The index entries of a URL's tokens. The index is an array of shelves, and a token's hash is its shelf's number."""
+    indexed = [r for r in rules if r.tokens]
+    shelves: list[list[dict]] = [[] for _ in range(1 << max(0, len(indexed) - 1).bit_length())]
+    for r in indexed:
+        shelves[zlib.crc32(rare[r.name].encode()) % len(shelves)].append(_entry(r, rare[r.name]))
+    index = _literal(shelves, f"array<array<{_ENTRY}>>")
+    shelf = lambda t: F.get(index, (F.crc32(t.cast("binary")) % len(shelves)).cast("int"))
+    return F.flatten(F.transform(tokens, lambda t: F.filter(shelf(t), lambda e: e["token"] == t)))
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow") -> DataFrame:
@@ -106,41 +116,17 @@ def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow") -> D
 
     ``rule`` is the host rule that decided, else null; ``matched`` whatever rule did. A URL that is null or has no
     ``://`` has an empty host and path and fits no host rule. Rules without a token run for every URL. Repeated rows are
-    judged each; extra columns are ignored; an empty table gives an empty result. A list of more than LITERAL_RULES rules
-    is joined by token, to each distinct URL.
+    judged each; extra columns are ignored; an empty table gives an empty result. Work for a URL grows with its tokens and
+    the rules that they fetch, not with the number of rules.
     """
     cut = pages.select("page_id", F.col("url").cast("string").alias("url")).select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     rare = rarest_tokens(cut, rules)
-    index: dict[str, list[Rule]] = {}
-    for r in rules:
-        if r.tokens:
-            index.setdefault(rare[r.name], []).append(r)
-    always = [r for r in rules if not r.tokens]
-    target = F.concat("host", "path")
-    if len(rules) <= LITERAL_RULES:
-        held = F.array_intersect("tokens", F.array(*map(F.lit, sorted(index)))) if index else F.array().cast("array<string>")
-        some = cut.withColumn("tokens", _tokens(F.col("host"), F.col("path"))).withColumn("hit", held)
-        # each index entry is a literal: its expressions are compiled once, and run only where its token was found
-        fits = [F.when(F.array_contains("hit", t) & target.rlike(r.pattern), _literal(r)) for t in sorted(index) for r in index[t]] + [F.when(target.rlike(r.pattern), _literal(r)) for r in always]
-        number = F.lit(len(always))
-        for t in sorted(index):
-            number = number + F.when(F.array_contains("hit", t), len(index[t])).otherwise(0)
-        ranked = F.array_sort(F.array_compact(F.array(*fits)), _stronger) if fits else F.array().cast(f"array<{_RULE}>")
-        best = F.try_element_at(ranked, F.lit(1))
-        judged = some.withColumn("best", best).withColumn("candidates", number.cast("int"))
-        judged = judged.select("page_id", "host", "path", "best", "hit", "candidates")
-    else:
-        spark = pages.sparkSession
-        rows = spark.createDataFrame([(t, r.rank, r.name, r.verdict, r.pattern, r.shown) for t in sorted(index) for r in index[t]] + [(None, r.rank, r.name, r.verdict, r.pattern, r.shown) for r in always], "token string, rank bigint, name string, verdict string, pattern string, shown boolean")
-        urls = cut.select("host", "path").distinct()
-        tokens = urls.select("host", "path", F.explode(F.array_union(_tokens(F.col("host"), F.col("path")), F.array(F.lit("")))).alias("token"))
-        rules_by = F.broadcast(rows.withColumn("token", F.coalesce("token", F.lit(""))))  # as many rows as the caller's list
-        best = tokens.join(rules_by, "token").withColumn("fit", F.expr("concat(host, path) rlike pattern")).groupBy("host", "path").agg(
-            F.max_by(F.struct("rank", "name", "verdict", "pattern", "shown"), F.when(F.col("fit"), F.struct("rank", F.transform(F.split("name", ""), lambda c: -F.ascii(c))))).alias("best"),
-            F.sort_array(F.collect_set(F.nullif("token", F.lit("")))).alias("hit"), F.count(F.lit(1)).cast("int").alias("candidates"), F.max("fit").alias("any"))
-        best = best.withColumn("best", F.when(F.col("any"), F.col("best"))).select(F.col("host").alias("h"), F.col("path").alias("p"), "best", "hit", "candidates")
-        judged = cut.join(best, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left").select("page_id", "host", "path", "best", F.coalesce("hit", F.array().cast("array<string>")).alias("hit"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
-    return judged.select("page_id", "host", "path", F.when(F.col("best.shown"), F.col("best.name")).alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"), F.col("best.name").alias("matched"), F.col("hit").alias("tokens"), "candidates")
+    always = _literal([_entry(r, None) for r in rules if not r.tokens], f"array<{_ENTRY}>")
+    met = cut.withColumn("met", F.concat(_fetched(_tokens(F.col("host"), F.col("path")), rules, rare), always))
+    fits = F.filter("met", lambda e: F.regexp_like(F.concat("host", "path"), e["pattern"]))
+    judged = met.withColumn("best", F.try_element_at(F.array_sort(fits, _stronger), F.lit(1)))
+    hit = F.sort_array(F.array_distinct(F.array_compact(F.transform("met", lambda e: e["token"]))))
+    return judged.select("page_id", "host", "path", F.when(F.col("best.shown"), F.col("best.name")).alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"), F.col("best.name").alias("matched"), hit.alias("tokens"), F.size("met").alias("candidates"))
 
 
 def _stronger(a: Column, b: Column) -> Column:

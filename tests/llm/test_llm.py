@@ -280,11 +280,14 @@ def test_url_filters(spark, sf_dir):
     ]
     df = spark.createDataFrame([(i, c[0], "x", "y") for i, c in enumerate(cases)], "page_id long, url string, host string, rule string")
     rules = [*url_filters.HOST_RULES, *url_filters.PATTERN_RULES]
-    for limit in (url_filters.LITERAL_RULES, 0):
-        url_filters.LITERAL_RULES, held = limit, url_filters.LITERAL_RULES
-        got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filters.judge_urls(df, rules).collect()}
-        url_filters.LITERAL_RULES = held
+    more = [url_filters.pattern_rule(f"unmet {i}", "block", f"/w{i}x/", f"w{i}x") for i in range(6_000)]
+    rare = [t for t in url_filters.rarest_tokens(url_filters.judge_urls(df, []), rules).values()]
+    every = url_filters.pattern_rule("any dot com", "allow", "\\.com")  # no token: runs for every URL
+    for given, extra in ((rules, 0), ([*rules, *more], 0), ([*rules, every], 1)):
+        found = url_filters.judge_urls(df, given).collect()
+        got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in found}
         assert got == {i: c[1:] for i, c in enumerate(cases)}
+        assert all(r["candidates"] == extra + sum(t in r["tokens"] for t in rare) for r in found)
     assert url_filters.judge_urls(df.where("false"), rules).count() == 0
     want = connect(sf_dir).execute(url_filters.OP5_SQL).fetchdf()
     assert rows(url_filters.op5_url_filters(spark, sf_dir).toPandas()) == rows(want)
