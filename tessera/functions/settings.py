@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import fnmatch
 import hashlib
-import os
 import re
 from datetime import date
 
@@ -76,13 +75,6 @@ def aligned_columns(columns: list[str], reference: list[str]) -> list[str]:
     return list(reference)
 
 
-def first_existing(candidates: list[str]) -> str:
-    for path in candidates:
-        if os.path.exists(path.removeprefix("file://")):
-            return path
-    raise FileNotFoundError(candidates)
-
-
 def result_name(kind: str, model: str, scope: int, start: int, end: int) -> str:
     """``kind_model_fsS_start_end.csv``."""
     return f"{kind}_{model}_fs{scope}_{start}_{end}.csv"

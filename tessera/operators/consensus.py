@@ -99,7 +99,11 @@ def power_iteration_labels(graph: DataFrame, clusters: int) -> DataFrame:
 
 
 def consensus_map(plans: DataFrame, units: DataFrame, clusters: int | None = None, k: int = 40, sigma: float = 5.0) -> DataFrame:
-    """(unit, cluster_id, is_outlier): the main component by spectral labels, the others by their nearest unit in it."""
+    """(unit, cluster_id, is_outlier): the main component by spectral labels, the others by their nearest unit in it.
+
+    Up to DENSE units the labels are spectral, beyond it they come from power iteration on the same graph, which needs
+    ``clusters``.
+    """
     from tessera.operators.joins import nearest
     from tessera.operators.panel import max_normalised
     from tessera.operators.spatial import connected_components, materialised
@@ -112,7 +116,13 @@ def consensus_map(plans: DataFrame, units: DataFrame, clusters: int | None = Non
     main = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").first()["component"]
     inside = comp.where(F.col("component") == main).select("unit")
     core = graph.join(inside.withColumnRenamed("unit", "src"), "src")
-    labels = materialised(spectral_labels(core, clusters or eigengap(core)[0]).select("unit", F.col("label").alias("cluster_id")), "labels")
+    if inside.limit(DENSE + 1).count() <= DENSE:
+        found = spectral_labels(core, clusters or eigengap(core)[0])
+    elif clusters:
+        found = power_iteration_labels(core, clusters)
+    else:
+        raise ValueError(f"the main component has more than {DENSE} units; give the number of clusters")
+    labels = materialised(found.select("unit", F.col("label").cast("int").alias("cluster_id")), "labels")
     at = units.select("unit", "lat", "lon")
     outside = nodes.join(labels, "unit", "left_anti").join(at, "unit")
     near = nearest(outside, labels.select("unit").join(at, "unit"))

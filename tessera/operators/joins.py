@@ -73,30 +73,13 @@ def on_spine(spine: DataFrame, series: DataFrame, key: str) -> DataFrame:
     return spine.select(key).distinct().join(series, key, "left")
 
 
-def nearest(points: DataFrame, targets: DataFrame, unit: str = "unit", cell: float = 8.0, rounds: int = 40) -> DataFrame:
-    """(unit, nearest, d2) by Euclidean distance, ties to the smaller target.
-
-    Points meet the targets of the cells around theirs by an equi-join on cell ids; the ring grows for points whose best
-    could still be beaten outside it.
-    """
-    cellify = lambda c: F.floor(F.col(c) / cell)
-    t = targets.select(F.col(unit).alias("t"), F.col("lat").alias("tlat"), F.col("lon").alias("tlon"), cellify("lat").alias("cx"), cellify("lon").alias("cy"))
-    todo, out = points.select(unit, "lat", "lon"), None
-    for k in range(rounds):
-        reach = 1 << k
-        span = F.sequence(F.lit(-reach), F.lit(reach))
-        near = todo.select("*", F.explode(span).alias("dx")).select("*", F.explode(span).alias("dy"))
-        j = near.join(t, (cellify("lat") + F.col("dx") == F.col("cx")) & (cellify("lon") + F.col("dy") == F.col("cy")))
-        d2 = (F.col("lat") - F.col("tlat")) ** 2 + (F.col("lon") - F.col("tlon")) ** 2
-        best = j.groupBy(unit).agg(F.min(F.struct(d2.alias("d2"), F.col("t").alias("nearest"))).alias("b")).select(F.col(unit).alias("__u"), "b.nearest", "b.d2")
-        best = best.where(F.col("d2") <= (reach * cell) ** 2)  # nothing outside the ring is nearer
-        found = todo.join(best, F.col(unit) == F.col("__u")).select(unit, "nearest", "d2")
-        out = found if out is None else out.unionByName(found)
-        rest = todo.join(best, F.col(unit) == F.col("__u"), "left_anti")
-        if rest.limit(1).count() == 0 or targets.limit(1).count() == 0:
-            break
-        todo = rest
-    return out
+def nearest(points: DataFrame, targets: DataFrame, unit: str = "unit", cell: float = 8.0) -> DataFrame:
+    """(unit, nearest, d2) by Euclidean distance, ties to the smaller target; see ``spatial.grid_meet``."""
+    from tessera.operators.spatial import grid_meet
+
+    t = targets.select(F.col(unit).alias("id"), F.col("lat").alias("tlat"), F.col("lon").alias("tlon"))
+    d2 = (F.col("lat") - F.col("tlat")) ** 2 + (F.col("lon") - F.col("tlon")) ** 2
+    return grid_meet(points, t, unit, d2, cell, ("tlat", "tlat", "tlon", "tlon")).select(unit, F.col("best").alias("nearest"), "d2")
 
 
 def missing_codes(codes: DataFrame, known: DataFrame, key: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import finite_or_null
+from tessera.operators.joins import small
 
 
 def require_columns(df: DataFrame, *columns: str) -> DataFrame:
@@ -37,7 +38,7 @@ def codes_by_first_appearance(df: DataFrame, column: str, order: str, name: str)
     first = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias("__first"))
     # as many rows as distinct values
     coded = first.select(F.col(column).alias("__value"), (F.row_number().over(Window.orderBy("__first", column)) - 1).cast("bigint").alias(name))
-    return df.join(F.broadcast(coded), F.col(column) == F.col("__value"), "left").drop("__value")
+    return df.join(small(coded), F.col(column) == F.col("__value"), "left").drop("__value")
 
 
 def dense_group_id(df: DataFrame, columns: list[str], name: str = "group_id") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -191,21 +192,30 @@ def unit_groups(units: DataFrame, how: str, **options) -> DataFrame:
     raise ValueError(how)
 
 
-# One-sided critical values of t by degrees of freedom at .05, .01, .001.
-T_TABLE = {1: (6.314, 31.82, 318.3), 2: (2.920, 6.965, 22.33), 5: (2.015, 3.365, 5.893), 10: (1.812, 2.764, 4.144), 30: (1.697, 2.457, 3.385), 120: (1.658, 2.358, 3.160), 10**9: (1.645, 2.326, 3.090)}
-LEVELS = (0.05, 0.01, 0.001)
+def _t_tail(t: float, df: int) -> float:
+    """P(T > t): for whole degrees of freedom a finite sum over powers of the cosine of atan(t / sqrt(df))."""
+    angle = math.atan(t / math.sqrt(df))
+    sin, cos = math.sin(angle), math.cos(angle)
+    odd, total, term = df % 2, 0.0, cos if df % 2 else 1.0
+    for k in range(1 + odd, df, 2):
+        total += term
+        term *= cos * cos * k / (k + 1)
+    within = (angle + sin * total) * 2 / math.pi if odd else sin * total
+    return (1 - within) / 2
 
 
 def critical_t(df: int, level: float = 0.05) -> float:
-    """Between table rows, linear in 1 / df."""
-    col, rows = LEVELS.index(level), sorted(T_TABLE)
-    df = max(df, rows[0])
-    lo = max(r for r in rows if r <= df)
-    hi = min(r for r in rows if r >= df)
-    if lo == hi:
-        return T_TABLE[lo][col]
-    w = (1 / lo - 1 / df) / (1 / lo - 1 / hi)
-    return T_TABLE[lo][col] + w * (T_TABLE[hi][col] - T_TABLE[lo][col])
+    """The one-sided critical value of t to three places, at any level below one half."""
+    df, low, high = max(df, 1), 0.0, 1.0
+    if df > 200:  # the expansion in 1 / df is right to more places than are kept
+        z = NormalDist().inv_cdf(1 - level)
+        return round(z + (z**3 + z) / (4 * df) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * df * df), 3)
+    while _t_tail(high, df) > level:
+        high *= 2
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (mid, high) if _t_tail(mid, df) > level else (low, mid)
+    return round(high, 3)
 
 
 def class_one_test(df: DataFrame, split: str, base: str, y: str = "y", clear: float = 0.01) -> DataFrame:
@@ -226,3 +236,52 @@ def paired_test(df: DataFrame, split: str, base: str, level: float = 0.05, effec
     if not s["s"]:
         return True
     return s["m"] / (s["s"] / math.sqrt(s["n"])) > critical_t(s["n"] - 1, level) and s["m"] / s["s"] >= effect
+
+
+def grid_meet(todo: DataFrame, shapes: DataFrame, key: str, d2, cell: float, box: tuple) -> DataFrame:
+    """(key, d2, best) for each row of ``todo`` (key, lat, lon): the nearest of ``shapes``, ties to the smaller ``id``.
+
+    ``box`` names the shapes' columns of least and greatest lat and lon, ``d2`` is the squared distance. A round's cells
+    are twice as wide as the last one's; a point meets the shapes of the nine cells around it, and what is within one
+    cell's width is final. So a far point costs rounds by the logarithm of its distance. Points without finite
+    coordinates have no nearest shape; without shapes the result is empty.
+    """
+    finite = lambda c: F.abs(F.col(c).cast("double")) < 1e300
+    todo, out = todo.select(key, "lat", "lon").where(finite("lat") & finite("lon")).distinct(), None
+    some = shapes.limit(1).count() > 0
+    while True:
+        at = lambda c: F.floor(F.col(c) / cell)  # noqa: E731, B023
+        spread = F.array(*map(F.lit, (-1, 0, 1)))
+        cells = shapes.withColumn("__x", F.explode(F.sequence(at(box[0]), at(box[1])))).withColumn("__y", F.explode(F.sequence(at(box[2]), at(box[3]))))
+        near = todo.withColumn("__i", F.explode(spread)).withColumn("__j", F.explode(spread)).withColumn("__x", at("lat") + F.col("__i")).withColumn("__y", at("lon") + F.col("__j"))
+        met = near.join(cells, ["__x", "__y"]).withColumn("d2", d2)
+        best = met.groupBy(key, "lat", "lon").agg(F.min(F.struct("d2", F.col("id").alias("best"))).alias("__b"))
+        found = materialised(best.select(key, "lat", "lon", "__b.d2", "__b.best").where(F.col("d2") <= cell * cell), "nearest")
+        out = found if out is None else out.unionByName(found)
+        todo = materialised(todo.join(found, [key, "lat", "lon"], "left_anti"), "open")
+        if not some or todo.limit(1).count() == 0:
+            return out.select(key, "d2", "best")
+        cell *= 2
+
+
+def in_polygons(points: DataFrame, segments: DataFrame, key: str, cell: float = 8.0) -> DataFrame:
+    """(key, unit, inside): the polygon that holds each point (lat, lon), else the one with the nearest border.
+
+    ``segments`` (unit, x1, y1, x2, y2) are the borders, x along lat. A point is inside if a ray along x crosses the
+    border an odd number of times. Points meet polygons by cells of their boxes; ties go to the smaller unit.
+    """
+    at = lambda c: F.floor(F.col(c) / cell)
+    boxes = segments.groupBy("unit").agg(F.min(F.least("x1", "x2")).alias("a"), F.max(F.greatest("x1", "x2")).alias("b"), F.min(F.least("y1", "y2")).alias("c"), F.max(F.greatest("y1", "y2")).alias("e"))
+    cells = boxes.withColumn("__x", F.explode(F.sequence(at("a"), at("b")))).withColumn("__y", F.explode(F.sequence(at("c"), at("e"))))
+    placed = points.select(key, "lat", "lon").withColumn("__x", at("lat")).withColumn("__y", at("lon"))
+    could = placed.join(cells, ["__x", "__y"]).where("lat between a and b and lon between c and e").select(key, "lat", "lon", "unit")
+    ray = ((F.col("y1") > F.col("lon")) != (F.col("y2") > F.col("lon"))) & (F.col("lat") < F.col("x1") + (F.col("lon") - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) * (F.col("x2") - F.col("x1")))
+    crossed = could.join(segments, "unit").groupBy(key, "unit").agg(F.sum(F.coalesce(ray, F.lit(False)).cast("int")).alias("n"))
+    inside = materialised(crossed.where("n % 2 = 1").groupBy(key).agg(F.min("unit").alias("unit")), "inside")
+    rest = points.select(key, "lat", "lon").join(inside, key, "left_anti")
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.try_divide((F.col("lat") - F.col("x1")) * dx + (F.col("lon") - F.col("y1")) * dy, dx * dx + dy * dy), F.lit(0.0))))
+    d2 = (F.col("lat") - F.col("x1") - t * dx) ** 2 + (F.col("lon") - F.col("y1") - t * dy) ** 2
+    sides = segments.select(F.col("unit").alias("id"), "x1", "y1", "x2", "y2", F.least("x1", "x2").alias("__a"), F.greatest("x1", "x2").alias("__b"), F.least("y1", "y2").alias("__c"), F.greatest("y1", "y2").alias("__e"))
+    near = grid_meet(rest, sides, key, d2, cell, ("__a", "__b", "__c", "__e"))
+    return inside.select(key, "unit", F.lit(True).alias("inside")).unionByName(near.select(key, F.col("best").alias("unit"), F.lit(False).alias("inside")))

@@ -45,7 +45,8 @@ def correspondence(train: DataFrame, labels: DataFrame, unit: str = "unit") -> D
 def uniform(key: str | Column, seed: int = 0) -> Column:
     """A number in [0, 1) from a hash, the same however rows are partitioned."""
     key = F.col(key) if isinstance(key, str) else key
-    return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
 def random_split(df: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:

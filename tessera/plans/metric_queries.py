@@ -94,11 +94,11 @@ def _(spark, d):
 _BEFORE_AFTER = PREDICTIONS + ", b AS (" + GROUPS.format(key="unit", conf=conf("pooled"), p="pooled") + "), a AS (" + GROUPS.format(key="unit", conf=conf("part"), p="part") + ")"
 
 
-@query("before_after_improvement", sql(_BEFORE_AFTER, select="SELECT unit, coalesce(b.f1, 0) AS f1_before, coalesce(a.f1, 0) AS f1_after, coalesce(a.f1, 0) - coalesce(b.f1, 0) AS f1_improvement FROM (SELECT * FROM b WHERE unit % 5 <> 0) b FULL JOIN (SELECT * FROM a WHERE unit % 7 <> 0) a USING (unit)"))
+@query("before_after_improvement", sql(_BEFORE_AFTER, select="SELECT unit, coalesce(b.f1, 0) AS f1_before, coalesce(a.f1, 0) AS f1_after, coalesce(a.f1, 0) - coalesce(b.f1, 0) AS f1_improvement FROM b FULL JOIN (SELECT unit + 3 AS unit, f1 FROM a) a USING (unit)"))
 def _(spark, d):
     p = V.predictions(spark, d)
-    b = M.degenerate_group_metrics(p, ["unit"], "y", "pooled").where("unit % 5 <> 0")
-    a = M.degenerate_group_metrics(p, ["unit"], "y", "part").where("unit % 7 <> 0")
+    b = M.degenerate_group_metrics(p, ["unit"], "y", "pooled")
+    a = M.degenerate_group_metrics(p, ["unit"], "y", "part").withColumn("unit", F.col("unit") + 3)  # another numbering: some units have one side only
     return M.improvement(b, a, "unit", ["f1"])
 
 
@@ -198,11 +198,12 @@ def _(spark, d):
     return t.select("unit", F.round(S.relative_change(F.col("f1_after"), F.col("f1_before")), 6).alias("change"))
 
 
-_TRAIN = PREDICTIONS + ", v_err AS (SELECT unit, count(y) AS n_train, sum(y)::BIGINT AS n_pos_train, sum((y <> part)::INT)::DOUBLE / nullif(count(y), 0) AS pct_err_all, sum((y = 1 AND part = 0)::INT)::DOUBLE / nullif(sum(y), 0) AS pct_err_cls1 FROM v_pred WHERE unit % 6 <> 5 OR y = 0 GROUP BY unit)"
+_TRAIN = PREDICTIONS + ", v_err AS (SELECT unit, count(y) AS n_train, sum(y)::BIGINT AS n_pos_train, sum((y <> part)::INT)::DOUBLE / nullif(count(y), 0) AS pct_err_all, sum((y = 1 AND part = 0)::INT)::DOUBLE / nullif(sum(y), 0) AS pct_err_cls1 FROM (SELECT unit, part, CASE WHEN unit % 6 = 5 AND y = 1 THEN NULL ELSE y END AS y FROM v_pred) GROUP BY unit)"
 
 
 def _training(spark, d):
-    return M.training_errors(V.predictions(spark, d).where("unit % 6 <> 5 or y = 0"), "unit", "part")
+    unknown = F.expr("case when unit % 6 = 5 and y = 1 then null else y end")  # units whose positives are unlabelled
+    return M.training_errors(V.predictions(spark, d).withColumn("y", unknown), "unit", "part")
 
 
 @query("train_error_flags", sql(_TRAIN, select="SELECT *, n_train < 10 AS low_sample_flag, n_pos_train = 0 AS no_pos_samples_flag, n_train = 0 AS no_train_flag FROM v_err"))
@@ -215,9 +216,9 @@ def _(spark, d):
     return M.error_summary(_training(spark, d))
 
 
-@query("out_of_fold_errors", sql(PREDICTIONS, select="SELECT unit, count(*) AS n_oof, sum((y <> pooled)::INT)::DOUBLE / count(*) AS pct_err_all FROM v_pred WHERE row_id % 5 = 0 GROUP BY unit"))
+@query("out_of_fold_errors", sql(PREDICTIONS, select="SELECT unit, count(*) AS n_oof, sum((y <> pooled)::INT)::DOUBLE / count(*) AS pct_err_all FROM v_pred GROUP BY unit"))
 def _(spark, d):
-    p = V.predictions(spark, d).where("row_id % 5 = 0")
+    p = V.predictions(spark, d)
     return p.groupBy("unit").agg(F.count(F.lit(1)).alias("n_oof"), (F.sum((F.col("y") != F.col("pooled")).cast("bigint")).cast("double") / F.count(F.lit(1))).alias("pct_err_all"))
 
 
@@ -310,10 +311,10 @@ def _(spark, d):
     return J.exactly_one_match(V.read(spark, d, "orders").select("o_orderkey"), li, ["o_orderkey"], ["l_partkey"])
 
 
-@query("join_audit", "SELECT coalesce(a.k, b.k) AS k, a.k IS NOT NULL AS in_a, b.k IS NOT NULL AS in_b, a.k IS NOT NULL AND b.k IS NOT NULL AS joined FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 3 = 0) a FULL JOIN (SELECT c_custkey AS k FROM customer WHERE c_custkey % 2 = 0) b ON a.k = b.k")
+@query("join_audit", "SELECT coalesce(a.k, b.k) AS k, a.k IS NOT NULL AS in_a, b.k IS NOT NULL AS in_b, a.k IS NOT NULL AND b.k IS NOT NULL AS joined FROM (SELECT DISTINCT o_custkey AS k FROM orders) a FULL JOIN (SELECT c_custkey + 20 AS k FROM customer) b ON a.k = b.k")
 def _(spark, d):
-    a = V.read(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("k"))
-    b = V.read(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"))
+    a = V.read(spark, d, "orders").select(F.col("o_custkey").alias("k"))
+    b = V.read(spark, d, "customer").select((F.col("c_custkey") + 20).alias("k"))  # keys of another numbering: some are in one table only
     return J.join_audit(a, b, "k")
 
 
@@ -323,9 +324,9 @@ def _(spark, d):
     return J.swapped(p.where("plan = '1996-01'"), p.where("plan = '1996-02'"), "unit", "partition_id")
 
 
-@query("map_table", sql(_DIFF, select="SELECT u.unit, u.admin0, f1_diff IS NOT NULL AS measured FROM v_unit u LEFT JOIN (SELECT * FROM v_diff WHERE unit % 4 <> 0) x ON u.unit = x.unit"))
+@query("map_table", sql(_DIFF, select="SELECT u.unit, u.admin0, f1_diff IS NOT NULL AS measured FROM v_unit u LEFT JOIN (SELECT unit + 3 AS unit, f1_diff FROM v_diff) x ON u.unit = x.unit"))
 def _(spark, d):
-    x = _diff(spark, d).where("unit % 4 <> 0").select("unit", "f1_diff")
+    x = _diff(spark, d).select((F.col("unit") + 3).alias("unit"), "f1_diff")  # another numbering: some units have no metrics
     return J.checked_join(V.units(spark, d).select("unit", "admin0"), x, "unit", "left").select("unit", "admin0", F.col("f1_diff").isNotNull().alias("measured"))
 
 
@@ -342,9 +343,9 @@ def _(spark, d):
     return J.extend_lag(g, 3, 2)
 
 
-@query("missing_codes", "SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
+@query("missing_codes", "SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey NOT IN (SELECT c_custkey + 20 FROM customer)")
 def _(spark, d):
-    return J.missing_codes(V.read(spark, d, "orders").select(F.col("o_custkey").alias("k")), V.read(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k")), "k")
+    return J.missing_codes(V.read(spark, d, "orders").select(F.col("o_custkey").alias("k")), V.read(spark, d, "customer").select((F.col("c_custkey") + 20).alias("k")), "k")
 
 
 @query("scope_padding", sql(PLANS, select="SELECT u.n_nationkey::BIGINT AS unit, partition_id FROM nation u LEFT JOIN (SELECT * FROM v_plan WHERE plan = '1998-01' AND unit < 11) p ON u.n_nationkey = p.unit"))

@@ -462,8 +462,8 @@ def _(spark, d):
 
 @query("kmeans_features")
 def _(spark, d):
-    e = V.read(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8)])
-    return L.kmeans_labels(e, [f"x{i}" for i in range(8)], 10).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    e = V.read(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)])
+    return L.kmeans_labels(e, [f"x{i}" for i in range(64)], 10).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("event_windows", "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")

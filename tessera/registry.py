@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.plans import metric_queries, panel_queries, spatial_queries
+from tessera.plans import metric_queries, panel_queries, spatial_queries, support_queries
 
 
 def _modules():
-    return [panel_queries, metric_queries, spatial_queries]
+    return [panel_queries, metric_queries, spatial_queries, support_queries]
 
 
 def queries() -> dict[str, Callable]:

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -19,8 +20,42 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    """With a header and a fixed schema, so that codes stay text and only the wanted columns are parsed."""
-    return spark.read.schema(schema).option("header", True).option("encoding", "UTF-8").option("enforceSchema", False).csv(path)
+    """The columns of a schema (a StructType or DDL text) by their names in the header, whatever other columns there are.
+
+    All is read as text, so codes keep their zeros; what can't be cast is null. The scan parses only the wanted columns.
+    """
+    fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    rows = spark.read.option("header", True).option("encoding", "UTF-8").option("enforceSchema", False).csv(path)
+    return rows.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in fields])
+
+
+def first_existing(spark: SparkSession, candidates: list[str]) -> str:
+    """The first path that there is, in whatever file system it names."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in candidates:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(conf).exists(p):
+            return path
+    raise FileNotFoundError(candidates)
+
+
+def append_log(spark: SparkSession, path: str, message: str) -> str:
+    """One more row (at, message) in a log."""
+    spark.range(1).select(F.current_timestamp().alias("at"), F.lit(message).alias("message")).write.mode("append").parquet(path)
+    return path
+
+
+def branch_files(spark: SparkSession, pattern: str) -> DataFrame:
+    """(branch_id, unit, side) of all files of a pattern with ``branch_B.csv`` in their paths; the root's B is ``root``."""
+    rows = spark.read.schema("unit bigint, side int").option("header", True).csv(pattern)
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"branch_(root|[01]+)\.csv", 1)
+    return rows.select(F.when(name == "root", "").otherwise(name).alias("branch_id"), "unit", "side")
+
+
+def branch_sets(rounds: DataFrame) -> DataFrame:
+    """(branch_id, scope, side0, side1, sha): sizes of a branch's scope and children, and the hash of its scope."""
+    n = lambda s: F.count_distinct(F.when(F.col("side") == s, F.col("unit")))
+    return rounds.groupBy("branch_id").agg(F.count_distinct("unit").alias("scope"), n(0).alias("side0"), n(1).alias("side1"), set_hash(F.col("unit")).alias("sha"))
 
 
 def write_csv(df: DataFrame, path: str) -> str:
@@ -35,11 +70,14 @@ def read_result_files(spark: SparkSession, pattern: str, schema: str) -> DataFra
     return rows.select("*", part(1).alias("scope"), part(2).alias("start_year"), part(3).alias("end_year")).drop("__path")
 
 
-def read_all(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
-    """Monthly files as one yearly table; columns that some lack are null there."""
+def read_all(spark: SparkSession, paths: list[str], schemas: dict[str, str], schema: str) -> DataFrame:
+    """Monthly files, in the order of their names, as one yearly table; columns that some lack are null there.
+
+    ``schema`` holds for every file that ``schemas`` gives none of its own for. Columns are found by their names.
+    """
     out = None
-    for p in paths:
-        df = spark.read.schema(schema).option("header", True).csv(p)
+    for p in sorted(paths):
+        df = read_csv(spark, p, schemas.get(p, schema))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
 
