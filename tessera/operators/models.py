@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, Log
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_DEPTH = 30  # fixed value: the deepest tree that pyspark.ml takes
@@ -46,7 +47,7 @@ def fitted(df: DataFrame, features: list[str], kind: str = "tree", **params):
 
 def predicted(model, df: DataFrame, features: list[str]) -> DataFrame:
     """Rows with ``p`` (int) and nothing else new."""
-    out = model.transform(assembled(df.withColumn("__y", F.col("y")), features))
+    out = model.transform(assembled(df, features))
     return out.select(*df.columns, F.col("p").cast("int").alias("p"))
 
 
@@ -166,47 +167,44 @@ def unit_profiles(df: DataFrame, unit: str, columns: list[str]) -> DataFrame:
     return df.groupBy(unit).agg(*[f(c).alias(f"{c}_{n}") for c in columns for n, f in (("mean", F.avg), ("std", F.stddev_samp))])
 
 
-def tree_rules(model, features: list[str]) -> DataFrame:
-    """(rule, class, confidence, samples, conditions) of each leaf, by samples, from the tree's node table."""
-    nodes = node_table(model, features)
-    by_id = {r["id"]: r for r in nodes}
-    out = []
-
-    def walk(i: int, path: list[str]) -> None:
-        r = by_id[i]
-        if r["left"] < 0:
-            total = sum(r["counts"])
-            out.append((" AND ".join(path) or "TRUE", int(r["prediction"]), round(max(r["counts"]) / total, 4) if total else 0.0, int(total), path))
-            return
-        walk(r["left"], [*path, f"{r['feature']} <= {r['threshold']:.4f}"])
-        walk(r["right"], [*path, f"{r['feature']} > {r['threshold']:.4f}"])
-
-    walk(0, [])
-    out.sort(key=lambda r: -r[3])
-    from pyspark.sql import SparkSession
+def node_table(model, features: list[str]) -> list[dict]:
+    """A row for each node, numbered from the root with left sides first. Bounded by the tree's size.
 
-    return SparkSession.active().createDataFrame(out, "rule string, class int, confidence double, samples bigint, conditions array<string>")
+    ``counts`` are weighted by class, ``samples`` are rows; a leaf's children and feature_index are -1, the root's parent.
+    """
+    rows: list[dict] = []
+    todo = [(model._java_obj.rootNode() if hasattr(model, "_java_obj") else model._call_java("rootNode"), -1, "", 0)]
+    while todo:
+        node, parent, side, depth = todo.pop()
+        stats, leaf, i = node.impurityStats(), node.subtreeDepth() == 0, len(rows)
+        counts = [float(x) for x in stats.stats()]
+        total, index = sum(counts), -1 if leaf else int(node.split().featureIndex())
+        rows.append({"id": i, "parent": parent, "depth": depth, "leaf": leaf, "left": -1, "right": -1, "feature_index": index, "feature": None if leaf else features[index], "threshold": None if leaf else float(node.split().threshold()), "impurity": float(node.impurity()), "samples": int(stats.rawCount()), "weighted_samples": total, "prediction": float(node.prediction()), "confidence": round(max(counts) / total, 4) if total else 0.0, "counts": counts})
+        if side:
+            rows[parent][side] = i
+        if not leaf:
+            todo += [(node.rightChild(), i, "right", depth + 1), (node.leftChild(), i, "left", depth + 1)]
+    return rows
 
 
-def node_table(model, features: list[str]) -> list[dict]:
-    """A row for each node: id, depth, feature, threshold, children, impurity, class counts, prediction. Bounded by the tree's size."""
-    rows: list[dict] = []
+def node_frame(spark, model, features: list[str]) -> DataFrame:
+    """The node table with its classes' weights as text of JSON."""
+    rows = [{**{k: v for k, v in r.items() if k != "counts"}, "class_distribution": json.dumps({str(k): x for k, x in enumerate(r["counts"])})} for r in node_table(model, features)]
+    kinds = {"leaf": "boolean", "feature": "string", "class_distribution": "string", **dict.fromkeys(("threshold", "impurity", "weighted_samples", "prediction", "confidence"), "double"), "samples": "bigint"}
+    names = list(rows[0])
+    return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], ", ".join(f"{n} {kinds.get(n, 'int')}" for n in names))
 
-    def visit(node, depth: int) -> int:
-        i = len(rows)
-        rows.append({})
-        leaf = node.subtreeDepth() == 0
-        counts = [float(x) for x in node.impurityStats().stats()]
-        row = {"id": i, "depth": depth, "leaf": leaf, "prediction": float(node.prediction()), "impurity": float(node.impurity()), "counts": counts, "samples": sum(counts), "feature": None, "threshold": None, "left": -1, "right": -1}
-        if not leaf:
-            split = node.split()
-            row["feature"], row["threshold"] = features[int(split.featureIndex())], float(split.threshold())
-            row["left"], row["right"] = visit(node.leftChild(), depth + 1), visit(node.rightChild(), depth + 1)
-        rows[i] = row
-        return i
 
-    visit(model._java_obj.rootNode() if hasattr(model, "_java_obj") else model._call_java("rootNode"), 0)
-    return rows
+def tree_rules(model, features: list[str]) -> DataFrame:
+    """(rule, class, confidence, samples, conditions) of each leaf, most samples first; a tree of one leaf has rule ROOT."""
+    nodes = node_table(model, features)
+    paths: list[list[str]] = [[]]
+    for r in nodes[1:]:  # a parent comes before its children
+        up = nodes[r["parent"]]
+        paths.append([*paths[r["parent"]], f"{up['feature']} {'<=' if up['left'] == r['id'] else '>'} {up['threshold']:.6f}"])
+    leaves = sorted((r for r in nodes if r["leaf"]), key=lambda r: (-r["samples"], r["id"]))
+    out = [(" AND ".join(paths[r["id"]]) or "ROOT", int(r["prediction"]), r["confidence"], r["samples"], paths[r["id"]]) for r in leaves]
+    return SparkSession.active().createDataFrame(out, "rule string, class int, confidence double, samples bigint, conditions array<string>")
 
 
 def importances(model, features: list[str]) -> list[tuple[str, float]]:
@@ -214,7 +212,7 @@ def importances(model, features: list[str]) -> list[tuple[str, float]]:
 
 
 def probability(model, df: DataFrame, features: list[str]) -> DataFrame:
-    out = model.transform(assembled(df.withColumn("__y", F.col("y")), features))
+    out = model.transform(assembled(df, features))
     return out.select(*df.columns, vector_to_array("probability")[1].alias("score"))
 
 

@@ -434,7 +434,10 @@ def _(spark, d):
     return L.routed(df.where("set = 1"), branches, models, f, "unit").select("unit", "month", "branch_id", "p")
 
 
-@query("smote_balance")
+_FRAME = PANEL + ", v_frame AS (SELECT unit, month, y, (unit % 2)::INT AS partition_id, (year(month) >= 1999)::INT AS set FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY month) AS k FROM v_panel) WHERE k > 4)"
+
+
+@query("smote_balance", sql(_FRAME, "v_class AS (SELECT partition_id, y, count(*) AS n FROM v_frame WHERE set = 0 GROUP BY 1, 2)", select="SELECT partition_id, y, FALSE AS synthetic, n FROM v_class UNION ALL SELECT partition_id, y, TRUE, most - n FROM (SELECT *, max(n) OVER w AS most, count(*) OVER w AS classes, row_number() OVER (PARTITION BY partition_id ORDER BY n, y) AS k FROM v_class WINDOW w AS (PARTITION BY partition_id)) WHERE k = 1 AND classes = 2 AND n >= 2 AND most > n"))
 def _(spark, d):
     df, f = _frame(spark, d)
     return L.smote(df.where("set = 0"), f, "partition_id").groupBy("partition_id", "y", "synthetic").agg(F.count(F.lit(1)).alias("n"))
@@ -449,9 +452,7 @@ def _(spark, d):
 @query("tree_nodes")
 def _(spark, d):
     df, f = _frame(spark, d)
-    rows = L.node_table(L.fitted(df.where("set = 0"), f, "tree", depth=3), f)
-    names = ["id", "depth", "leaf", "prediction", "impurity", "samples", "feature", "threshold", "left", "right"]
-    return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], "id int, depth int, leaf boolean, prediction double, impurity double, samples double, feature string, threshold double, left int, right int")
+    return L.node_frame(spark, L.fitted(df.where("set = 0"), f, "tree", depth=3), f)
 
 
 @query("partition_tree")

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import settings
-from tessera.operators import consensus, joins, metrics, panel, spatial, splits, tree
+from tessera.operators import consensus, joins, metrics, models, panel, spatial, splits, tree
+from tessera.sources import tables
 
 
 @pytest.mark.parametrize(
@@ -69,7 +70,7 @@ def test_class_one_test_without_positives(spark):
 
 def test_critical_values():
     assert spatial.critical_t(1) == 6.314 and spatial.critical_t(10) == 1.812
-    assert 1.697 < spatial.critical_t(20) < 1.812
+    assert spatial.critical_t(3) == 2.353 and spatial.critical_t(20) == 1.725 and spatial.critical_t(10**9, 0.01) == 2.326
 
 
 def test_positional_and_calendar_lag(spark):
@@ -153,3 +154,89 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     kept = got.count()
     assert kept and got.join(want, ["start", "event_type", "n"]).count() == kept
     assert got.where(F.col("start") < F.lit(top) - F.expr("interval 3 days")).count() == want.where(F.col("start") < F.lit(top) - F.expr("interval 3 days")).count()
+
+
+def test_nearest_far_away_and_without_targets(spark):
+    points = spark.createDataFrame([(1, 5e7, -3e7), (2, 0.4, 0.0), (3, None, 1.0), (4, float("nan"), 1.0), (5, 1.0, 0.0)], "unit int, lat double, lon double")
+    targets = spark.createDataFrame([(7, 0.0, 0.0), (8, 2.0, 0.0), (9, 2.0, 0.0)], "unit int, lat double, lon double")
+    assert {r["unit"]: r["nearest"] for r in joins.nearest(points, targets).collect()} == {1: 8, 2: 7, 5: 7}
+    assert joins.nearest(points, targets.where("false")).count() == 0
+    assert joins.nearest(points.where("false"), targets).count() == 0
+
+
+def test_points_in_a_concave_polygon(spark):
+    u = [(0, 0), (6, 0), (6, 6), (4, 6), (4, 2), (2, 2), (2, 6), (0, 6)]  # two arms around a gap
+    far = [(100, 0), (104, 0), (104, 4)]
+    s = [(k, float(a), float(b), float(c), float(d)) for k, ring in ((1, u), (2, far)) for (a, b), (c, d) in zip(ring, ring[1:] + ring[:1], strict=True)]
+    segments = spark.createDataFrame(s, "unit int, x1 double, y1 double, x2 double, y2 double")
+    points = spark.createDataFrame([(1, 1.0, 5.0), (2, 5.0, 5.0), (3, 3.0, 5.0), (4, 103.0, 1.0), (5, 60.0, 1.0), (6, 3.0, 1.0), (7, None, 1.0)], "p int, lat double, lon double")
+    got = {r["p"]: (r["unit"], r["inside"]) for r in spatial.in_polygons(points, segments, "p").collect()}
+    assert got == {1: (1, True), 2: (1, True), 3: (1, False), 4: (2, True), 5: (2, False), 6: (1, True)}
+
+
+def test_csv_columns_by_name(spark, tmp_path):
+    path = tables.write_csv(spark.createDataFrame([("007", 1, "x"), ("010", None, "y")], "code string, n int, more string"), f"file://{tmp_path}/t")
+    got = tables.read_csv(spark, path, "n int, code string")
+    assert got.columns == ["n", "code"] and {tuple(r) for r in got.collect()} == {(1, "007"), (None, "010")}
+    assert tables.first_existing(spark, [f"file://{tmp_path}/no", path]) == path
+    with pytest.raises(FileNotFoundError):
+        tables.first_existing(spark, [f"file://{tmp_path}/no"])
+
+
+@pytest.fixture(scope="module")
+def two_sided(spark):
+    """y is 1 where x is over 10; partition 1 has it the other way round; the last partition is too small for a model."""
+    rows = [(i, i % 20, float(i % 20), 0.0, int(i % 20 > 10) if part == 0 else int(i % 20 <= 10), part, int(i // 20 % 5 == 0)) for part in (0, 1) for i in range(part * 400, part * 400 + 400)]
+    rows += [(9_000 + i, i, float(i), 0.0, int(i > 10), 2, 0) for i in range(20)]
+    return spark.createDataFrame(rows, "id int, unit int, x double, z double, y int, part_id int, set int")
+
+
+def test_tree_table_and_rules(spark, two_sided):
+    df = two_sided.where("part_id = 0")
+    model = models.fitted(df, ["z", "x"], "tree", depth=4)
+    nodes = models.node_frame(spark, model, ["z", "x"]).orderBy("id").collect()
+    assert len(nodes[0]) == 15
+    assert [(r["parent"], r["left"], r["right"], r["feature_index"], r["samples"], r["confidence"]) for r in nodes] == [(-1, 1, 2, 1, 400, 0.55), (0, -1, -1, -1, 220, 1.0), (0, -1, -1, -1, 180, 1.0)]
+    assert 10 <= nodes[0]["threshold"] < 11 and nodes[1]["class_distribution"] == '{"0": 220.0, "1": 0.0}'
+    rules = [(r["rule"], r["class"], r["confidence"], r["samples"]) for r in models.tree_rules(model, ["z", "x"]).collect()]
+    t = f"{nodes[0]['threshold']:.6f}"
+    assert rules == [(f"x <= {t}", 0, 1.0, 220), (f"x > {t}", 1, 1.0, 180)]
+    one = models.fitted(df.where("y = 1"), ["z"], "tree")
+    assert [r["rule"] for r in models.tree_rules(one, ["z"]).collect()] == ["ROOT"]
+
+
+def test_partitions_have_models_of_their_own(two_sided):
+    out = models.partitioned_fit(two_sided, ["x"], "part_id", "tree", depth=3)
+    r = {(r["part_id"]): (r["n"], r["hits"], r["same"]) for r in out.groupBy("part_id").agg(F.count("*").alias("n"), F.sum((F.col("part") == F.col("y")).cast("int")).alias("hits"), F.sum((F.col("part") == F.col("pooled")).cast("int")).alias("same")).collect()}
+    assert r[0] == (400, 400, r[0][2]) and r[1] == (400, 400, r[1][2]) and r[2][2] == r[2][0] == 20
+
+
+@pytest.mark.parametrize(("kind", "params"), [("forest", {"trees": 5, "depth": 4}), ("boosted", {"trees": 3, "depth": 3}), ("logistic", {}), ("tree", {"depth": 3})])
+def test_kinds_of_models_learn_a_threshold(two_sided, kind, params):
+    out = models.fit_predict(two_sided.where("part_id = 0"), ["x"], kind, **params).where("set = 1")
+    assert out.where("p = y").count() == out.count() > 0
+
+
+def test_second_layer_flips_what_the_first_gets_wrong(two_sided):
+    both = two_sided.where("part_id < 2").withColumn("part", F.col("part_id").cast("double")).withColumn("y", F.expr("cast(x > 10 and (part_id = 0 or x <= 15) as int)"))
+    out = models.two_layer(both, ["x"], ["x", "part"], "tree", depth=4).where("set = 1")
+    assert out.where("p <> y").count() == 0 and out.where("(wrong = 1) <> (p1 <> y)").count() == 0 and out.where("wrong = 1").count() > 0
+
+
+def test_depth_and_routes(two_sided):
+    band = two_sided.withColumn("y", F.expr("cast(x between 5 and 12 as int)"))  # takes two cuts
+    assert models.choose_depth(band, ["x"], (1, 2, 5)) == 2
+    zero, one = (models.fitted(two_sided.where(f"part_id = {k}"), ["x"], "tree", depth=2) for k in (0, 1))
+    branches = two_sided.where("unit < 10").select(F.col("unit").alias("g")).distinct().withColumn("branch_id", F.lit("1"))
+    out = models.routed(two_sided.withColumnRenamed("unit", "g"), branches, {"": zero, "1": one}, ["x"], "g")
+    assert out.where("branch_id = '1' and p <> cast(x <= 10 as int) or branch_id = '' and p <> cast(x > 10 as int)").count() == 0
+    assert out.select("branch_id").distinct().count() == 2
+
+
+def test_out_of_fold_predictions_see_none_of_their_unit(spark):
+    # a unit's number tells its class, and no other unit's does: what a fold's model says of a unit comes from others
+    rows = [(u, float(u), int(u >= 5)) for u in range(10) for _ in range(20)]
+    df = spark.createDataFrame(rows, "unit int, x double, y int")
+    out = models.oof_predictions(df, ["x"], "unit", folds=5, depth=3)
+    assert out.count() == 200 and out.groupBy("unit").agg(F.count_distinct("fold").alias("n")).where("n > 1").count() == 0
+    assert out.where("unit in (0, 9) and p <> y").count() == 0

@@ -20,7 +20,7 @@ def test_equals_sql(spark, sf_dir, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["scan_partition", "consensus_map", "partitioned_trees", "routed_predictions", "smote_balance", "tree_rules", "partition_tree", "two_layer"])
+@pytest.mark.parametrize("name", ["scan_partition", "consensus_map", "partitioned_trees", "routed_predictions", "tree_rules", "tree_nodes", "partition_tree", "two_layer"])
 def test_gives_rows(spark, name):
     assert QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
 
