@@ -240,3 +240,14 @@ def test_out_of_fold_predictions_see_none_of_their_unit(spark):
     out = models.oof_predictions(df, ["x"], "unit", folds=5, depth=3)
     assert out.count() == 200 and out.groupBy("unit").agg(F.count_distinct("fold").alias("n")).where("n > 1").count() == 0
     assert out.where("unit in (0, 9) and p <> y").count() == 0
+
+
+def test_power_iteration_without_edges(spark):
+    graph = spark.createDataFrame([], "src long, dst long, weight double")
+    nodes = spark.createDataFrame([(1,), (2,)], "unit long")
+    assert consensus.power_iteration_labels(graph, 3).count() == 0
+    assert sorted(map(tuple, consensus.power_iteration_labels(graph, 3, nodes).collect())) == [(1, -1), (2, -1)]
+    some = spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0)], "src long, dst long, weight double")
+    nodes = spark.createDataFrame([(1,), (2,), (3,)], "unit long")
+    found = {r["unit"]: r["label"] for r in consensus.power_iteration_labels(some, 2, nodes).collect()}
+    assert set(found) == {1, 2, 3} and found[3] == -1 and min(found[1], found[2]) >= 0
