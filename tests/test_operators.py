@@ -251,3 +251,13 @@ def test_power_iteration_without_edges(spark):
     nodes = spark.createDataFrame([(1,), (2,), (3,)], "unit long")
     found = {r["unit"]: r["label"] for r in consensus.power_iteration_labels(some, 2, nodes).collect()}
     assert set(found) == {1, 2, 3} and found[3] == -1 and min(found[1], found[2]) >= 0
+
+
+def test_consensus_map_without_a_plan_that_beats_its_base(spark):
+    rows = [("p", u, "1", 0.3, 0.6) for u in (3, 5, 9)]
+    plans = spark.createDataFrame(rows, "plan string, unit long, partition_id string, f1 double, f1_base double")
+    units = spark.createDataFrame([(3, 0.0, 0.0), (5, 0.0, 50.0), (9, 4.0, 4.0)], "unit long, lat double, lon double")
+    assert sorted(map(tuple, consensus.consensus_map(plans, units, clusters=4).collect())) == [(3, 0, False), (5, 0, True), (9, 0, True)]
+    assert consensus.consensus_map(plans.where("unit < 0"), units, clusters=4).count() == 0
+    with pytest.raises(ValueError, match="no coordinates"):
+        consensus.consensus_map(plans, units.where("unit <> 5"), clusters=4)
