@@ -17,7 +17,10 @@ class, and classes are joined:
    empty ones than that; a set that has more deals its shingles anew by another hash, and so does any such partner.
    The first deal leaves out shingles that many sets share (any set of them keeps the bound, as two sets differ in no
    more without them), so that a passage in many texts doesn't bring those together.
-   Sets that meet are gathered in candidate groups (connected components, distributed).
+   Chance brings very many sets together in a large table. So of each pair that meets a sketch is looked at: a quarter
+   of the shingles, by hash. What one has there and the other lacks is missing from what they share, which tells of most
+   pairs that they can't link. A signature of more than ``MEET`` classes isn't told apart so.
+   What is left is gathered in candidate groups (connected components, distributed).
 4. *Prefix tree.* The ordered sets of a group go into a tree whose edges hold runs of shingles, so common parts are held
    and compared once. A set walks the tree from the root with its overlap so far, which all sets below a node share; a
    subtree is left as soon as what remains of the set and of the longest set below cannot reach the overlap that the
@@ -52,6 +55,12 @@ HOLD, RECEIVE = 2_000_000, 4_000_000
 OFTEN = 64
 #: How often a set with too many empty ranges is dealt anew; after that its empty ranges count as well.
 SALTS = 8
+#: Of a signature of so many classes all pairs are looked at; the classes of larger ones are of one group.
+MEET = 64
+#: Of a set's shingles, by the upper 32 bits of their hash, the sketch holds those under a bound; of a set of at most WHOLE all.
+SKETCH, WHOLE = 1 << 30, 64
+#: Bytes of sketches in a heap, about, and heaps at least.
+HEAP, HEAPS = 32_000_000, 4
 #: Bounds of a part of a group, and of a heap that meets parts; a task holds two of them at a time.
 PART_SETS, PART_SHINGLES = 4096, 500_000
 #: Rows of an Arrow batch with texts or sets.
@@ -289,16 +298,29 @@ def signatures(n: int, s: np.ndarray, rare: np.ndarray, percent: int, bounds: li
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _firsts(sig: np.ndarray, who: np.ndarray):
-    """(distinct signatures, the smallest class of each, and the other classes with that smallest one)."""
-    order = np.argsort(sig)
+def _by_signature(sig: np.ndarray, who: np.ndarray):
+    """(signatures, classes, where runs of one signature begin, their lengths), a run's smallest class first."""
+    order = np.lexsort((who, sig))
     sig, who = sig[order], who[order]
     at = _firsts_of(sig)
-    low = np.minimum.reduceat(who, at) if len(at) else who
-    n = np.diff(np.append(at, len(who)))
-    shared = np.repeat(n > 1, n)
-    a, b = who[shared], np.repeat(low[n > 1], n[n > 1])
-    return sig[at], low, a[a != b], b[a != b]
+    return sig, who, at, np.diff(np.append(at, len(who)))
+
+
+def _stars(who: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of the runs given, each with the smallest of its run."""
+    a, b = who[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], np.repeat(who[at], n)
+    return a[a != b], b[a != b]
+
+
+def _all_pairs(who: np.ndarray, at: np.ndarray, n: np.ndarray, hold: int):
+    """Batches of about ``hold`` pairs (larger class, smaller class) of each run."""
+    for size in np.unique(n[n > 1]):
+        i, j = np.triu_indices(size, 1)
+        starts, step = at[n == size], max(1, hold // len(i))
+        for lo in range(0, len(starts), step):
+            rows = who[starts[lo : lo + step, None] + np.arange(size)]
+            a, b = rows[:, j].ravel(), rows[:, i].ravel()
+            yield a[a != b], b[a != b]
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -307,18 +329,21 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _send_signatures(percent: int, parts: int, often: int):
-    """Blocks of signatures, one entry for each in a flush, keyed by class; edges among classes that share one come in parts from ``parts`` on."""
+    """Blocks of signatures, ``MEET`` entries and one more for each in a flush at most, keyed by class; edges among more
+    classes that share one come in parts from ``parts`` on."""
 
     def run(batches):
         bounds, memo = _class_bounds(percent, 1 << 40), {}
         sigs, names, size = [], [], 0
 
         def flush():
-            sig, who, a, b = _firsts(np.concatenate(sigs), np.repeat(np.array(names, np.int64), [len(s) for s in sigs]))
+            sig, who, at, n = _by_signature(np.concatenate(sigs), np.repeat(np.array(names, np.int64), [len(s) for s in sigs]))
+            a, b = _forest(*_stars(who, at[n > MEET], n[n > MEET]))
+            some = np.arange(len(who)) - np.repeat(at, n) <= MEET  # so many tell the receiver that there are edges
+            sig, who = sig[some], who[some]
             order = np.argsort(who, kind="stable")
             sig, who = sig[order], who[order]
             yield _blocks((sig % U(parts)).astype(np.int64), who, sig)
-            a, b = _forest(a, b)
             if len(a):
                 yield _blocks(parts + a % parts, a, b.view(np.uint64))
 
@@ -341,12 +366,18 @@ def _send_signatures(percent: int, parts: int, often: int):
 
 
 def _meet(parts: int):
-    """A spanning forest of the classes that share signatures, for each part."""
+    """Pairs of classes that share a signature of at most ``MEET`` classes; of larger ones a spanning forest, marked sure."""
 
     def run(batches):
-        def edges_of(held):
-            sig, who, a, b = _firsts(*held)
-            return _forest(a, b)
+        def batch(a, b, sure):
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), sure))], ["a", "b", "sure"])
+
+        def distinct(pairs):
+            a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.zeros(0, bool)
+            return a[new], b[new]
 
         def rows():
             for b in batches:
@@ -358,14 +389,112 @@ def _meet(parts: int):
 
         direct = []
         for who, sig in _received(rows(), np.uint64):
-            a, b = edges_of((sig, who))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            sig, who, at, n = _by_signature(sig, who)
+            yield batch(*_forest(*_stars(who, at[n > MEET], n[n > MEET])), True)
+            held = []
+            for pairs in _all_pairs(who, at[n <= MEET], n[n <= MEET], HOLD):
+                held.append(pairs)
+                if len(held) > 1 and sum(len(x[0]) for x in held) > HOLD:
+                    held = [distinct(held)]
+                    if len(held[0][0]) > HOLD // 2:
+                        yield batch(*held.pop(), False)
+            if held:
+                yield batch(*distinct(held), False)
         for a, b in direct:
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            yield batch(a, b, True)
+
+    return run
+
+
+# -- what pairs of classes may share at most
+
+
+def _sketches(batches):
+    """(cid, n, m, those of its shingles under a bound on the hash, in 32 bits); of a small set all."""
+    for b in batches:
+        raw = []
+        for n, x in zip(*(column_of(b, c).to_pylist() for c in ("n", "shingles")), strict=True):
+            s = np.sort(np.frombuffer(x, np.uint64) >> U(32))
+            raw.append((s if n <= WHOLE else s[s < SKETCH]).astype(np.uint32).tobytes())
+        yield pa.RecordBatch.from_arrays([column_of(b, "cid"), column_of(b, "n"), column_of(b, "m"), pa.array(raw, pa.binary())], ["cid", "n", "m", "sketch"])
+
+
+def _may_link(percent: int):
+    """Those pairs of each heap whose sketches don't tell that they can't link; a heap's sketches come before its pairs.
+
+    What a set has under the bound and the other one has not is missing from what they share.
+    """
+
+    def checked(held, pairs):
+        order = np.argsort(np.array([h[0] for h in held], np.int64))
+        held = [held[o] for o in order]
+        cids, n, m = (np.array([h[c] for h in held], np.int64) for c in (0, 1, 2))
+        size = np.array([len(h[3]) // 4 for h in held], np.int64)
+        values = np.frombuffer(b"".join(h[3] for h in held), np.uint32)
+        begin, few = np.cumsum(size) - size, np.append(0, np.cumsum(values < SKETCH))
+        few = few[begin + size] - few[begin]
+        # ascending: by set, then by value
+        keys = np.append((np.repeat(np.arange(len(cids), dtype=np.uint64), size) << U(32)) | values, U((1 << 64) - 1))
+        for a, b in pairs:
+            i, j = np.searchsorted(cids, a), np.searchsorted(cids, b)
+            whole = np.maximum(n[i], n[j]) <= WHOLE
+            x, y = np.where(whole, size[i], few[i]), np.where(whole, size[j], few[j])
+            many = np.append(0, np.cumsum(y))
+            lo = 0
+            while lo < len(a):
+                hi = max(lo + 1, int(np.searchsorted(many, many[lo] + HOLD, "right")) - 1)
+                own = y[lo:hi]
+                at = np.repeat(begin[j[lo:hi]] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
+                wanted = (np.repeat(i[lo:hi].astype(np.uint64), own) << U(32)) | values[at]
+                total = np.append(0, np.cumsum(keys[np.searchsorted(keys, wanted)] == wanted))
+                ends = np.cumsum(own)
+                both = total[ends] - total[ends - own]
+                p, q = i[lo:hi], j[lo:hi]
+                most = np.minimum(m[p] - x[lo:hi], m[q] - own) + both
+                keep = (100 + percent) * most >= percent * (n[p] + n[q])
+                yield a[lo:hi][keep], b[lo:hi][keep]
+                lo = hi
+
+    def run(batches):
+        last, held, pairs = None, [], []
+
+        def flush():
+            for a, b in checked(held, pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            i, j = (np.asarray(batch.column(c)) for c in (0, 1))
+            at = np.append(np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (j[1:] != j[:-1]))), len(i)) if len(i) else [0]
+            for lo, hi in zip(at, at[1:], strict=False):
+                if (i[lo], j[lo]) != last:
+                    if pairs:
+                        yield from flush()
+                    last, held, pairs = (i[lo], j[lo]), [], []
+                piece = batch.slice(lo, hi - lo)
+                is_pair = np.asarray(column_of(piece, "kind")) == 1
+                sets, both = piece.filter(pa.array(~is_pair)), piece.filter(pa.array(is_pair))
+                held.extend(zip(*(column_of(sets, c).to_pylist() for c in ("x", "y", "m", "sketch")), strict=True))
+                if both.num_rows:
+                    pairs.append((np.asarray(column_of(both, "x")), np.asarray(column_of(both, "y"))))
+        if pairs:
+            yield from flush()
 
     return run
 
 
+def _near_pairs(sets: DataFrame, pairs: DataFrame, percent: int, heaps: int) -> DataFrame:
+    """The distinct pairs (a, b) of ``sets`` that sketches leave. Sets are dealt into heaps, and each two heaps meet."""
+    parts = max(partitions(sets.sparkSession), 1)
+    heap = lambda c: F.pmod(F.xxhash64(c), F.lit(heaps))
+    kinds = lambda df, kind: df.select(F.least("g", "h").alias("i"), F.greatest("g", "h").alias("j"), F.lit(kind).alias("kind"), "x", "y", "m", "sketch")
+    with small_batches(sets.sparkSession, TEXT_ROWS):
+        held = sets.select("cid", "n", "m", "shingles").mapInArrow(lean(_sketches), "cid long, n long, m long, sketch binary")
+        held = held.select(heap("cid").alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(heaps - 1).cast("long"))).alias("h"), F.col("cid").alias("x"), F.col("n").alias("y"), "m", "sketch")
+        asked = pairs.distinct().select(heap("a").alias("g"), heap("b").alias("h"), F.col("a").alias("x"), F.col("b").alias("y"), F.lit(None).cast("long").alias("m"), F.lit(None).cast("binary").alias("sketch"))
+        rows = kinds(held, 0).unionByName(kinds(asked, 1)).repartition(parts, "i", "j").sortWithinPartitions("i", "j", "kind")
+        return rows.mapInArrow(lean(_may_link(percent)), "a long, b long")
+
+
 # -- prefix tree
 
 
@@ -559,9 +688,12 @@ def _class_links(sets: DataFrame, percent: int, part_sets: int, part_shingles: i
     with small_batches(spark, TEXT_ROWS):
         sent = sets.select("cid", "n", "shingles", "often").mapInArrow(lean(_send_signatures(percent, inboxes, often)), "p long, keys binary, counts binary, x binary")
     with small_batches(spark):
-        groups = components(_exchange(sent, inboxes, _meet(inboxes), "a long, b long"))
+        met = written(_exchange(sent, inboxes, _meet(inboxes), "a long, b long, sure boolean"), "met")
+    near = _near_pairs(sets, met.where("not sure").select("a", "b"), percent, max(HEAPS, math.ceil(of / HEAP)))
+    groups = components(met.where("sure").select("a", "b").unionByName(near))
     grouped = sets.select("cid", "n", "m").join(groups, F.col("cid") == F.col("node")).select("cid", F.col("component").alias("block"), "n", "m")
     grouped = written(grouped, "candidates")
+    forget(met)
     bound = lambda n: F.greatest(F.ceil(F.count(F.lit(1)) / part_sets), F.ceil(F.sum(n) / part_shingles)).cast("long")
     sizes = grouped.groupBy("block").agg(bound("m").alias("parts"))
     placed = written(grouped.join(sizes, "block").select(F.col("cid").alias("d"), "block", "parts", "n", "m", F.pmod(F.xxhash64("cid"), F.col("parts")).alias("part")), "blocks")

@@ -112,6 +112,27 @@ def test_join_of_one_large_group(spark):
     assert got == brute_components(table, 3, 80)
 
 
+def test_chance_meetings_make_no_group(spark, monkeypatch):
+    """Each text shares a quarter of its words with each of four others, so ranges of one word meet, but nothing can link."""
+    table = []
+    for i in range(40):
+        quarters = [(min(i, (i + d) % 40), max(i, (i + d) % 40)) for d in (-2, -1, 1, 2)]
+        table.append((i, " ".join(f"w{a}x{b}x{w}" for a, b in quarters for w in range(100))))
+    made = {}
+    write = ngram_join.written
+
+    def noted(out, name):
+        made[name] = write(out, name)
+        return made[name]
+
+    monkeypatch.setattr(ngram_join, "written", noted)
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_jaccard_join(df, 1, 80).collect()}
+    assert got == {i: (400, i) for i in range(40)}
+    assert made["members"].count() == 40  # each of them has all its words in others
+    assert made["blocks"].count() == 0
+
+
 def _bytes(text):
     raw = np.frombuffer(text.encode(), np.uint8)
     return raw, np.array([0, len(raw)])
