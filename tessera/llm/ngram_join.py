@@ -17,9 +17,11 @@ class, and classes are joined:
    empty ones than that; a set that has more deals its shingles anew by another hash, and so does any such partner.
    The first deal leaves out shingles that many sets share (any set of them keeps the bound, as two sets differ in no
    more without them), so that a passage in many texts doesn't bring those together.
-   Chance brings very many sets together in a large table. So of each pair that meets a sketch is looked at: a quarter
-   of the shingles, by hash. What one has there and the other lacks is missing from what they share, which tells of most
-   pairs that they can't link. A signature of more than ``MEET`` classes isn't told apart so.
+   Chance brings very many sets together in a large table. So signatures are dealt by size class, and with a class's
+   signatures each set sends the parity of how many of its shingles fall on each bit of a map, 2 bits or more a shingle.
+   Two sets differ in at least as many shingles as their maps in bits, which tells of most pairs that meet that they
+   can't link. A task keeps only whether sets are joined yet: it passes on at most one edge for each set, however many
+   sets share its signatures. A signature of more than ``MEET`` classes joins them without a look.
    What is left is gathered in candidate groups (connected components, distributed).
 4. *Prefix tree.* The ordered sets of a group go into a tree whose edges hold runs of shingles, so common parts are held
    and compared once. A set walks the tree from the root with its overlap so far, which all sets below a node share; a
@@ -50,17 +52,15 @@ from tessera.llm.components import components, local_roots
 #: The count filter looks at so many times the share of shingles that may be missing.
 SAMPLE = 1.5
 #: Entries that a task deals out at a time, and that a receiving task gets on average at most.
-HOLD, RECEIVE = 2_000_000, 4_000_000
+HOLD, RECEIVE = 1_000_000, 2_000_000
 #: The first deal of signatures leaves out shingles of so many sets.
 OFTEN = 64
 #: How often a set with too many empty ranges is dealt anew; after that its empty ranges count as well.
 SALTS = 8
 #: Of a signature of so many classes all pairs are looked at; the classes of larger ones are of one group.
 MEET = 64
-#: Of a set's shingles, by the upper 32 bits of their hash, the sketch holds those under a bound; of a set of at most WHOLE all.
-SKETCH, WHOLE = 1 << 30, 64
-#: Bytes of sketches in a heap, about, and heaps at least.
-HEAP, HEAPS = 32_000_000, 4
+#: Bits of a parity map for each shingle of its size class's largest set, and at least.
+MAP_BITS, LEAST_BITS = 2, 256
 #: Bounds of a part of a group, and of a heap that meets parts; a task holds two of them at a time.
 PART_SETS, PART_SHINGLES = 4096, 500_000
 #: Rows of an Arrow batch with texts or sets.
@@ -269,8 +269,8 @@ def ranges_of(n: int, percent: int, bounds: list[int]) -> list[tuple[int, int, i
     return out
 
 
-def signatures(n: int, s: np.ndarray, rare: np.ndarray, percent: int, bounds: list[int], memo: dict) -> np.ndarray:
-    """The hashes under which a set of n shingles, ``s`` those that others have too, ascending, meets those it may link with.
+def signatures(n: int, s: np.ndarray, rare: np.ndarray, percent: int, bounds: list[int], memo: dict) -> list[tuple[int, np.ndarray]]:
+    """By size class, the hashes under which a set of n shingles, ``s`` those that others have too, ascending, meets those it may link with.
 
     The first deal takes only those marked ``rare``.
     """
@@ -292,18 +292,39 @@ def signatures(n: int, s: np.ndarray, rare: np.ndarray, percent: int, bounds: li
             full = at[1:] > at[:-1]
             sig = mix((total[at[1:]] - total[at[:-1]]) ^ names)
             enough = m - int(full.sum()) <= spare
-            out.append(sig[full] if enough or salt + 1 < SALTS else sig)
+            out.append((c, sig[full] if enough or salt + 1 < SALTS else sig))
             if enough:
                 break
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return out
+
+
+def map_words(c: int, bounds: list[int]) -> int:
+    """64-bit words of a parity map of a size class."""
+    return -(-max(LEAST_BITS, MAP_BITS * bounds[c]) // 64)
 
 
-def _by_signature(sig: np.ndarray, who: np.ndarray):
-    """(signatures, classes, where runs of one signature begin, their lengths), a run's smallest class first."""
+def parity_map(s: np.ndarray, words: int) -> np.ndarray:
+    """For each bit whether an odd number of the shingles fall on it."""
+    return np.packbits((np.bincount((s % U(64 * words)).astype(np.int64), minlength=64 * words) & 1).astype(np.uint8)).view(np.uint64)
+
+
+def may_link(n: np.ndarray, m: np.ndarray, maps: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """False for pairs of sets that can't link: ``n`` shingles, of which the maps know ``m``; the others nobody shares."""
+    out = np.zeros(len(i), bool)
+    step = max(1, HOLD // maps.shape[1])
+    for lo in range(0, len(i), step):
+        x, y = i[lo : lo + step], j[lo : lo + step]
+        differ = np.maximum(np.bitwise_count(maps[x] ^ maps[y]).sum(1, dtype=np.int64), np.abs(m[x] - m[y]))
+        out[lo : lo + step] = (100 + percent) * ((m[x] + m[y] - differ) // 2) >= percent * (n[x] + n[y])
+    return out
+
+
+def _by_signature(sig: np.ndarray, who: np.ndarray, more: np.ndarray | None = None):
+    """(signatures, classes, where runs of one signature begin, their lengths, ``more``), a run's smallest class first."""
     order = np.lexsort((who, sig))
     sig, who = sig[order], who[order]
     at = _firsts_of(sig)
-    return sig, who, at, np.diff(np.append(at, len(who)))
+    return sig, who, at, np.diff(np.append(at, len(who))), None if more is None else more[order]
 
 
 def _stars(who: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -328,173 +349,122 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[nodes != roots], roots[nodes != roots]
 
 
-def _send_signatures(percent: int, parts: int, often: int):
-    """Blocks of signatures, ``MEET`` entries and one more for each in a flush at most, keyed by class; edges among more
-    classes that share one come in parts from ``parts`` on."""
+class Inboxes:
+    """Where signatures go: each size class has so many inboxes of its own that one gets about ``receive`` entries."""
+
+    def __init__(self, entries: dict[int, int], receive: int):
+        self.of = {c: max(1, math.ceil(n / receive)) for c, n in sorted(entries.items())}
+        self.first, self.classes = {}, []
+        for c, n in self.of.items():
+            self.first[c] = len(self.classes)
+            self.classes += [c] * n
+
+    def __len__(self) -> int:
+        return len(self.classes)
+
+
+def _count_entries(percent: int):
+    """(size class, entries) for rows (n, count)."""
+
+    def run(batches):
+        bounds, entries = _class_bounds(percent, 1 << 40), {}
+        for batch in batches:
+            for n, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for c, m, _ in ranges_of(n, percent, bounds):
+                    entries[c] = entries.get(c, 0) + m * count
+        yield pa.RecordBatch.from_arrays([pa.array(list(entries), pa.int64()), pa.array(list(entries.values()), pa.int64())], ["c", "entries"])
+
+    return run
+
+
+def _send_signatures(percent: int, inboxes: Inboxes, often: int):
+    """Blocks of signatures, ``MEET`` entries and one more for each in a flush at most, keyed by class; ``maps`` holds n, m
+    and the parity map of each class named. Edges among more classes that share one come in parts after the inboxes."""
 
     def run(batches):
         bounds, memo = _class_bounds(percent, 1 << 40), {}
-        sigs, names, size = [], [], 0
+        sigs, names, to, maps, size = [], [], [], {}, 0
 
         def flush():
-            sig, who, at, n = _by_signature(np.concatenate(sigs), np.repeat(np.array(names, np.int64), [len(s) for s in sigs]))
+            held = [len(s) for s in sigs]
+            sig, who, at, n, c = _by_signature(np.concatenate(sigs), np.repeat(np.array(names, np.int64), held), np.repeat(np.array(to, np.int64), held))
             a, b = _forest(*_stars(who, at[n > MEET], n[n > MEET]))
             some = np.arange(len(who)) - np.repeat(at, n) <= MEET  # so many tell the receiver that there are edges
-            sig, who = sig[some], who[some]
+            sig, who, c = sig[some], who[some], c[some]
             order = np.argsort(who, kind="stable")
-            sig, who = sig[order], who[order]
-            yield _blocks((sig % U(parts)).astype(np.int64), who, sig)
+            sig, who, c = sig[order], who[order], c[order]
+            kinds, c = np.unique(c, return_inverse=True)
+            first, of = (np.array([x[k] for k in kinds.tolist()], np.int64) for x in (inboxes.first, inboxes.of))
+            sent = _blocks(first[c] + (sig % of.astype(np.uint64)[c]).astype(np.int64), who, sig)
+            parts, keys = (sent.column(x).to_pylist() for x in (0, 1))
+            yield with_maps(sent, [b"".join(maps[inboxes.classes[p], k] for k in np.frombuffer(named, np.int64).tolist()) for p, named in zip(parts, keys, strict=True)])
             if len(a):
-                yield _blocks(parts + a % parts, a, b.view(np.uint64))
+                sent = _blocks(len(inboxes) + a % max(1, len(inboxes)), a, b.view(np.uint64))
+                yield with_maps(sent, [b""] * sent.num_rows)
+
+        def with_maps(sent, held):
+            return pa.RecordBatch.from_arrays([*sent.columns, pa.array(held, pa.binary())], ["p", "keys", "counts", "x", "maps"])
 
         for batch in batches:
             for cid, n, raw, counts in zip(*(column_of(batch, c).to_pylist() for c in ("cid", "n", "shingles", "often")), strict=True):
                 s = np.frombuffer(raw, np.uint64)
                 order = np.argsort(s)
-                out = signatures(n, s[order], np.frombuffer(counts, np.uint32)[order] < often, percent, bounds, memo)
-                if len(out):
-                    sigs.append(out)
+                for c, sig in signatures(n, s[order], np.frombuffer(counts, np.uint32)[order] < often, percent, bounds, memo):
+                    if not len(sig):
+                        continue
+                    sigs.append(sig)
                     names.append(cid)
-                    size += len(out)
+                    to.append(c)
+                    size += len(sig)
+                    if (c, cid) not in maps:
+                        maps[c, cid] = np.array([n, len(s)], np.uint64).tobytes() + parity_map(s, map_words(c, bounds)).tobytes()
+                        size += len(maps[c, cid]) // 16
                 if size >= HOLD:
                     yield from flush()
-                    sigs, names, size = [], [], 0
+                    sigs, names, to, maps, size = [], [], [], {}, 0
         if sigs:
             yield from flush()
 
     return run
 
 
-def _meet(parts: int):
-    """Pairs of classes that share a signature of at most ``MEET`` classes; of larger ones a spanning forest, marked sure."""
-
-    def run(batches):
-        def batch(a, b, sure):
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), sure))], ["a", "b", "sure"])
-
-        def distinct(pairs):
-            a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            order = np.lexsort((b, a))
-            a, b = a[order], b[order]
-            new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.zeros(0, bool)
-            return a[new], b[new]
-
-        def rows():
-            for b in batches:
-                mask = np.asarray(b.column(0)) >= parts
-                if mask.any():
-                    for keys, counts, x in zip(*(c.to_pylist() for c in b.filter(pa.array(mask)).columns[1:]), strict=True):
-                        direct.append((np.repeat(np.frombuffer(keys, np.int64), np.frombuffer(counts, np.uint32)), np.frombuffer(x, np.int64)))
-                yield b.filter(pa.array(~mask))
-
-        direct = []
-        for who, sig in _received(rows(), np.uint64):
-            sig, who, at, n = _by_signature(sig, who)
-            yield batch(*_forest(*_stars(who, at[n > MEET], n[n > MEET])), True)
-            held = []
-            for pairs in _all_pairs(who, at[n <= MEET], n[n <= MEET], HOLD):
-                held.append(pairs)
-                if len(held) > 1 and sum(len(x[0]) for x in held) > HOLD:
-                    held = [distinct(held)]
-                    if len(held[0][0]) > HOLD // 2:
-                        yield batch(*held.pop(), False)
-            if held:
-                yield batch(*distinct(held), False)
-        for a, b in direct:
-            yield batch(a, b, True)
-
-    return run
-
-
-# -- what pairs of classes may share at most
-
-
-def _sketches(batches):
-    """(cid, n, m, those of its shingles under a bound on the hash, in 32 bits); of a small set all."""
-    for b in batches:
-        raw = []
-        for n, x in zip(*(column_of(b, c).to_pylist() for c in ("n", "shingles")), strict=True):
-            s = np.sort(np.frombuffer(x, np.uint64) >> U(32))
-            raw.append((s if n <= WHOLE else s[s < SKETCH]).astype(np.uint32).tobytes())
-        yield pa.RecordBatch.from_arrays([column_of(b, "cid"), column_of(b, "n"), column_of(b, "m"), pa.array(raw, pa.binary())], ["cid", "n", "m", "sketch"])
-
-
-def _may_link(percent: int):
-    """Those pairs of each heap whose sketches don't tell that they can't link; a heap's sketches come before its pairs.
-
-    What a set has under the bound and the other one has not is missing from what they share.
-    """
-
-    def checked(held, pairs):
-        order = np.argsort(np.array([h[0] for h in held], np.int64))
-        held = [held[o] for o in order]
-        cids, n, m = (np.array([h[c] for h in held], np.int64) for c in (0, 1, 2))
-        size = np.array([len(h[3]) // 4 for h in held], np.int64)
-        values = np.frombuffer(b"".join(h[3] for h in held), np.uint32)
-        begin, few = np.cumsum(size) - size, np.append(0, np.cumsum(values < SKETCH))
-        few = few[begin + size] - few[begin]
-        # ascending: by set, then by value
-        keys = np.append((np.repeat(np.arange(len(cids), dtype=np.uint64), size) << U(32)) | values, U((1 << 64) - 1))
-        for a, b in pairs:
-            i, j = np.searchsorted(cids, a), np.searchsorted(cids, b)
-            whole = np.maximum(n[i], n[j]) <= WHOLE
-            x, y = np.where(whole, size[i], few[i]), np.where(whole, size[j], few[j])
-            many = np.append(0, np.cumsum(y))
-            lo = 0
-            while lo < len(a):
-                hi = max(lo + 1, int(np.searchsorted(many, many[lo] + HOLD, "right")) - 1)
-                own = y[lo:hi]
-                at = np.repeat(begin[j[lo:hi]] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
-                wanted = (np.repeat(i[lo:hi].astype(np.uint64), own) << U(32)) | values[at]
-                total = np.append(0, np.cumsum(keys[np.searchsorted(keys, wanted)] == wanted))
-                ends = np.cumsum(own)
-                both = total[ends] - total[ends - own]
-                p, q = i[lo:hi], j[lo:hi]
-                most = np.minimum(m[p] - x[lo:hi], m[q] - own) + both
-                keep = (100 + percent) * most >= percent * (n[p] + n[q])
-                yield a[lo:hi][keep], b[lo:hi][keep]
-                lo = hi
+def _meet(percent: int, inboxes: Inboxes):
+    """A spanning forest, for each inbox, of the classes that share a signature there and may link."""
 
     def run(batches):
-        last, held, pairs = None, [], []
+        bounds = _class_bounds(percent, 1 << 40)
 
-        def flush():
-            for a, b in checked(held, pairs):
+        def joined(label, a, b):
+            if len(a):
+                nodes, roots = local_roots(label[a], label[b])
+                to = np.arange(len(label))
+                to[nodes] = roots
+                label = to[label]
+            return label
+
+        for (p,), rows in _groups(batches, 1):
+            keys, counts, x = (np.frombuffer(b"".join(r[c] for r in rows), kind) for c, kind in enumerate((np.int64, np.uint32, np.uint64)))
+            if p >= len(inboxes):
+                a, b = _forest(np.repeat(keys, counts), x.view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        for batch in batches:
-            i, j = (np.asarray(batch.column(c)) for c in (0, 1))
-            at = np.append(np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (j[1:] != j[:-1]))), len(i)) if len(i) else [0]
-            for lo, hi in zip(at, at[1:], strict=False):
-                if (i[lo], j[lo]) != last:
-                    if pairs:
-                        yield from flush()
-                    last, held, pairs = (i[lo], j[lo]), [], []
-                piece = batch.slice(lo, hi - lo)
-                is_pair = np.asarray(column_of(piece, "kind")) == 1
-                sets, both = piece.filter(pa.array(~is_pair)), piece.filter(pa.array(is_pair))
-                held.extend(zip(*(column_of(sets, c).to_pylist() for c in ("x", "y", "m", "sketch")), strict=True))
-                if both.num_rows:
-                    pairs.append((np.asarray(column_of(both, "x")), np.asarray(column_of(both, "y"))))
-        if pairs:
-            yield from flush()
+                continue
+            held = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(len(keys), -1)
+            assert held.shape[1] == 2 + map_words(inboxes.classes[p], bounds)
+            del rows
+            n, m, maps = held[:, 0].astype(np.int64), held[:, 1].astype(np.int64), held[:, 2:]
+            _, who, at, run, _ = _by_signature(x, np.repeat(np.arange(len(keys)), counts))
+            label = joined(np.arange(len(keys)), *_stars(who, at[run > MEET], run[run > MEET]))
+            for a, b in _all_pairs(who, at[run <= MEET], run[run <= MEET], HOLD // 4):
+                apart = label[a] != label[b]
+                a, b = np.divmod(np.unique(a[apart] * len(keys) + b[apart]), len(keys))
+                may = may_link(n, m, maps, a, b, percent)
+                label = joined(label, a[may], b[may])
+            others = label != np.arange(len(label))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[others]), pa.array(keys[label[others]])], ["a", "b"])
 
     return run
 
 
-def _near_pairs(sets: DataFrame, pairs: DataFrame, percent: int, heaps: int) -> DataFrame:
-    """The distinct pairs (a, b) of ``sets`` that sketches leave. Sets are dealt into heaps, and each two heaps meet."""
-    parts = max(partitions(sets.sparkSession), 1)
-    heap = lambda c: F.pmod(F.xxhash64(c), F.lit(heaps))
-    kinds = lambda df, kind: df.select(F.least("g", "h").alias("i"), F.greatest("g", "h").alias("j"), F.lit(kind).alias("kind"), "x", "y", "m", "sketch")
-    with small_batches(sets.sparkSession, TEXT_ROWS):
-        held = sets.select("cid", "n", "m", "shingles").mapInArrow(lean(_sketches), "cid long, n long, m long, sketch binary")
-        held = held.select(heap("cid").alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(heaps - 1).cast("long"))).alias("h"), F.col("cid").alias("x"), F.col("n").alias("y"), "m", "sketch")
-        asked = pairs.distinct().select(heap("a").alias("g"), heap("b").alias("h"), F.col("a").alias("x"), F.col("b").alias("y"), F.lit(None).cast("long").alias("m"), F.lit(None).cast("binary").alias("sketch"))
-        rows = kinds(held, 0).unionByName(kinds(asked, 1)).repartition(parts, "i", "j").sortWithinPartitions("i", "j", "kind")
-        return rows.mapInArrow(lean(_may_link(percent)), "a long, b long")
-
-
 # -- prefix tree
 
 
@@ -683,14 +653,13 @@ def _class_links(sets: DataFrame, percent: int, part_sets: int, part_shingles: i
     """Edges (a, b) that join the classes of ``sets`` (cid, n, shingles, often, m) into the components of their links."""
     spark = sets.sparkSession
     parts = max(partitions(spark), 1)
-    of = sets.agg(F.sum("n")).first()[0] or 0
-    inboxes = max(1, parts // 4, math.ceil(of / receive))
+    entries = sets.groupBy("n").count().mapInArrow(lean(_count_entries(percent)), "c long, entries long").groupBy("c").agg(F.sum("entries"))
+    inboxes = Inboxes(dict(tuple(r) for r in entries.collect()), receive)  # a row for each size class
     with small_batches(spark, TEXT_ROWS):
-        sent = sets.select("cid", "n", "shingles", "often").mapInArrow(lean(_send_signatures(percent, inboxes, often)), "p long, keys binary, counts binary, x binary")
+        sent = sets.select("cid", "n", "shingles", "often").mapInArrow(lean(_send_signatures(percent, inboxes, often)), "p long, keys binary, counts binary, x binary, maps binary")
     with small_batches(spark):
-        met = written(_exchange(sent, inboxes, _meet(inboxes), "a long, b long, sure boolean"), "met")
-    near = _near_pairs(sets, met.where("not sure").select("a", "b"), percent, max(HEAPS, math.ceil(of / HEAP)))
-    groups = components(met.where("sure").select("a", "b").unionByName(near))
+        met = written(_exchange(sent, parts, _meet(percent, inboxes), "a long, b long"), "met")
+    groups = components(met)
     grouped = sets.select("cid", "n", "m").join(groups, F.col("cid") == F.col("node")).select("cid", F.col("component").alias("block"), "n", "m")
     grouped = written(grouped, "candidates")
     forget(met)

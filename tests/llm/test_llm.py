@@ -133,6 +133,51 @@ def test_chance_meetings_make_no_group(spark, monkeypatch):
     assert made["blocks"].count() == 0
 
 
+def test_edges_of_near_copies_grow_with_the_sets(spark, monkeypatch):
+    """All pairs of 60 near copies meet under many signatures; edges are a few for each copy, not one for each pair."""
+    rng, table = np.random.default_rng(0), []
+    for group in range(4):
+        base = text_of(200 + group, 100).split()
+        for i in range(60):
+            w = list(base)
+            w[int(rng.integers(100))] = f"e{i % 30}"
+            table.append((100 * group + i, " ".join(w)))
+    made = {}
+    write = ngram_join.written
+
+    def noted(out, name):
+        made.setdefault(name, write(out, name))
+        return made[name] if name in ("met", "members") else write(out, name)
+
+    monkeypatch.setattr(ngram_join, "written", noted)
+    monkeypatch.setattr(ngram_join, "forget", lambda df: None)
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_jaccard_join(df, 1, 80).collect()}
+    assert got == brute_components(table, 1, 80)
+    sets = made["members"].count()
+    assert sets > 200 and sets - 4 <= made["met"].count() <= 3 * sets
+
+
+@pytest.mark.parametrize("percent", [60, 85])
+def test_parity_maps_rule_out_no_link(percent):
+    rng = np.random.default_rng(percent)
+    bounds = ngram_join._class_bounds(percent, 1 << 20)
+    for n in (3, 40, 400):
+        pool = rng.integers(0, 1 << 63, 2 * n + 2).astype(np.uint64) * np.uint64(2)
+        sets = [pool[:n]] + [np.concatenate([pool[d:n], pool[n : n + more]]) for d in range(n // 2) for more in (0, d // 2, d)]
+        words = ngram_join.map_words(next(c for c, a in enumerate(bounds) if a >= max(map(len, sets))), bounds)
+        maps = np.array([ngram_join.parity_map(s, words) for s in sets])
+        size = np.array([len(s) for s in sets])
+        i, j = np.triu_indices(len(sets), 1)
+        may = ngram_join.may_link(size, size, maps, i, j, percent)
+        both = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+        links = 100 * both >= percent * (size[i] + size[j] - both)
+        assert links.any() and not (links & ~may).any()
+        strangers = np.array([ngram_join.parity_map(rng.integers(0, 1 << 63, n).astype(np.uint64), words) for _ in range(20)])
+        i, j = np.triu_indices(20, 1)
+        assert n < 40 or not ngram_join.may_link(np.full(20, n), np.full(20, n), strangers, i, j, percent).any()
+
+
 def _bytes(text):
     raw = np.frombuffer(text.encode(), np.uint8)
     return raw, np.array([0, len(raw)])
