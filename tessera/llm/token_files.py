@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Utf8, column_of, give_back, kept, lean, partitions, shared_path, small_batches, table, written
 
 BLOCK = 256
+#: Pieces of a generation that a worker process keeps, and bytes of texts that it encodes at a time.
+PIECES, SLICE = 240_000, 1 << 19
 HEAD, TAIL, NO_ID = b"PFOR1\0\0\0", b"PFOR1END", -(1 << 63)
 
 
@@ -245,7 +247,7 @@ class PieceEncoder:
     that takes in white space.
     """
 
-    def __init__(self, path: str, most: int = 240_000):
+    def __init__(self, path: str, most: int = PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -332,25 +334,25 @@ class PieceEncoder:
         return np.diff(upto, prepend=0) + 1, np.insert(ids, upto, end)
 
 
-def piece_encoder(path: str) -> PieceEncoder:
+def piece_encoder(path: str, most: int) -> PieceEncoder:
     """The encoder of this process, with the pieces that earlier tasks met, until a task of another operator runs here."""
     encoders = kept.setdefault("token_files", {})
-    if path not in encoders:
-        encoders[path] = PieceEncoder(path)
-    return encoders[path]
+    if (path, most) not in encoders:
+        encoders[path, most] = PieceEncoder(path, most)
+    return encoders[path, most]
 
 
 def _filesystem(path: str):
     return pafs.FileSystem.from_uri(path)
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, path: str, end: int = 0, files: int | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, path: str, end: int = 0, files: int | None = None, pieces: int = PIECES, slice_bytes: int = SLICE) -> DataFrame:
     """Write ``docs`` (doc_id, text) in ascending doc_id order below ``path``; a table of the files (part, file, docs, ids).
 
     A null text is empty; a null doc_id comes first. Equal doc_ids are in one file, in the order of their texts. A text of
     any length is one document; only its own ids are held at a time. Extra columns are ignored; an empty table gives
     files without documents. Ids are those of ``encode(text, add_special_tokens=False)`` with the tokenizer as its file has it,
-    so an added token that stands in a text is that token.
+    so an added token that stands in a text is that token. Fewer ``pieces`` and ``slice_bytes`` take less memory and more time.
     """
     files = files or partitions(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -359,7 +361,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end: int = 0,
         part = TaskContext.get().partitionId()
         from tessera.llm.token_files import piece_encoder  # the module's own, not a copy that came with the task
 
-        encoder = piece_encoder(tokenizer)
+        encoder = piece_encoder(tokenizer, pieces)
         fs, base = _filesystem(path)
         fs.create_dir(base, recursive=True)
         name = f"part-{part:06d}-{uuid.uuid4().hex}.pfor"
@@ -367,7 +369,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end: int = 0,
             w = TokenWriter(stream)
             for b in batches:
                 column, ids = column_of(b, "text"), column_of(b, "doc_id").to_pylist()
-                for i, j in Utf8(column).slices(1 << 19):
+                for i, j in Utf8(column).slices(slice_bytes):
                     n, tokens = encoder.encode(column.slice(i, j - i).to_pylist(), end)
                     w.add(ids[i:j], n, tokens)
             w.close()
@@ -394,11 +396,11 @@ def read_token_files(files: DataFrame) -> DataFrame:
     return todo.repartition(max(1, partitions(files.sparkSession))).mapInArrow(lean(run, keeps=True), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_table(docs: DataFrame, name: str = "byte_bpe_50k.json") -> DataFrame:
+def token_table(docs: DataFrame, name: str = "byte_bpe_50k.json", pieces: int = PIECES, slice_bytes: int = SLICE) -> DataFrame:
     """Write the token files of ``docs`` to the shared folder and read them back."""
     import public_tokenizers
 
-    return read_token_files(write_token_files(docs, public_tokenizers.path(name), shared_path(docs.sparkSession, "tokens")))
+    return read_token_files(write_token_files(docs, public_tokenizers.path(name), shared_path(docs.sparkSession, "tokens"), pieces=pieces, slice_bytes=slice_bytes))
 
 
 def op2_token_files(spark, sf_dir: str) -> DataFrame:

@@ -289,6 +289,23 @@ def test_pieces_by_generations():
             assert len(encoder.old) <= most + 7 * 40
 
 
+def test_pipeline_keeps_few_pieces(spark, docs, monkeypatch):
+    """The pipeline's workers hold less than half of what op2's do, and the bounds don't change what is read back."""
+    import corpus_pipeline
+
+    asked, make = [], token_files.write_token_files
+
+    def noted(*args, **kwargs):
+        asked.append(kwargs)
+        return make(*args, **kwargs)
+
+    monkeypatch.setattr(token_files, "write_token_files", noted)
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    want = rows(token_files.token_table(docs))
+    assert rows(corpus_pipeline.tokenize(spark, docs, "")) == want == rows(token_files.token_table(docs, pieces=50, slice_bytes=300))
+    assert [2 * a["pieces"] < token_files.PIECES and 2 * a["slice_bytes"] < token_files.SLICE for a in asked] == [False, True, True]
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(600, 24))
